@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from noticelake.llm import bpe, langid, secret_scan, token_count
+from noticelake.llm import bpe, langid, minhash, secret_scan, token_count
 from noticelake.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op2_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(table(spark, sf_dir, "documents"))
 
 
+def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.token_limits(table(spark, sf_dir, "documents"))
 
@@ -29,6 +33,7 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_bpe_codec": op2_bpe_codec,
+        "op3_minhash_dedup": op3_minhash_dedup,
         "op5_token_counts": op5_token_counts,
         "op7_language_id": op7_language_id,
         "op8_secret_scan": op8_secret_scan,
