@@ -9,6 +9,10 @@ position. Packing keeps a shuffle row for each (block, bucket) rather than one f
 each word occurrence, so a word that is in every block costs one entry a block and
 no key is hot.
 
+Words and positions are packed by two passes over the documents, so that positions are
+shuffled once, straight to their block. Both passes must see the same rows in the same
+order, as a scan of files gives them; a block whose two halves differ raises an error.
+
 Decoding joins ids with the vocabulary's (token, bytes) table: ``decode_ids`` does it
 for any frame of id arrays, and ``encode_documents`` for each distinct word of a block.
 """
@@ -37,8 +41,8 @@ RANKS = "byte_bpe_50k.tiktoken"
 #: Bytes of text in a block; a longer document is a block by itself.
 BLOCK_BYTES = 12 << 20
 
-_PACKED = "key long, block long, bucket int, payload binary"
-
+_WORDS = "block long, bucket int, payload binary"
+_PLACES = "block long, digest long, payload binary"
 
 @lru_cache(maxsize=4)
 def ranks(path: str) -> dict[bytes, int]:
@@ -133,19 +137,28 @@ def _slices(batch: pa.RecordBatch, block_bytes: int) -> Iterator[pa.RecordBatch]
         start = stop
 
 
-def _block_rows(block: int, part: pa.RecordBatch, buckets: int) -> list[tuple[int, int, int, bytes]]:
-    words = part.column("words")
-    encoded = words.flatten().dictionary_encode()
+def _dictionary(part: pa.RecordBatch, buckets: int) -> tuple[list[bytes], np.ndarray, np.ndarray, int]:
+    """Distinct words in order of bucket, each one's bucket, the number of each word occurrence, and a digest of the words."""
+    encoded = part.column("words").flatten().dictionary_encode()
     bucket = _bucket_of(encoded.dictionary, buckets)
     order = np.argsort(bucket, kind="stable")
     number = np.empty(len(order), np.uint32)
     number[order] = np.arange(len(order), dtype=np.uint32)
-    dictionary = encoded.dictionary.take(pa.array(order)).cast(pa.binary()).to_pylist()
-    used, first = np.unique(bucket[order], return_index=True)
-    last = [*first[1:].tolist(), len(order)]
-    rows = [(int(b), block, int(b), _pack_strings(dictionary[i:j])) for b, i, j in zip(used.tolist(), first.tolist(), last, strict=True)]
-    lengths = pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.uint32)
-    sequence = number[np.asarray(encoded.indices)].astype(np.uint32 if len(order) > 65535 else np.uint16)
+    words = encoded.dictionary.take(pa.array(order)).cast(pa.binary()).to_pylist()
+    return words, bucket[order], number[np.asarray(encoded.indices)], zlib.crc32(b"\0".join(words))
+
+
+def _word_rows(block: int, part: pa.RecordBatch, buckets: int) -> list[tuple]:
+    words, bucket, _, _ = _dictionary(part, buckets)
+    used, first = np.unique(bucket, return_index=True)
+    last = [*first[1:].tolist(), len(words)]
+    return [(block, int(b), _pack_strings(words[i:j])) for b, i, j in zip(used.tolist(), first.tolist(), last, strict=True)]
+
+
+def _place_rows(block: int, part: pa.RecordBatch, buckets: int) -> list[tuple]:
+    words, _, sequence, digest = _dictionary(part, buckets)
+    lengths = pc.list_value_length(part.column("words")).to_numpy(zero_copy_only=False).astype(np.uint32)
+    sequence = sequence.astype(np.uint32 if len(words) > 65535 else np.uint16)
     # planes of bytes compress better than whole numbers
     planes = sequence.view(np.uint8).reshape(-1, sequence.itemsize).T.tobytes()
     ids = part.column("id")
@@ -153,27 +166,26 @@ def _block_rows(block: int, part: pa.RecordBatch, buckets: int) -> list[tuple[in
     values = ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
     head = np.array([part.num_rows, sequence.itemsize], np.uint32).tobytes()
     body = head + values.tobytes() + known.astype(np.uint8).tobytes() + lengths.tobytes() + planes
-    rows.append((block, block, -1, zlib.compress(body, 1)))
-    return rows
+    return [(block, digest, zlib.compress(body, 1))]
 
 
-def _packed_batch(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
-    key, block, bucket, payload = zip(*rows, strict=True)
-    return pa.RecordBatch.from_arrays(
-        [pa.array(key, pa.int64()), pa.array(block, pa.int64()), pa.array(bucket, pa.int32()), pa.array(payload, pa.binary())],
-        ["key", "block", "bucket", "payload"],
-    )
+def _batch(rows: list[tuple], fields: list[tuple[str, pa.DataType]]) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, (_, kind) in zip(columns, fields, strict=True)], [name for name, _ in fields])
 
 
-def _blocks(buckets: int, block_bytes: int):
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
+_WORD_FIELDS = [("block", pa.int64()), ("bucket", pa.int32()), ("payload", pa.binary())]
+_PLACE_FIELDS = [("block", pa.int64()), ("digest", pa.int64()), ("payload", pa.binary())]
+
 
-        # the number of a partition and of a block within it: the same again if the task is run again
-        block = (TaskContext.get().partitionId() + 1) << 32
+def _blocks(pack_rows, fields, buckets: int, block_bytes: int):
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = 0
         for batch in batches:
             for part in _slices(batch, block_bytes):
-                yield _packed_batch(_block_rows(block, part, buckets))
+                # the partition's number and the block's within it: the same again if the task is run again
+                if rows := pack_rows((part.column("partition")[0].as_py() << 32) + block, part, buckets):
+                    yield _batch(rows, fields)
                 block += 1
 
     return pack
@@ -185,24 +197,22 @@ def _encode_words(path: str):
         for batch in batches:
             rows = []
             for block, bucket, payload in zip(*(batch.column(c).to_pylist() for c in ("block", "bucket", "payload")), strict=True):
-                if bucket >= 0:
-                    words = _unpack_strings(payload)
-                    for word in words:
-                        if word not in known:
-                            known[word] = merges.encode_ordinary(word.decode())
-                    payload = _pack_ids([known[word] for word in words])
-                rows.append((block, block, bucket, payload))
+                words = _unpack_strings(payload)
+                for word in words:
+                    if word not in known:
+                        known[word] = merges.encode_ordinary(word.decode())
+                rows.append((block, bucket, _pack_ids([known[word] for word in words])))
             if rows:
-                yield _packed_batch(rows)
+                yield _batch(rows, _WORD_FIELDS)
 
     return encode
 
 
 def _assemble(path: str, slice_ids: int = 1 << 21):
-    def assemble(group: pa.Table) -> pa.Table:
+    def assemble(places: pa.Table, words: pa.Table) -> pa.Table:
         table, schema = token_bytes(path), pa.schema([("id", pa.int64()), ("token_ids", pa.list_(pa.int32())), ("decoded", pa.binary())])
-        parts = dict(zip(group.column("bucket").to_pylist(), group.column("payload").to_pylist(), strict=True))
-        body = zlib.decompress(parts.pop(-1))
+        parts = dict(zip(words.column("bucket").to_pylist(), words.column("payload").to_pylist(), strict=True))
+        body = zlib.decompress(places.column("payload")[0].as_py())
         n, width = np.frombuffer(body, np.uint32, 2).tolist()
         at = 8
         values = np.frombuffer(body, np.int64, n, at)
@@ -217,6 +227,8 @@ def _assemble(path: str, slice_ids: int = 1 << 21):
         listed = flat.tolist()
         bounds = word_ends.tolist()
         word_bytes = [b"".join([table[i] for i in listed[a:b]]) for a, b in zip([0, *bounds[:-1]], bounds, strict=True)]
+        if zlib.crc32(b"\0".join(word_bytes)) != places.column("digest")[0].as_py():
+            raise ValueError("the documents' rows changed between two passes over them; write them to a table first")
         word_starts = word_ends - sizes
         out, row, ends = [], 0, np.cumsum(lengths)
         while row < n:
@@ -249,11 +261,17 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     path = path or public_tokenizers.path(RANKS)
     spark = docs.sparkSession
     buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    words = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.octet_length(text_or_empty(text_col)).alias("bytes"), pretokens(text_or_empty(text_col)).alias("words"))
-    blocks = words.mapInArrow(_blocks(buckets, block_bytes), _PACKED)
-    coded = blocks.repartition("key").mapInArrow(_encode_words(path), _PACKED)
+    rows = docs.select(
+        F.col(f"`{id_col}`").cast("long").alias("id"),
+        F.spark_partition_id().cast("long").alias("partition"),
+        F.octet_length(text_or_empty(text_col)).alias("bytes"),
+        pretokens(text_or_empty(text_col)).alias("words"),
+    )
+    words = rows.mapInArrow(_blocks(_word_rows, _WORD_FIELDS, buckets, block_bytes), _WORDS)
+    places = rows.mapInArrow(_blocks(_place_rows, _PLACE_FIELDS, buckets, block_bytes), _PLACES)
+    coded = words.repartition("bucket").mapInArrow(_encode_words(path), _WORDS)
     schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("token_ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.BinaryType())])
-    return coded.groupBy("block").applyInArrow(_assemble(path), schema).withColumnRenamed("id", id_col)
+    return places.groupBy("block").cogroup(coded.groupBy("block")).applyInArrow(_assemble(path), schema).withColumnRenamed("id", id_col)
 
 
 def token_digests(docs: DataFrame) -> DataFrame:
