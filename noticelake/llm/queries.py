@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from noticelake.llm import bpe, decontaminate, langid, license_scan, minhash, pii, secret_scan, simhash, token_count
+from noticelake.llm import bpe, decontaminate, langid, license_scan, minhash, pii, secret_scan, simhash, token_count, url_filter
 from noticelake.llm.common import table
 
 
@@ -42,6 +42,10 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_digests(table(spark, sf_dir, "documents"))
 
 
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(table(spark, sf_dir, "documents"), license_scan.known_digests(spark))
 
@@ -56,6 +60,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_simhash": op6_simhash,
         "op7_language_id": op7_language_id,
         "op8_secret_scan": op8_secret_scan,
+        "op9_url_filter": op9_url_filter,
         "op10_license_scan": op10_license_scan,
     }
 
