@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from noticelake.llm import bpe, decontaminate, langid, license_scan, minhash, pii, secret_scan, simhash, token_count, url_filter
 from noticelake.llm.common import table
 
@@ -62,6 +63,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_secret_scan": op8_secret_scan,
         "op9_url_filter": op9_url_filter,
         "op10_license_scan": op10_license_scan,
+        "pipeline": corpus_pipeline.run,
     }
 
 

@@ -206,6 +206,20 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return found.withColumnRenamed("id", id_col)
 
 
+def mask_secrets(docs: DataFrame, text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
+    """``docs`` with its secrets masked, and the length of changed texts brought up to date. Rows, order of columns and other values stay."""
+
+    @F.pandas_udf("string")
+    def masked(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([redact(x, find_secrets(x)) for x in texts], dtype=object)
+
+    new = docs.withColumn("_masked", masked(F.col(f"`{text_col}`")))
+    changed = ~F.col("_masked").eqNullSafe(F.col(f"`{text_col}`"))
+    values = {text_col: F.col("_masked"), length_col: F.when(changed, F.char_length("_masked").cast("long")).otherwise(F.col(f"`{length_col}`"))}
+    return new.select(*(values[c].alias(c) if c in values else F.col(f"`{c}`") for c in docs.columns))
+
+
 def secret_digests(docs: DataFrame) -> DataFrame:
     """Query columns: doc_id, n_assign, n_access, n_hex, base_sha256, spans."""
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
