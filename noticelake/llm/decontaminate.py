@@ -20,7 +20,7 @@ LITERALS = 5
 #: Benchmark windows up to which their table is broadcast (16 bytes each); beyond, the join is shuffled.
 BROADCAST_WINDOWS = 500_000
 
-NAME, NUMBER, UNIT = "", "", ""
+NAME, NUMBER, UNIT = "\ue000", "\ue001", "\ue002"
 UNITS = (
     "km m cm mm mi mile miles ft feet foot in inch inches yd yard yards nm kg g mg lb lbs pound pounds oz ton tons "
     "l ml litre litres liter liters s sec second seconds min minute minutes h hour hours day days week weeks month months year years "
@@ -30,11 +30,12 @@ UNITS = (
 
 def canonical(text: Column) -> Column:
     """Lower-case template text; blank-separated words stand in the order of the text's own words that have a letter or digit."""
-    out = F.regexp_replace(text, r"[-]", "")
+    out = F.regexp_replace(text, f"[{NAME}-{UNIT}]", "")
     out = F.regexp_replace(out, r"(?<=[\p{L}\p{N},;] )\p{Lu}\p{Ll}+(?![\p{L}\p{N}])", NAME)
     out = F.regexp_replace(out, r"(?<![\p{L}\p{N}])[+-]?\p{Nd}(?:[\p{Nd}.,:/]*\p{Nd})?", NUMBER)
-    out = F.regexp_replace(F.lower(out), rf"(?<={NUMBER} ?)(?:{'|'.join(sorted(UNITS, key=len, reverse=True))})(?![\p{{L}}\p{{N}}])", UNIT)
-    return F.regexp_replace(out, r"[^\p{L}\p{N}-\s]+", "")
+    units = "|".join(sorted(UNITS, key=len, reverse=True))
+    out = F.regexp_replace(F.lower(out), rf"(?<={NUMBER} ?)(?:{units})(?![\p{{L}}\p{{N}}])", UNIT)
+    return F.regexp_replace(out, rf"[^\p{{L}}\p{{N}}{NAME}-{UNIT}\s]+", "")
 
 
 def words(text: Column) -> Column:
