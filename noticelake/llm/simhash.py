@@ -2,8 +2,7 @@
 
 Each word and pair of neighbouring words of a text has a 64-bit hash that votes on the
 bits of the fingerprint: for a bit that is set in the hash, against it otherwise, with the
-term's weight times its occurrences. Votes are counted two bits to a long, so that a text
-is read once for every pair of bits, in its own row, without a shuffle.
+term's weight times its occurrences.
 """
 
 from __future__ import annotations
@@ -11,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from noticelake.llm.common import text_or_empty
+from noticelake.llm.common import text_or_empty, written
 
 BITS = 64
 WORD_WEIGHT, PAIR_WEIGHT = 1, 2
@@ -21,31 +20,34 @@ RUN = 1024
 _LANES = 0x0000000100000001
 
 
-def _counted(hashes: Column, j: int) -> Column:
-    """How many hashes have bit j set, in the lower half of a long, and bit j + 32, in the upper."""
-    return F.aggregate(hashes, F.lit(0).cast("long"), lambda acc, h: acc + F.shiftrightunsigned(h, j).bitwiseAND(F.lit(_LANES)))
+def terms(text: Column) -> Column:
+    """Array of struct(hash, weight): the words, and the pairs of neighbouring words."""
+    words = F.transform(F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != ""), lambda w: F.xxhash64(w))
+    later = F.slice(words, F.lit(2), F.greatest(F.size(words), F.lit(1)))
+    # the last word has no pair: its second hash is null and has no weight
+    return F.flatten(
+        F.zip_with(words, later, lambda a, b: F.array(F.struct(a.alias("hash"), F.lit(WORD_WEIGHT).alias("weight")), F.struct(F.xxhash64(a, b).alias("hash"), F.when(b.isNull(), 0).otherwise(PAIR_WEIGHT).alias("weight"))))
+    )
+
 
+def voted(rows: DataFrame, keys: list[str], terms_col: str = "terms", out_col: str = "fingerprint") -> DataFrame:
+    """(keys, copies, fingerprint): the fingerprint of each group of rows with equal keys, which must have equal terms.
 
-def _voted(one: Column, two: Column) -> Column:
-    total = WORD_WEIGHT * F.size(one).cast("long") + PAIR_WEIGHT * F.size(two).cast("long")
+    Terms are exploded and their votes added up before the shuffle, so that a row for each
+    text and task moves. Votes of bits j and j + 32 are counted in the two halves of one long.
+    Equal rows add up their votes alike, which leaves every majority as it is.
+    """
+    none = F.array(F.struct(F.lit(None).cast("long").alias("hash"), F.lit(None).cast("int").alias("weight")))
+    each = rows.select(*keys, F.explode(F.concat(none, F.col(terms_col))).alias("t")).select(*keys, "t.hash", "t.weight")
+    vote = lambda j: F.sum(F.col("weight") * F.shiftrightunsigned(F.col("hash"), j).bitwiseAND(F.lit(_LANES)))
+    counted = each.groupBy(*keys).agg(F.count_if(F.col("hash").isNull()).alias("copies"), F.sum("weight").alias("total"), *(vote(j).alias(f"v{j}") for j in range(BITS // 2)))
     out = F.lit(0).cast("long")
     for j in range(BITS // 2):
-        votes = WORD_WEIGHT * _counted(one, j) + PAIR_WEIGHT * _counted(two, j)
-        low, high = (2 * votes.bitwiseAND(F.lit(0xFFFFFFFF)) > total), (2 * F.shiftrightunsigned(votes, 32) > total)
-        out = out.bitwiseOR(F.when(low, F.lit(1 << j).cast("long")).otherwise(F.lit(0).cast("long")))
-        bit = 1 << (j + 32)
-        out = out.bitwiseOR(F.when(high, F.lit(bit - (1 << 64) if bit >= 1 << 63 else bit).cast("long")).otherwise(F.lit(0).cast("long")))
-    return out
-
-
-def with_fingerprint(rows: DataFrame, text_col: str, out_col: str) -> DataFrame:
-    """``rows`` with the fingerprint of a text column. The hashes stand in a column of their own, so that they are computed once."""
-    words = F.filter(F.split(F.lower(F.col(text_col)), r"\s+"), lambda w: w != "")
-    hashed = rows.withColumn("_one", F.transform(words, lambda w: F.xxhash64(w)))
-    size = F.size("_one")
-    pairs = F.zip_with(F.slice("_one", F.lit(1), F.greatest(size - 1, F.lit(0))), F.slice("_one", F.lit(2), F.greatest(size, F.lit(1))), lambda a, b: F.xxhash64(a, b))
-    paired = hashed.withColumn("_two", pairs)
-    return paired.withColumn(out_col, _voted(F.col("_one"), F.col("_two"))).drop("_one", "_two")
+        low, high = 2 * F.col(f"v{j}").bitwiseAND(F.lit(0xFFFFFFFF)) > F.col("total"), 2 * F.shiftrightunsigned(f"v{j}", 32) > F.col("total")
+        upper = 1 << (j + 32)
+        for won, bit in ((low, 1 << j), (high, upper - (1 << 64) if upper >= 1 << 63 else upper)):
+            out = out.bitwiseOR(F.when(won, F.lit(bit).cast("long")).otherwise(F.lit(0).cast("long")))
+    return counted.select(*keys, "copies", out.alias(out_col))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -66,7 +68,7 @@ def _next_lower(keys: DataFrame, levels: int) -> DataFrame:
 
 
 def with_next(rows: DataFrame, levels: int = 2) -> DataFrame:
-    """Rows (doc_id, text, print) with next_text and next_print of the next document in descending order of doc_id; after the last comes the first.
+    """Rows (doc_id, text) with next_text of the next document in descending order of doc_id; after the last comes the first.
 
     Documents move once, to the window of their run of ``RUN`` ids; for the last of a run, the
     first document of the next run that has any is joined. Null ids come last, in a run of
@@ -74,20 +76,22 @@ def with_next(rows: DataFrame, levels: int = 2) -> DataFrame:
     """
     placed = rows.withColumn("run", F.coalesce(F.floor(F.col("doc_id") / RUN), F.lit(-(2**60)).cast("long")))
     window = Window.partitionBy("run").orderBy(F.desc_nulls_last("doc_id"), "text")
-    inside = placed.withColumn("inside", F.lead(F.struct("text", "print")).over(window))
-    first_of_run = F.min_by(F.struct("text", "print"), F.struct((-F.col("doc_id").cast("decimal(20,0)")).alias("id"), "text"))
+    inside = placed.withColumn("inside", F.lead("text").over(window))
+    first_of_run = F.min_by("text", F.struct((-F.col("doc_id").cast("decimal(20,0)")).alias("id"), "text"))
     tops = placed.groupBy("run").agg(first_of_run.alias("top"))
     runs = placed.select("run").distinct()
     highest = runs.agg(F.max("run")).first()[0]
     after = _next_lower(runs.select(F.col("run").alias("k")), levels).select(F.col("k").alias("run"), F.coalesce("lower", F.lit(highest)).alias("next_run"))
     reached = after.join(tops.withColumnRenamed("run", "next_run"), "next_run").select("run", "top")
-    found = F.coalesce("inside", "top")
-    return inside.join(reached, "run").select("doc_id", "text", "print", found["text"].alias("next_text"), found["print"].alias("next_print"))
+    return inside.join(reached, "run").select("doc_id", "text", F.coalesce("inside", "top").alias("next_text"))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: (id_col, fingerprint long). A null, empty or blank text has 0; an empty table gives an empty result."""
-    return with_fingerprint(docs.select(F.col(f"`{id_col}`").alias(id_col), text_or_empty(text_col).alias("_text")), "_text", "fingerprint").drop("_text")
+    text = text_or_empty(text_col)
+    rows = docs.select(F.col(f"`{id_col}`").alias("_id"), F.sha2(text, 256).alias("_text"), terms(text).alias("terms"))
+    found = voted(rows, ["_id", "_text"])
+    return found.select(F.col("_id").alias(id_col), "fingerprint", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).drop("col")
 
 
 def near_fingerprints(prints: DataFrame, radius: int = 3, print_col: str = "fingerprint") -> DataFrame:
@@ -110,17 +114,23 @@ def near_fingerprints(prints: DataFrame, radius: int = 3, print_col: str = "fing
 
 def edited_fingerprints(docs: DataFrame) -> DataFrame:
     """Query columns: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
-    rows = with_fingerprint(docs.select("doc_id", text_or_empty().alias("text")), "text", "print")
-    paired = with_next(rows)
+    paired = with_next(docs.select("doc_id", text_or_empty().alias("text")))
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
-    edited = paired.select("doc_id", n.cast("long").alias("n_chars"), "print", "next_print", F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half)).alias("edited"))
-    both = with_fingerprint(edited, "edited", "edited_print")
+    edited = F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half))
+    both = F.array(F.struct(F.lit(0).alias("which"), F.col("text").alias("t")), F.struct(F.lit(1).alias("which"), edited.alias("t")))
+    keys = ["doc_id", "n_chars", "text_key", "next_key", "edited_sha256"]
+    named = paired.select("doc_id", n.cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_key"), F.sha2("next_text", 256).alias("next_key"), F.sha2(edited, 256).alias("edited_sha256"), F.explode(both).alias("one"))
+    each = voted(named.select(*keys, "one.which", terms(F.col("one.t")).alias("terms")), [*keys, "which"])
+    pick = lambda which: F.max(F.when(F.col("which") == which, F.col("fingerprint")))
+    rows = written(each.groupBy(*keys).agg(pick(0).alias("print"), pick(1).alias("edited_print"), F.max("copies").alias("copies")), "fingerprints")
+    by_text = rows.groupBy(F.col("text_key").alias("next_key")).agg(F.first("print").alias("next_print"))
     hexed = lambda c: F.lpad(F.hex(c), 16, "0")
-    return both.select(
+    joined = rows.join(by_text, "next_key").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
+    return joined.select(
         "doc_id",
         "n_chars",
-        F.sha2("edited", 256).alias("edited_sha256"),
+        "edited_sha256",
         hexed("print").alias("fingerprint"),
         hexed("edited_print").alias("edited_fingerprint"),
         likeness(F.col("print"), F.col("edited_print")).alias("near_edited"),
