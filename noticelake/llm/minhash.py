@@ -173,7 +173,9 @@ def link_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     banded = nodes.select("node", F.explode("bands").alias("key"))
     buckets = banded.groupBy("key").agg(F.min("node").alias("centre"), F.count("*").alias("n")).where("n > 1").select("key", "centre")
     members = written(banded.join(buckets, "key").select("centre", "node").distinct(), "members")
-    texts = rows_in.join(members.select(F.col("node").alias("id")).distinct(), "id", "left_semi").dropDuplicates(["id"]).select(F.col("id").alias("node"), "text")
+    # the hint keeps the plan the same at every size: the ids of members grow with the input
+    wanted = members.select(F.col("node").alias("id")).distinct().hint("merge")
+    texts = rows_in.join(wanted, "id", "left_semi").dropDuplicates(["id"]).select(F.col("id").alias("node"), "text")
     sets = texts.mapInArrow(_full_sets(size), "node long, shingles array<long>")
     sizes = members.groupBy("centre").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
