@@ -6,14 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from noticelake.plans import frame_queries, scalar_queries
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/nation.parquet")
+    """The nearest launch site with a plausible course for each customer's point."""
+    return frame_queries.QUERIES["nearest_with_direction"](spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {**scalar_queries.QUERIES, **frame_queries.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {**scalar_queries.ORACLES, **frame_queries.ORACLES}
