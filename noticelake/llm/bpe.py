@@ -150,6 +150,8 @@ def _dictionary(part: pa.RecordBatch, buckets: int) -> tuple[list[bytes], np.nda
 
 def _word_rows(block: int, part: pa.RecordBatch, buckets: int) -> list[tuple]:
     words, bucket, _, _ = _dictionary(part, buckets)
+    if not words:
+        return []
     used, first = np.unique(bucket, return_index=True)
     last = [*first[1:].tolist(), len(words)]
     return [(block, int(b), _pack_strings(words[i:j])) for b, i, j in zip(used.tolist(), first.tolist(), last, strict=True)]
