@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from noticelake.plans import frame_queries, scalar_queries
+from noticelake.plans import frame_queries, scalar_queries, stream_queries
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,8 +15,8 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {**scalar_queries.QUERIES, **frame_queries.QUERIES}
+    return {**scalar_queries.QUERIES, **frame_queries.QUERIES, **stream_queries.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**scalar_queries.ORACLES, **frame_queries.ORACLES}
+    return {**scalar_queries.ORACLES, **frame_queries.ORACLES, **stream_queries.ORACLES}
