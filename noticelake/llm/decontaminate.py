@@ -3,8 +3,8 @@
 Numbers, names and units become typed placeholders, so that a question with other
 parameters has the same template. Windows of ``WINDOW`` template words are hashed and
 hash-joined with those of the benchmark. A window with slots counts only if the slots are
-consistent: over all such windows of a document and an item, each value of the item stands
-for one value of the document and the other way round.
+consistent: over all such windows of one alignment of a document with an item, each value of
+the item stands for one value of the document and the other way round.
 """
 
 from __future__ import annotations
@@ -86,20 +86,21 @@ def benchmark_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: s
 
 
 def _slot_pairs(matches: DataFrame, docs: DataFrame, items: DataFrame) -> DataFrame:
-    """(doc_id, item_id, consistent) for matches whose windows have slots."""
+    """(doc_id, item_id, shift, consistent) for matches whose windows have slots; windows of equal shift (doc_at - item_at) are one alignment, so two copies with other parameters are judged apart."""
     ours = docs.join(matches.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", words(canonical(F.col("text"))).alias("template"), raw_words(F.col("text")).alias("raw"))
     theirs = items.select("item_id", raw_words(F.col("text")).alias("item_raw"))
-    spots = matches.select("doc_id", "item_id", "doc_at", "item_at", F.explode(F.sequence(F.lit(0), F.col("length") - 1)).alias("k"))
+    spots = matches.select("doc_id", "item_id", "shift", "doc_at", "item_at", F.explode(F.sequence(F.lit(0), F.col("length") - 1)).alias("k"))
     values = (
         spots.join(ours, "doc_id")
         .join(theirs, "item_id")
         .where(F.get("template", F.col("doc_at") + F.col("k")).rlike(f"[{NAME}{NUMBER}{UNIT}]"))
-        .select("doc_id", "item_id", F.get("raw", F.col("doc_at") + F.col("k")).alias("value"), F.get("item_raw", F.col("item_at") + F.col("k")).alias("item_value"))
+        .select("doc_id", "item_id", "shift", F.get("raw", F.col("doc_at") + F.col("k")).alias("value"), F.get("item_raw", F.col("item_at") + F.col("k")).alias("item_value"))
         .distinct()
     )
-    by_item = values.groupBy("doc_id", "item_id", "item_value").agg(F.count("*").alias("n")).groupBy("doc_id", "item_id").agg(F.max("n").alias("n"))
-    by_doc = values.groupBy("doc_id", "item_id", "value").agg(F.count("*").alias("n")).groupBy("doc_id", "item_id").agg(F.max("n").alias("n"))
-    return by_item.unionByName(by_doc).groupBy("doc_id", "item_id").agg((F.max("n") <= 1).alias("consistent"))
+    at = ["doc_id", "item_id", "shift"]
+    by_item = values.groupBy(*at, "item_value").agg(F.count("*").alias("n")).groupBy(*at).agg(F.max("n").alias("n"))
+    by_doc = values.groupBy(*at, "value").agg(F.count("*").alias("n")).groupBy(*at).agg(F.max("n").alias("n"))
+    return by_item.unionByName(by_doc).groupBy(*at).agg((F.max("n") <= 1).alias("consistent"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -126,10 +127,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         return rows.where("false").select("doc_id", F.lit(0).cast("long").alias("item_id"), F.lit(0).cast("long").alias("n_matched"), F.lit(0).cast("long").alias("n_windows"), F.lit(0.0).alias("coverage"))
     matches = written(found, "template-matches")
     plain = matches.where("slots = 0").select("doc_id", "item_id", "item_at")
-    slotted = matches.where("slots > 0")
+    slotted = matches.where("slots > 0").withColumn("shift", F.col("doc_at") - F.col("item_at"))
     if not slotted.isEmpty():
-        judged = _slot_pairs(slotted, rows, items).where("consistent").select("doc_id", "item_id")
-        plain = plain.unionByName(slotted.join(judged, ["doc_id", "item_id"], "left_semi").select("doc_id", "item_id", "item_at"))
+        judged = _slot_pairs(slotted, rows, items).where("consistent").select("doc_id", "item_id", "shift")
+        plain = plain.unionByName(slotted.join(judged, ["doc_id", "item_id", "shift"], "left_semi").select("doc_id", "item_id", "item_at"))
     n_windows = bench.groupBy("item_id").agg(F.countDistinct("item_at").alias("n_windows"))
     return (
         plain.distinct()

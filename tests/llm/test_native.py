@@ -24,7 +24,8 @@ def test_contamination(documents, benchmark):
     rows = [
         (1, "Before. " + ITEM + ". After."),
         (2, "and " + ITEM.replace("9", "11").replace("120", "75") + " again"),  # other parameters
-        (3, SHORT.replace("9", "7") + " " + SHORT.replace("9", "8")),  # one value of the item, two of the document
+        (3, SHORT.replace("9", "120")),  # two values of the item, one of the document
+        (10, SHORT.replace("9", "7") + " " + SHORT.replace("9", "8")),  # two copies, each with its own parameters
         (9, SHORT.replace("9", "7").replace("120", "5")),
         (4, "The train leaves but nothing else is shared with any item at all"),
         (5, None),
@@ -34,7 +35,7 @@ def test_contamination(documents, benchmark):
         (8, ITEM.upper()),
     ]
     found = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(documents(rows), benchmark).collect()}
-    assert found == {(1, 1), (2, 1), (7, 2), (8, 1), (9, 5)}
+    assert found == {(1, 1), (2, 1), (7, 2), (8, 1), (9, 5), (10, 5)}
     kept = {r.doc_id for r in decontaminate.without_benchmark(documents(rows), benchmark).collect()}
     assert kept == {3, 4, 5, 6, None}
 
