@@ -41,6 +41,9 @@ RANKS = "byte_bpe_50k.tiktoken"
 #: Bytes of text in a block; a longer document is a block by itself.
 BLOCK_BYTES = 12 << 20
 
+#: Distinct words whose ids a task remembers; others are encoded again.
+KNOWN_WORDS = 300_000
+
 _WORDS = "block long, bucket int, payload binary"
 _PLACES = "block long, digest long, payload binary"
 
@@ -200,6 +203,8 @@ def _encode_words(path: str):
             rows = []
             for block, bucket, payload in zip(*(batch.column(c).to_pylist() for c in ("block", "bucket", "payload")), strict=True):
                 words = _unpack_strings(payload)
+                if len(known) > KNOWN_WORDS:
+                    known.clear()
                 for word in words:
                     if word not in known:
                         known[word] = merges.encode_ordinary(word.decode())
@@ -210,7 +215,7 @@ def _encode_words(path: str):
     return encode
 
 
-def _assemble(path: str, slice_ids: int = 1 << 21):
+def _assemble(path: str, slice_ids: int = 1 << 18):
     def assemble(places: pa.Table, words: pa.Table) -> pa.Table:
         table, schema = token_bytes(path), pa.schema([("id", pa.int64()), ("token_ids", pa.list_(pa.int32())), ("decoded", pa.binary())])
         parts = dict(zip(words.column("bucket").to_pylist(), words.column("payload").to_pylist(), strict=True))

@@ -26,7 +26,10 @@ from noticelake.llm.common import text_or_empty, written
 from noticelake.llm.components import connected_components
 
 BANDS, ROWS = 30, 5
-BLOCK = 256
+#: Documents and shingles in a block of a gathering, at most about; a longer document is a block by itself.
+BLOCK, BLOCK_SHINGLES = 256, 300_000
+#: Words whose hashes a task remembers.
+KNOWN_WORDS = 200_000
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
@@ -61,7 +64,7 @@ def shingle_set(text: str | None, size: int, hashes: dict[bytes, int]) -> np.nda
 def _sets(texts: list[str | None], size: int) -> Iterator[np.ndarray]:
     hashes: dict[bytes, int] = {}
     for text in texts:
-        if len(hashes) > 1_000_000:
+        if len(hashes) > KNOWN_WORDS:
             hashes.clear()
         yield shingle_set(text, size, hashes)
 
@@ -169,15 +172,16 @@ def link_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     rows_in = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), text_or_empty(text_col).alias("text"))
     described = written(rows_in.mapInArrow(_describe(size, bands, rows), "id long, n_shingles long, digest binary, bands array<long>"), "described")
     # one node for each set; its number is the smallest id that has it
-    nodes = described.where("digest is not null and id is not null").groupBy("digest").agg(F.min("id").alias("node"), F.first("bands").alias("bands"))
-    banded = nodes.select("node", F.explode("bands").alias("key"))
+    nodes = described.where("digest is not null and id is not null").groupBy("digest").agg(F.min("id").alias("node"), F.first("n_shingles").alias("size"), F.first("bands").alias("bands"))
+    banded = nodes.select("node", "size", F.explode("bands").alias("key"))
     buckets = banded.groupBy("key").agg(F.min("node").alias("centre"), F.count("*").alias("n")).where("n > 1").select("key", "centre")
-    members = written(banded.join(buckets, "key").select("centre", "node").distinct(), "members")
+    members = written(banded.join(buckets, "key").select("centre", "node", "size").distinct(), "members")
     # the hint keeps the plan the same at every size: the ids of members grow with the input
     wanted = members.select(F.col("node").alias("id")).distinct().hint("merge")
     texts = rows_in.join(wanted, "id", "left_semi").dropDuplicates(["id"]).select(F.col("id").alias("node"), "text")
     sets = texts.mapInArrow(_full_sets(size), "node long, shingles array<long>")
-    sizes = members.groupBy("centre").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    wanted_blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("size") / BLOCK_SHINGLES))
+    sizes = members.groupBy("centre").agg(F.least(F.count("*"), wanted_blocks).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     placed = members.join(sizes, "centre").select("centre", "node", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     placed = placed.select("node", "centre", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
