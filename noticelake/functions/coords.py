@@ -112,4 +112,16 @@ def qline_point(text: Column) -> Column:
     return F.when(good, F.struct(lat.alias("lat"), lon.alias("lon"), (number(7) * 1.852).alias("radius_km")))
 
 
-__all__ = ["NOTATIONS", "centroid", "coordinates", "qline_point", "radius_km", "tokenised", "zone_shape", "zones"]
+def written_points(points: Column) -> Column:
+    """Points as the archive keeps them: ``lat lon; lat lon`` with four decimals, each once."""
+    return F.array_join(F.array_distinct(F.transform(points, lambda p: F.format_string("%.4f %.4f", p["lat"], p["lon"]))), "; ")
+
+
+def read_points(text: Column) -> Column:
+    """Array of struct(lat, lon) of such a text; parts that are not two numbers are left out."""
+    part = lambda p, i: F.get(F.split(F.trim(p), r"\s+"), F.lit(i)).try_cast("double")
+    points = F.transform(F.split(text, ";"), lambda p: F.struct(part(p, 0).alias("lat"), part(p, 1).alias("lon")))
+    return F.filter(points, lambda p: p["lat"].isNotNull() & p["lon"].isNotNull())
+
+
+__all__ = ["NOTATIONS", "centroid", "coordinates", "qline_point", "radius_km", "read_points", "tokenised", "written_points", "zone_shape", "zones"]

@@ -29,26 +29,38 @@ def nearest_within(rows: DataFrame, key: str, places: DataFrame, cap_km: float)
     rows: (key, lat, lon, ...); places: (code, place_lat, place_lon, ord), a checked reference.
     The nearest is kept by a partial aggregate, so no more than a row for each key moves.
     """
+    best = nearest_any(rows, key, places)
+    near = F.col("distance_km") <= cap_km
+    return best.select(key, F.when(near, F.col("code")).alias("code"), F.when(near, F.col("distance_km")).alias("distance_km"))
+
+
+def nearest_any(rows: DataFrame, key: str, places: DataFrame) -> DataFrame:
+    """(key, code, distance_km) of the nearest place, however far."""
     pairs = rows.select(key, "lat", "lon").join(checked_reference(places), F.lit(True))
     distance = haversine_km(F.col("lat"), F.col("lon"), F.col("place_lat"), F.col("place_lon"))
     best = pairs.groupBy(key).agg(F.min(F.struct(distance.alias("distance_km"), "ord", "code")).alias("best"))
-    near = F.col("best.distance_km") <= cap_km
-    return best.select(key, F.when(near, F.col("best.code")).alias("code"), F.when(near, F.col("best.distance_km")).alias("distance_km"))
+    return best.select(key, "best.code", "best.distance_km")
 
 
-def nearest_by_direction(rows: DataFrame, key: str, sites: DataFrame, near_km: float = 8000.0, west: tuple[float, float] = (225.0, 325.0)) -> DataFrame:
+def nearest_by_direction(
+    rows: DataFrame, key: str, sites: DataFrame, near_km: float = 8000.0, west: tuple[float, float] = (225.0, 325.0), preferred: Column | None = None, carried: tuple[str, ...] = ()
+) -> DataFrame:
     """The nearest site from which the course is plausible, or the nearest at all if none is.
 
     A course is implausible for a target within ``near_km`` at an azimuth in ``west``. Order:
-    distance, azimuth, ord. ``passed_over`` tells that a nearer site was left out.
+    distance, azimuth, ord. ``passed_over`` tells that a nearer site was left out. Where any
+    site is ``preferred`` (a condition over both tables) the others do not count; ``carried``
+    are more columns of the chosen site to return, with ``odd`` for an implausible course.
     """
-    pairs = rows.select(key, "lat", "lon").join(checked_reference(sites), F.lit(True))
+    pairs = rows.join(checked_reference(sites), F.lit(True))
     distance = haversine_km(F.col("place_lat"), F.col("place_lon"), F.col("lat"), F.col("lon"))
     azimuth = bearing_deg(F.col("place_lat"), F.col("place_lon"), F.col("lat"), F.col("lon"))
-    judged = pairs.select(key, "code", "ord", distance.alias("distance_km"), azimuth.alias("azimuth")).withColumn("odd", (F.col("distance_km") <= near_km) & F.col("azimuth").between(*west))
-    order = F.struct("odd", "distance_km", "azimuth", "ord", "code")
-    best = judged.groupBy(key).agg(F.min(order).alias("best"), F.min("distance_km").alias("nearest"))
-    return best.select(key, "best.code", "best.distance_km", "best.azimuth", (F.col("best.distance_km") > F.col("nearest")).alias("passed_over"))
+    other = F.lit(False) if preferred is None else ~F.coalesce(preferred, F.lit(False))
+    judged = pairs.select(key, other.alias("other"), "code", "ord", *carried, distance.alias("distance_km"), azimuth.alias("azimuth")).withColumn("odd", (F.col("distance_km") <= near_km) & F.col("azimuth").between(*west))
+    order = F.struct("other", "odd", "distance_km", "azimuth", "ord", "code", *carried)
+    best = judged.groupBy(key).agg(F.min(order).alias("best"), F.min(F.struct("other", "distance_km")).alias("nearest"))
+    more = [F.col(f"best.{c}") for c in (*carried, "odd")] if carried else []
+    return best.select(key, "best.code", "best.distance_km", "best.azimuth", (F.col("best.distance_km") > F.col("nearest.distance_km")).alias("passed_over"), *more)
 
 
 def common_site(zones: DataFrame, group: str, sites: DataFrame, near_km: float = 8000.0, west: tuple[float, float] = (225.0, 325.0)) -> DataFrame:

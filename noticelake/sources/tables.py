@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from noticelake.functions.text import normalised_name
+
 #: Normalised header names by role, tried in this order. Fixed values.
 ROLE_HINTS = {
     "text": ("notamtext", "text", "message", "iteme", "raw", "body"),
@@ -89,6 +91,20 @@ def launch_catalogue(lines: DataFrame, first_year: int = 2020, last_year: int =
     return rows.where(F.col("tag").rlike(r"^\d{4}-(?:\d{3}|[EF]\d{2})$") & F.year("at").between(first_year, last_year))
 
 
+def resolved_codes(rows: DataFrame, key: str, name_col: str, reference: DataFrame, aliases: DataFrame) -> DataFrame:
+    """(key, code): the code that a name stands for, null for an unknown one.
+
+    Names are compared by their letters and digits up to a slash. An alias (spelling, code)
+    counts before the names of the reference (code, name, ord), if the reference has its
+    code; of several references with one name the first by ord counts.
+    """
+    plain = normalised_name(F.substring_index(F.col(name_col), "/", 1))
+    spelled = aliases.select(normalised_name(F.col("spelling")).alias("_n"), "code").join(reference.select("code").distinct(), "code", "left_semi").groupBy("_n").agg(F.min("code").alias("_alias"))
+    both = reference.select(normalised_name(F.col("name")).alias("_n"), "ord", "code").unionByName(reference.select(normalised_name(F.col("code")).alias("_n"), "ord", "code"))
+    named = both.groupBy("_n").agg(F.min(F.struct("ord", "code")).alias("_hit")).select("_n", F.col("_hit.code").alias("_named"))
+    return rows.select(key, plain.alias("_n")).join(spelled, "_n", "left").join(named, "_n", "left").select(key, F.coalesce("_alias", "_named").alias("code"))
+
+
 _BLOCKS = {"p", "div", "br", "li", "tr", "h1", "h2", "h3", "h4", "ul", "ol", "table", "section", "article", "nav", "header", "footer"}
 _SKIPPED = {"script", "style", "blockquote", "title", "head"}
 
