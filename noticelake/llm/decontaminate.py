@@ -1,10 +1,12 @@
 """Benchmark decontamination by canonical templates, in DataFrame functions only.
 
 Numbers, names and units become typed placeholders, so that a question with other
-parameters has the same template. Windows of ``WINDOW`` template words are hashed and
-hash-joined with those of the benchmark. A window with slots counts only if the slots are
-consistent: over all such windows of one alignment of a document with an item, each value of
-the item stands for one value of the document and the other way round.
+parameters has the same template. Windows of ``WINDOW`` template words, and of the plain
+lower-case words with their numbers and names, are hashed and hash-joined with those of the
+benchmark; a template window that is mostly slots is lengthened until it has enough words of
+its own. A window with slots counts only if the slots are consistent: over all such windows
+of one alignment of a document with an item, each value of the item stands for one value of
+the document and the other way round.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from pyspark.sql import functions as F
 from noticelake.llm.common import text_or_empty, written
 
 WINDOW = 8
-#: Words of a window that are not placeholders, at least; also the shortest item that is looked for.
+#: Words of a template window that are not placeholders, unless it is an item's whole template; also the shortest item that is looked for.
 LITERALS = 5
 #: Benchmark windows up to which their table is broadcast (16 bytes each); beyond, the join is shuffled.
 BROADCAST_WINDOWS = 500_000
@@ -42,9 +44,15 @@ def words(text: Column) -> Column:
     return F.filter(F.split(text, r"\s+"), lambda w: w != "")
 
 
+def plain_words(text: Column) -> Column:
+    """The same words in lower case, with letters and digits alone."""
+    return words(F.regexp_replace(F.replace(F.lower(text), F.lit("ß"), F.lit("ss")), r"[^\p{L}\p{N}\s]+", ""))
+
+
 def raw_words(text: Column) -> Column:
     """The words that ``canonical`` keeps, as they stand but for case and outer punctuation."""
-    return F.filter(words(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}\s.,:/+-]+|[.,:/](?=\s|$)", "")), lambda w: w.rlike(r"[\p{L}\p{N}]"))
+    out = F.regexp_replace(F.replace(F.lower(text), F.lit("ß"), F.lit("ss")), r"[^\p{L}\p{N}\s.,:/+-]+", "")
+    return words(F.regexp_replace(out, r"[.,:/+-]+(?=\s|$)|(?<!\S)[.,:/+-]+(?!\p{Nd})", ""))
 
 
 def window_hashes(template: Column, length: int) -> Column:
@@ -63,33 +71,66 @@ def window_hashes(template: Column, length: int) -> Column:
     return F.slice(runs(length), F.lit(1), F.greatest(F.size(template) - (length - 1), F.lit(0)))
 
 
+def _is_literal(word: Column) -> Column:
+    return ~word.rlike(f"[{NAME}{NUMBER}{UNIT}]")
+
+
 def _literals(window: Column) -> Column:
-    return F.size(F.filter(window, lambda w: ~w.rlike(f"[{NAME}{NUMBER}{UNIT}]")))
+    return F.size(F.filter(window, _is_literal))
+
+
+def _run_hash(template: Column, at: Column, length: Column) -> Column:
+    return F.xxhash64(F.array_join(F.slice(template, at + 1, length), " "))
 
 
 def benchmark_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """(item_id, length, item_at, hash, slots) for the windows of all items, and n_windows of each item.
+    """(item_id, length, item_at, hash, slots, whole, whole_hash) for the windows of all items.
 
-    An item shorter than ``WINDOW`` is one window; with fewer than ``LITERALS`` words it has none.
+    Every run of ``length`` plain words is a window without slots. A run of template words is
+    one if it has ``LITERALS`` words that are not placeholders; if it has fewer and starts with
+    one, it goes on for ``whole`` words until it has, and an item that has fewer altogether is
+    one window of all its words. ``hash`` is of the first ``length`` words, ``whole_hash`` of all.
+
+    An item shorter than ``WINDOW`` is one run; with fewer than ``LITERALS`` words it has none.
     """
     text = text_or_empty(text_col)
-    items = benchmark.where(F.col(f"`{id_col}`").isNotNull()).select(F.col(f"`{id_col}`").cast("long").alias("item_id"), words(canonical(text)).alias("template"))
+    items = benchmark.where(F.col(f"`{id_col}`").isNotNull()).select(F.col(f"`{id_col}`").cast("long").alias("item_id"), words(canonical(text)).alias("template"), plain_words(text).alias("plain"))
     length = F.least(F.size("template"), F.lit(WINDOW))
     items = items.where(F.size("template") >= LITERALS).withColumn("length", length)
-    hashes = F.lit(None).cast("array<bigint>")
-    for n in range(LITERALS, WINDOW + 1):
-        hashes = F.when(F.col("length") == n, window_hashes(F.col("template"), n)).otherwise(hashes)
-    rows = items.withColumn("hashes", hashes).select("item_id", "length", "template", F.posexplode("hashes").alias("item_at", "hash"))
-    rows = rows.withColumn("window", F.slice("template", F.col("item_at") + 1, F.col("length")))
-    kept = rows.where(_literals(F.col("window")) >= LITERALS)
-    return kept.select("item_id", "length", "item_at", "hash", (F.size("window") - _literals(F.col("window"))).alias("slots"))
+
+    def hashes(column: str) -> Column:
+        out = F.lit(None).cast("array<bigint>")
+        for n in range(LITERALS, WINDOW + 1):
+            out = F.when(F.col("length") == n, window_hashes(F.col(column), n)).otherwise(out)
+        return out
+
+    columns = ["item_id", "length", "item_at", "hash", "slots", "whole", "whole_hash"]
+    plain = items.select("item_id", "length", F.posexplode(hashes("plain")).alias("item_at", "hash"))
+    plain = plain.withColumns({"slots": F.lit(0), "whole": F.col("length"), "whole_hash": F.lit(None).cast("long")})
+    at = F.filter(F.transform("template", lambda w, i: F.when(_is_literal(w), i)), lambda i: i.isNotNull())
+    rows = items.withColumn("literal_at", at).select("item_id", "length", "template", "literal_at", F.posexplode(hashes("template")).alias("item_at", "hash"))
+    enough = _literals(F.slice("template", F.col("item_at") + 1, F.col("length"))) >= LITERALS
+    k = F.array_position("literal_at", F.col("item_at"))
+    longer = F.when(k > 0, F.get("literal_at", (k + (LITERALS - 2)).cast("int")) - F.col("item_at") + 1)
+    all_words = F.when((F.size("literal_at").between(1, LITERALS - 1)) & (F.col("item_at") == 0), F.size("template"))
+    rows = rows.withColumn("whole", F.when(enough, F.col("length")).otherwise(F.coalesce(longer, all_words))).where("whole is not null")
+    window = F.slice("template", F.col("item_at") + 1, F.col("whole"))
+    rows = rows.withColumn("slots", F.col("whole") - _literals(window))
+    rows = rows.withColumn("whole_hash", F.when(F.col("whole") > F.col("length"), _run_hash(F.col("template"), F.col("item_at"), F.col("whole"))))
+    return plain.select(*columns).unionByName(rows.select(*columns))
+
+
+def _lengthened(matches: DataFrame, docs: DataFrame) -> DataFrame:
+    """Matches whose windows are longer than the run that was joined, if the document goes on like the window."""
+    ours = docs.join(matches.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", words(canonical(F.col("text"))).alias("template"))
+    return matches.join(ours, "doc_id").where(_run_hash(F.col("template"), F.col("doc_at"), F.col("whole")) == F.col("whole_hash")).select(*matches.columns).distinct()
 
 
 def _slot_pairs(matches: DataFrame, docs: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id, shift, consistent) for matches whose windows have slots; windows of equal shift (doc_at - item_at) are one alignment, so two copies with other parameters are judged apart."""
     ours = docs.join(matches.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", words(canonical(F.col("text"))).alias("template"), raw_words(F.col("text")).alias("raw"))
     theirs = items.select("item_id", raw_words(F.col("text")).alias("item_raw"))
-    spots = matches.select("doc_id", "item_id", "shift", "doc_at", "item_at", F.explode(F.sequence(F.lit(0), F.col("length") - 1)).alias("k"))
+    spots = matches.select("doc_id", "item_id", "shift", "doc_at", "item_at", F.explode(F.sequence(F.lit(0), F.col("whole") - 1)).alias("k"))
     values = (
         spots.join(ours, "doc_id")
         .join(theirs, "item_id")
@@ -106,7 +147,9 @@ def _slot_pairs(matches: DataFrame, docs: DataFrame, items: DataFrame) -> DataFr
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, item_id, n_matched, n_windows, coverage) for each document that holds a window of an item.
 
-    ``n_matched`` counts the item's windows that the document has, ``coverage`` is their share.
+    ``n_matched`` counts the item's words at which a window starts that the document has, of
+    ``n_windows`` at which one starts; ``coverage`` is their share. Copies are found in any
+    case, and with other parameters if names stay capitalised.
     Null and empty texts and null item ids match nothing; rows with the same doc_id count as
     one document; a null doc_id is left out. Other columns are not read. Without matches, or
     for empty tables, the result is empty.
@@ -115,19 +158,26 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     bench = written(benchmark_windows(items), "benchmark-windows")
     shape = {r["length"]: r["n"] for r in bench.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most a row for each length up to WINDOW
     rows = docs.where(F.col(f"`{id_col}`").isNotNull()).select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    templates = rows.select("doc_id", words(canonical(F.col("text"))).alias("template"))
+    templates = rows.select("doc_id", words(canonical(F.col("text"))).alias("template"), plain_words(F.col("text")).alias("plain"))
     small = sum(shape.values()) <= BROADCAST_WINDOWS
     found = None
     for length in sorted(shape):
-        windows = templates.select("doc_id", F.posexplode(window_hashes(F.col("template"), length)).alias("doc_at", "hash"))
+        # template windows come first, so that doc_at holds for all windows with slots
+        both = F.when(F.col("template") == F.col("plain"), window_hashes(F.col("template"), length)).otherwise(
+            F.concat(window_hashes(F.col("template"), length), window_hashes(F.col("plain"), length))
+        )
+        windows = templates.select("doc_id", F.posexplode(both).alias("doc_at", "hash"))
         known = bench.where(F.col("length") == length)
-        hits = windows.join(F.broadcast(known) if small else known, "hash").select("doc_id", "item_id", "length", "doc_at", "item_at", "slots")
+        hits = windows.join(F.broadcast(known) if small else known, "hash").select("doc_id", "item_id", "length", "doc_at", "item_at", "slots", "whole", "whole_hash")
         found = hits if found is None else found.unionByName(hits)
     if found is None:
         return rows.where("false").select("doc_id", F.lit(0).cast("long").alias("item_id"), F.lit(0).cast("long").alias("n_matched"), F.lit(0).cast("long").alias("n_windows"), F.lit(0.0).alias("coverage"))
     matches = written(found, "template-matches")
     plain = matches.where("slots = 0").select("doc_id", "item_id", "item_at")
     slotted = matches.where("slots > 0").withColumn("shift", F.col("doc_at") - F.col("item_at"))
+    longer = slotted.where("whole > length")
+    if not longer.isEmpty():
+        slotted = written(slotted.where("whole = length").unionByName(_lengthened(longer, rows)), "slotted-matches")
     if not slotted.isEmpty():
         judged = _slot_pairs(slotted, rows, items).where("consistent").select("doc_id", "item_id", "shift")
         plain = plain.unionByName(slotted.join(judged, ["doc_id", "item_id", "shift"], "left_semi").select("doc_id", "item_id", "item_at"))

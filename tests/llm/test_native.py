@@ -40,6 +40,27 @@ def test_contamination(documents, benchmark):
     assert kept == {3, 4, 5, 6, None}
 
 
+def test_contamination_of_dense_and_recased_items(spark, documents):
+    dense, units, german = "Multiply 14 by 27 then add 19", "Add 12 km 30 m and 4 km 75 m", "Der Hund lief durch den Wald und fand am Bach eine alte Karte von der großen Stadt"
+    table = "First list " + " ".join(str(i * i) for i in range(3, 23)) + " second list then close both of them"
+    items = spark.createDataFrame([(1, dense), (2, units), (3, german), (4, "Compute the sum of six odd numbers"), (5, table)], "item_id long, text string")
+    rows = [
+        (1, f'we say "{dense}."'),
+        (2, units),
+        (3, german.lower()),
+        (4, german.upper()),
+        (5, "please solve Compute the sum of six odd numbers"),
+        (6, dense.replace("14", "3").replace("27", "5").replace("19", "8")),
+        (7, dense.replace("14", "3").replace("27", "3")),  # two values of the item, one of the document
+        (8, table.replace("81", "82")),
+        (9, "First list " + " ".join(str(i * i) for i in range(3, 23)) + " and nothing else"),
+        (10, "First list 1 2 3 4 5 6 7 8 9"),
+    ]
+    found = {(r.doc_id, r.item_id): r.coverage for r in decontaminate.contaminated(documents(rows), items).collect()}
+    assert set(found) == {(1, 1), (2, 2), (3, 3), (4, 3), (5, 4), (6, 1), (8, 5), (9, 5)}
+    assert {found[k] for k in ((1, 1), (2, 2), (3, 3), (4, 3), (5, 4), (6, 1))} == {1.0}
+
+
 def test_contamination_of_empty_tables(spark, documents, benchmark):
     assert decontaminate.contaminated(documents([]), benchmark).collect() == []
     assert decontaminate.contaminated(documents([(1, ITEM)]), benchmark.where("false")).collect() == []
