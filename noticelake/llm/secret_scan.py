@@ -4,7 +4,9 @@ Three base patterns find assignments of credentials, access keys and long hex st
 Beyond them, runs that look like base64, hex, PEM blocks or signed tokens are decoded and
 parsed, and are reported only if the structure holds: DER private keys by their nested
 lengths and leading fields, OpenSSH keys by their length-prefixed strings, signed tokens
-by a JSON header that names an algorithm and a JSON object as payload.
+by a JSON header that names an algorithm and a JSON object as payload, PEM blocks that are
+encrypted under a header by their cipher's block length. Line breaks may be real or
+escaped, and base64 lines of equal width are joined before they are decoded.
 
 Every document is one row of work in the task that read it, so no shuffle is needed.
 """
@@ -33,9 +35,22 @@ HEX = re.compile(r"[0-9a-f]+")
 ASSIGN_WORDS = ("password", "passwd", "secret", "token", "api")
 MIN_ASSIGN, MIN_ACCESS, MIN_HEX = 6, 20, 24
 
-PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([A-Za-z0-9+/=\s]+)-----END \1-----", re.ASCII)
+PEM = re.compile(
+    r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----"
+    r"((?:(?:\s|\\+[rnt])*+[A-Za-z][A-Za-z0-9-]*+:[^\r\n\\]*+(?=[\r\n]|\\+[rn]))*+)"  # header lines
+    r"((?:[A-Za-z0-9+/=\s]|\\+[rnt/])++)-----END \1-----",
+    re.ASCII,
+)
+ENCRYPTED = re.compile(r"Proc-Type: ?4, ?ENCRYPTED(?:\s|\\+[rnt])+DEK-Info: ?[A-Z0-9-]+, ?([0-9A-Fa-f]+)", re.ASCII)
+ESCAPED = re.compile(r"\s|\\+[rnt]|\\+(?=/)", re.ASCII)
 JWT = re.compile(r"(?<![\w.-])eyJ[\w-]+\.[\w-]+\.[\w-]*", re.ASCII)
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}")
+#: Base64 lines, one below the other.
+WRAPPED = re.compile(
+    r"(?:(?<![A-Za-z0-9+/_\\-])|(?<=\\[nrt]))[A-Za-z0-9+/_-]++={0,2}+(?:[ \t]*+(?:\r?\n|(?:\\+r)?\\+n)[ \t]*+[A-Za-z0-9+/_-]++={0,2}+)*+"
+)
+LINE = re.compile(r"(?<!\\)[A-Za-z0-9+/_-]++={0,2}+|(?<=\\[nrt])[A-Za-z0-9+/_-]++={0,2}+")
+MIN_LINE = 16
 HEX_KEY = re.compile(r"[0-9A-Fa-f]{64,}")
 
 _HEX_BYTE = np.isin(np.arange(256), np.frombuffer(b"0123456789abcdef", np.uint8))
@@ -128,16 +143,45 @@ def is_signed_token(run: str) -> bool:
     return header["alg"].lower() == "none" or len(raw[2]) >= 16
 
 
+def _pem_key(headers: str, raw: bytes) -> bool:
+    """A key in the clear, or one of whole blocks of the cipher that the headers name."""
+    cipher = ENCRYPTED.search(headers)
+    block = len(cipher[1]) // 2 if cipher else 0
+    return is_der_key(raw) or is_openssh_key(raw) or (block in (8, 16) and len(raw) >= 32 and len(raw) % block == 0)
+
+
+def _wrapped(text: str) -> Iterator[tuple[str, int, int]]:
+    """(joined run, start, end) of base64 lines of equal width and at most one shorter line after them; runs that cannot begin a key are left out."""
+    for chain in WRAPPED.finditer(text):
+        lines = list(LINE.finditer(text, *chain.span()))
+        i = 0
+        while i < len(lines):
+            width, j = len(lines[i][0]), i + 1
+            while j < len(lines) and len(lines[j][0]) == width and not lines[j - 1][0].endswith("="):
+                j += 1
+            if width >= MIN_LINE and lines[i][0].startswith(("M", "b3Blb")):
+                run = "".join(m[0] for m in lines[i:j])
+                if j < len(lines) and len(lines[j][0]) < width and not run.endswith("="):
+                    yield run + lines[j][0], lines[i].start(), lines[j].end()
+                if len(run) >= 40:
+                    yield run, lines[i].start(), lines[j - 1].end()
+            i = j
+
+
 def _structured(text: str, hex_run: bool) -> list[tuple[str, int, int]]:
     found: list[tuple[str, int, int]] = []
     if "-----BEGIN " in text:
         for m in PEM.finditer(text):
-            raw = decode_base64("".join(m[2].split()))
-            if raw and (is_der_key(raw) or is_openssh_key(raw)):
+            raw = decode_base64(ESCAPED.sub("", m[3]))
+            if raw and _pem_key(m[2], raw):
                 found.append(("pem", *m.span()))
     inside = lambda m: any(a <= m.start() and m.end() <= b for _, a, b in found)
     if "eyJ" in text:
         found += [("jwt", *m.span()) for m in JWT.finditer(text) if is_signed_token(m[0])]
+    for run, start, end in _wrapped(text):
+        raw = None if any(a < end and start < b for _, a, b in found) else decode_base64(run)
+        if raw and (is_openssh_key(raw) or is_der_key(raw)):
+            found.append(("openssh" if is_openssh_key(raw) else "der", start, end))
     for m in BASE64.finditer(text):
         raw = None if inside(m) else decode_base64(m[0])
         if raw and is_openssh_key(raw):
@@ -165,7 +209,7 @@ def find_secrets(text: str | None) -> list[tuple[str, int, int]]:
     raw = np.frombuffer(text.encode(), np.uint8)
     if _has_run(raw, _HEX_BYTE, MIN_HEX):
         found += [("hex", *m.span()) for m in HEX.finditer(text) if m.end() - m.start() >= MIN_HEX]
-    if _has_run(raw, _BASE64_BYTE, 40) or "-----BEGIN " in text or "eyJ" in text:
+    if _has_run(raw, _BASE64_BYTE, MIN_LINE) or "-----BEGIN " in text or "eyJ" in text:
         found += _structured(text, True)
     return sorted(set(found), key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 

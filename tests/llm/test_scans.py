@@ -54,6 +54,24 @@ def test_structures_are_confirmed():
         assert not [s for s in secret_scan.find_secrets(text) if s[0] not in ("assign", "access", "hex")]
 
 
+def test_wrapped_and_escaped_keys():
+    plain = base64.b64encode(rsa_key()).decode()
+    lines = [plain[i : i + 64] for i in range(0, len(plain), 64)]
+    cipher = base64.b64encode(bytes(range(256)) * 2).decode()
+    armour = lambda body, br: f"-----BEGIN RSA PRIVATE KEY-----{br}{body}{br}-----END RSA PRIVATE KEY-----"
+    locked = lambda br, size: armour(br.join(["Proc-Type: 4,ENCRYPTED", f"DEK-Info: AES-128-CBC,{'0A' * size}", "", cipher]), br)
+    for br in ("\n", "\r\n", "\\n", "\\r\\n"):
+        joined = br.join(lines)
+        narrow = br.join(plain[i : i + 32] for i in range(0, len(plain), 32))
+        for kind, secret in (("pem", armour(joined, br)), ("pem", locked(br, 16)), ("der", joined), ("der", narrow)):
+            for before, after in (('{"key": "', '"}'), ("é word" + br, br + "word")):
+                spans = [s for s in secret_scan.find_secrets(before + secret + after) if s[0] not in ("assign", "access", "hex")]
+                assert spans == [(kind, len(before), len(before) + len(secret))], (kind, br, before)
+    assert "MII" not in secret_scan.redact(armour("\\n".join(lines), "\\n"), secret_scan.find_secrets(armour("\\n".join(lines), "\\n")))
+    for text in (locked("\n", 5), armour("\\n".join(lines[:-1]), "\\n"), "\n".join(lines[1:])):
+        assert not [s for s in secret_scan.find_secrets(text) if s[0] not in ("assign", "access", "hex")]
+
+
 def test_scan_and_mask(documents):
     rows = [(1, "token = 'abcdef12' end"), (2, None), (3, ""), (None, "clean"), (4, "clean"), (4, "clean")]
     found = secret_scan.secret_digests(documents(rows)).collect()
