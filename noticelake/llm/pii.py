@@ -1,7 +1,9 @@
 """Format-preserving pseudonyms by keyed Feistel networks, in DataFrame functions only.
 
 Candidates are found by one pattern and validated: payment cards by their check digit,
-phone numbers and network addresses by their form and ranges, dates by the calendar. A validated value is permuted within its format under a key, so
+phone numbers and network addresses by their form and ranges, dates by the calendar. Phone
+numbers are permuted behind their calling code or trunk zero, so that the international and
+the national notation of a number have the same digits. A validated value is permuted within its format under a key, so
 equal values have equal pseudonyms in every document and different ones stay different.
 Digits run through a Feistel network over the digit halves; dates through one over the
 days of four hundred years. Letters of mail addresses are replaced by a keyed digest.
@@ -20,11 +22,18 @@ ROUNDS = 8
 #: Kinds in the order in which they are tried at a position. Fixed patterns.
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
 PHONE = r"\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}(?!\d)"
+_APART, _ENDS = r"(?<![\d+])(?<!\d[./-])", r"(?!\d)(?![./-]\d)"
+AMERICAN = r"(?:1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}"
+TRUNK = r"(?:0[1-9](?:[ .-]\d{2}){4}|\(?0[1-9]\d{1,4}\)?(?: ?[/-] ?| )\d{5,8})"
+HOME = f"{_APART}(?:{AMERICAN}|{TRUNK}){_ENDS}"
+#: Calling codes of one and two digits; all others have three. A fixed list.
+CALLING = r"^(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
 ADDRESS = r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?![\d.]*\d)"
 DATE = r"(?<![\d.-])(?:\d{4}-\d{2}-\d{2}|\d{2}\.\d{2}\.\d{4}|\d{2}/\d{2}/\d{4})(?![\d-])"
 NATIONAL = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
 CARD = r"(?<![\d])\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7}(?!\d)"
-CANDIDATE = "|".join((EMAIL, PHONE, ADDRESS, DATE, NATIONAL, CARD))
+CARD_IN_THREE = r"(?<!\d)\d{4}[ -]\d{6}[ -]\d{4,5}(?!\d)"
+CANDIDATE = "|".join((EMAIL, PHONE, ADDRESS, DATE, NATIONAL, HOME, CARD, CARD_IN_THREE))
 
 _A, _B = 189, 773  # the 146,097 days of four hundred years, as a product
 _FIRST_DAY = "1801-01-01"
@@ -87,7 +96,7 @@ def passes_check(digits: Column) -> Column:
 
 
 def _day(value: Column) -> Column:
-    return F.coalesce(F.try_to_date(value, "yyyy-MM-dd"), F.try_to_date(value, "dd.MM.yyyy"), F.try_to_date(value, "MM/dd/yyyy"))
+    return F.coalesce(F.try_to_date(value, "yyyy-MM-dd"), F.try_to_date(value, "dd.MM.yyyy"), F.try_to_date(value, "MM/dd/yyyy"), F.try_to_date(value, "dd/MM/yyyy"))
 
 
 def kind_of(value: Column) -> Column:
@@ -102,6 +111,8 @@ def kind_of(value: Column) -> Column:
         .when(value.rlike(r"^\d{1,3}(?:\.\d{1,3}){3}$"), F.when(octets, F.lit("address")))
         .when(value.rlike(r"^(?:\d{4}-\d{2}-\d{2}|\d{2}\.\d{2}\.\d{4}|\d{2}/\d{2}/\d{4})$"), F.when(F.year(day).between(1801, 2200), F.lit("date")))
         .when(value.rlike(r"^\d{3}-\d{2}-\d{4}$"), F.when(national, F.lit("national")))
+        .when(value.rlike(f"^{AMERICAN}$"), F.when(digits.rlike(r"^1?[2-9](?!11|9)\d{2}[2-9](?!11)\d{6}$"), F.lit("phone")))
+        .when(value.rlike(f"^{TRUNK}$"), F.when(F.length(digits).between(9, 12), F.lit("phone")))
         .when(F.length(digits).between(13, 19), F.when(passes_check(digits), F.lit("card")))
     )
 
@@ -125,7 +136,9 @@ def pseudonym(kind: Column, value: Column, key: str = KEY) -> Column:
     """The value's stand-in of the same form; an invalid candidate stays."""
     digits = _digits(value)
     n = F.length(digits)
-    whole = F.length(F.regexp_extract(value, r"^\+\d{1,3}", 0)) - 1
+    # what stays: the calling code and a trunk zero in brackets, the one of American numbers, or the trunk zero
+    abroad = F.length(F.regexp_extract(digits, CALLING, 0)) + value.rlike(r"^\+\d{1,3}[ .-]?\(0\)").cast("int")
+    whole = F.when(value.startswith("+"), abroad).when(value.rlike(f"^{TRUNK}$"), F.lit(1)).otherwise(n - 10)
     phone = F.concat(F.substring(digits, F.lit(1), whole), permuted_digits(F.substring(digits, whole + 1, n), key))
     payload = permuted_digits(F.substring(digits, F.lit(1), n - 1), key)
     card = F.concat(payload, check_digit(payload))
@@ -141,7 +154,7 @@ def pseudonym(kind: Column, value: Column, key: str = KEY) -> Column:
     dotted = lambda s: F.concat_ws(".", (s["a"] / 256).cast("int"), s["a"] % 256, (s["b"] / 256).cast("int"), s["b"] % 256)
     address = F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), halves, swap, dotted)
     day = permuted_day(_day(value), key)
-    date = F.when(value.contains("."), F.date_format(day, "dd.MM.yyyy")).when(value.contains("/"), F.date_format(day, "MM/dd/yyyy")).otherwise(F.date_format(day, "yyyy-MM-dd"))
+    date = F.when(value.contains("."), F.date_format(day, "dd.MM.yyyy")).when(value.contains("/"), F.when(F.try_to_date(value, "MM/dd/yyyy").isNull(), F.date_format(day, "dd/MM/yyyy")).otherwise(F.date_format(day, "MM/dd/yyyy"))).otherwise(F.date_format(day, "yyyy-MM-dd"))
     email = F.concat(F.lit("u"), F.substring(F.sha2(F.concat(F.lit(key), F.lit(":"), F.lower(value)), 256), 1, 16), F.lit("@example.invalid"))
     return (
         F.when(kind == "email", email)

@@ -120,6 +120,26 @@ def test_pseudonyms(documents):
     assert pii.pii_report(documents([])).collect() == []
 
 
+def test_notations_of_a_value_have_one_pseudonym(documents):
+    same = ["+1 (663) 555-6869", "+16635556869", "(663) 555-6869", "663-555-6869", "663.555.6869", "1-663-555-6869"]
+    german = ["+49 171 1234567", "+491711234567", "+49 (0)171 1234567", "0171 1234567", "0171/1234567"]
+    cards, dates = ["378282246310005", "3782 822463 10005", "3782-822463-10005"], ["31/12/1999", "12/31/1999", "1999-12-31"]
+    rows = [(i, f"see {v}, now") for i, v in enumerate(same + german + cards + dates)]
+    rows += [(90, "no 123-456-7890, 3782 822463 10006, 32/12/1999, 02139-1234, 1.663.555.68690"), (91, "tel. 01 23 45 67 89")]
+    got = {r.doc_id: r for r in pii.pseudonymise(documents(rows)).collect()}
+    digits = [re.sub(r"\D", "", got[i].found[0].pseudonym) for i in range(len(rows) - 2)]
+    for i, v in enumerate(same + german + cards + dates):
+        assert len(got[i].found) == 1 and got[i].found[0].value == v and v not in got[i].clean_text, v
+        assert re.sub(r"\d", "0", got[i].found[0].pseudonym) == re.sub(r"\d", "0", v)
+    assert [got[i].found[0].kind for i in range(17)] == ["phone"] * 11 + ["card"] * 3 + ["date"] * 3
+    assert len({d[-10:] for d in digits[:6]}) == 1 and digits[0][-10:] != "6635556869" and {d[:-10] for d in digits[:6]} == {"", "1"}
+    assert len({d[-10:] for d in digits[6:11]}) == 1 and {d[:-10] for d in digits[6:11]} == {"49", "490", "0"}
+    assert len(set(digits[11:14])) == 1 and luhn(digits[11])
+    day, us, iso = digits[14:17]
+    assert iso == day[4:] + day[2:4] + day[:2] == us[4:] + us[:2] + us[2:4]
+    assert got[90].found == [] and [f.kind for f in got[91].found] == ["phone"]
+
+
 def test_fingerprints_follow_the_next_document(documents):
     rng = random.Random(9)
     words = [f"w{i}" for i in range(300)]
