@@ -1,7 +1,7 @@
 """Licence scan by canonical digests, in DataFrame functions only.
 
 A licence text or notice is brought to a canonical form: case, punctuation and white space
-are levelled, copyright lines go, and equivalent spellings become one. The digest of an
+are levelled, copyright claims and title lines go, and equivalent spellings become one. The digest of an
 entire document, and of each of its entire lines, is joined with the digests of the known
 texts. The table of known digests has a row for each known text.
 """
@@ -77,14 +77,23 @@ SPELLINGS = (
     (" v3", " version 3"),
 )
 
-#: Lines that carry a copyright claim alone. A fixed pattern.
+#: Lines that carry a copyright claim: the word with a sign, a year or a holder, but not one that a clause is wrapped to. A fixed pattern.
+CLAIM_LINE = (
+    r"(?m)^[^\p{L}\n]*(?:(?i:copyright)[^\p{L}\n]*(?:\([cC]\)|©|\d{4})|\([cC]\)[^\p{L}\n]*(?:\d{4}|(?i:copyright))|©"
+    r"|Copyright[^\p{L}\n]+(?:by )?(?!(?:Holder|Owner|Notice|Licen[sc]e|Law)s?\b)\p{Lu}|(?i:all rights reserved)[^\p{L}\n]*$).*$"
+)
+#: Lines that carry a licence's name alone. A fixed pattern.
+TITLE_LINE = r"(?im)^[^\p{L}\n]*(?:the )?(?:mit|isc) licen[sc]e(?: \((?:mit|isc)\))?[^\p{L}\n]*$"
+#: The copyright lines of the SQL, which also drops clauses that are wrapped to the word.
 COPYRIGHT_LINE = r"(?im)^[^\p{L}\n]*(?:copyright|all rights reserved|\(c\)|©)(?:[^\p{L}\n].*)?$"
 NOT_WORD = r"[^a-z0-9à-ɏ]+"
 
 
 def canonical(text: Column) -> Column:
-    """Single-spaced lower-case words without copyright lines, in one spelling."""
-    out = F.lower(F.when(F.lower(text).rlike("copyright|rights reserved|\\(c\\)|©"), F.regexp_replace(text, COPYRIGHT_LINE, "")).otherwise(text))
+    """Single-spaced lower-case words without copyright claims and titles, in one spelling."""
+    lower = F.lower(text)
+    out = F.when(lower.rlike("copyright|rights reserved|\\(c\\)|©"), F.regexp_replace(text, CLAIM_LINE, "")).otherwise(text)
+    out = F.lower(F.when(lower.rlike("(?:mit|isc) licen[sc]e"), F.regexp_replace(out, TITLE_LINE, "")).otherwise(out))
     out = F.trim(F.regexp_replace(out, NOT_WORD, " "))
     for old, new in SPELLINGS:
         out = F.replace(out, F.lit(old), F.lit(new))
@@ -110,9 +119,10 @@ def scan_licenses(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", tex
     rows = docs.select(F.col(f"`{id_col}`").alias(id_col), text_or_empty(text_col).alias("text"))
     texts = rows.select(id_col, F.lit("text").alias("scope"), "text")
     lines = rows.select(id_col, F.lit("line").alias("scope"), F.explode(F.split("text", r"\n")).alias("text")).where("text <> ''")
-    sized = texts.unionByName(lines).select(id_col, "scope", canonical(F.col("text")).alias("canonical")).where("canonical <> ''")
-    hashed = sized.select(id_col, "scope", F.sha2("canonical", 256).alias("digest"))
-    return hashed.join(F.broadcast(known.select("license", "digest")), "digest").groupBy(id_col, "scope", "license").agg(F.count("*").alias("n_found"))
+    sized = texts.unionByName(lines).select(id_col, "scope", F.coalesce(digest(F.col("text")), F.lit("")).alias("digest"))
+    # neither a filter on the form nor one on a null digest, for which each form would be made twice
+    worded = known.where(F.col("digest") != F.sha2(F.lit(""), 256)).select("license", "digest")
+    return sized.join(F.broadcast(worded), "digest").groupBy(id_col, "scope", "license").agg(F.count("*").alias("n_found"))
 
 
 def _sql_canonical(text: str) -> str:

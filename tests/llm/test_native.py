@@ -185,3 +185,16 @@ def test_licences(spark, documents):
     found = {tuple(r) for r in license_scan.scan_licenses(documents(rows), license_scan.known_digests(spark)).collect()}
     assert found == {(1, "text", "MIT", 1), (1, "line", "MIT", 1), (2, "line", "MIT", 2), (6, "text", "CC-BY-NC-4.0", 1), (6, "line", "CC-BY-NC-4.0", 1)}
     assert license_scan.scan_licenses(documents([]), license_scan.known_digests(spark)).collect() == []
+
+
+def test_licence_files_with_titles_and_wrapped_clauses(spark, documents):
+    mit, isc = (next(t for name, t in license_scan.KNOWN if name == wanted and len(t) > 500) for wanted in ("MIT", "ISC"))
+    wrapped = lambda t: t.replace(" copyright ", "\ncopyright ").replace(" COPYRIGHT ", "\nCOPYRIGHT ")
+    files = [
+        (1, "ISC License\n\nCopyright (c) 2020, Someone\n\n" + wrapped(isc)),
+        (2, "The MIT License (MIT)\n\nCopyright 2020 Someone\nCopyright Jane Doe. All rights reserved.\n(c) 2021 Someone\n\n" + wrapped(mit)),
+        (3, "MIT License"),
+        (4, " \n!"),
+    ]
+    found = {tuple(r) for r in license_scan.scan_licenses(documents(files), license_scan.known_digests(spark)).collect()}
+    assert found == {(1, "text", "ISC", 1), (2, "text", "MIT", 1)}
