@@ -3,8 +3,8 @@
 Documents are cut into pre-tokens. Each task packs its documents into blocks of
 bounded size: a dictionary of the block's distinct words, dealt by the word's hash
 into buckets, and each document's word numbers in order of position. The buckets
-are shuffled, so that all copies of a word meet in one task and are encoded there
-once; the ids travel back to their block, where documents are put together by
+are shuffled and sorted, so that all copies of a word meet in one task, one after the
+other, and are encoded there once; the ids travel back to their block, where documents are put together by
 position. Packing keeps a shuffle row for each (block, bucket) rather than one for
 each word occurrence, so a word that is in every block costs one entry a block and
 no key is hot.
@@ -14,7 +14,8 @@ shuffled once, straight to their block. Both passes must see the same rows in th
 order, as a scan of files gives them; a block whose two halves differ raises an error.
 
 Decoding joins ids with the vocabulary's (token, bytes) table: ``decode_ids`` does it
-for any frame of id arrays, and ``encode_documents`` for each distinct word of a block.
+for any frame of id arrays; ``encode_documents`` looks the ids of whole documents, once
+these are put together, up in the same table, so the bytes check the ids.
 """
 
 from __future__ import annotations
@@ -34,17 +35,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from noticelake.llm.common import free_name, text_or_empty
-from noticelake.llm.pretokens import pretokens
+from noticelake.llm.pretokens import settled, words_and_odd
 
 RANKS = "byte_bpe_50k.tiktoken"
+#: Tokens of a vocabulary, at most: its table is broadcast.
+TOKENS = 2_000_000
 
 #: Bytes of text in a block; a longer document is a block by itself.
 BLOCK_BYTES = 12 << 20
 
-#: Distinct words whose ids a task remembers; others are encoded again.
-KNOWN_WORDS = 300_000
-
-_WORDS = "block long, bucket int, payload binary"
+_WORDS = "block long, bucket int, digest long, payload binary"
 _PLACES = "block long, digest long, payload binary"
 
 @lru_cache(maxsize=4)
@@ -60,12 +60,13 @@ def codec(path: str) -> tiktoken.Encoding:
 
 
 @lru_cache(maxsize=4)
-def token_bytes(path: str) -> list[bytes]:
+def token_bytes(path: str) -> pa.BinaryArray:
+    """The bytes of each token, by its number."""
     found = ranks(path)
     out = [b""] * (max(found.values()) + 1)
     for token, rank in found.items():
         out[rank] = token
-    return out
+    return pa.array(out, pa.binary())
 
 
 def token_table(spark: SparkSession, path: str | None = None) -> DataFrame:
@@ -81,22 +82,22 @@ def decode_ids(encoded: DataFrame, tokens: DataFrame, ids_col: str = "token_ids"
     empty one to no bytes; an id outside the table makes the row null. The token table is
     a vocabulary, so it is broadcast; rows are put together by position.
     """
-    row, pos, tok = (free_name(encoded, x) for x in ("_row", "_pos", "_tok"))
+    row, all_ids, pos, tok, data, found, lost, out = (free_name(encoded, x) for x in ("_row", "_ids", "_pos", "_tok", "_bytes", "_parts", "_lost", "_out"))
     keyed = encoded.withColumn(row, F.xxhash64(F.col(f"`{ids_col}`")))
-    distinct = keyed.select(row, F.col(f"`{ids_col}`").alias("_ids")).where("_ids is not null").dropDuplicates([row, "_ids"])
+    distinct = keyed.select(row, F.col(f"`{ids_col}`").alias(all_ids)).where(F.col(all_ids).isNotNull()).dropDuplicates([row, all_ids])
+    table = tokens.limit(TOKENS + 1).select(F.col("token").alias(tok), F.col("bytes").alias(data))
+    if table.count() > TOKENS:
+        raise ValueError(f"a vocabulary of more than {TOKENS} tokens")
     parts = (
-        distinct.select(row, "_ids", F.posexplode("_ids").alias(pos, tok))
-        .join(F.broadcast(tokens.select(F.col("token").alias(tok), "bytes")), tok, "left")
-        .groupBy(row, "_ids")
-        .agg(
-            F.sort_array(F.collect_list(F.struct(pos, "bytes"))).alias("_parts"),
-            F.count(F.when(F.col("bytes").isNull(), 1)).alias("_lost"),
-        )
-        .select(row, "_ids", F.when(F.col("_lost") == 0, F.unhex(F.array_join(F.transform("_parts", lambda p: F.hex(p["bytes"])), ""))).alias("_out"))
+        distinct.select(row, all_ids, F.posexplode(all_ids).alias(pos, tok))
+        .join(F.broadcast(table), tok, "left")
+        .groupBy(row, all_ids)
+        .agg(F.sort_array(F.collect_list(F.struct(pos, data))).alias(found), F.count(F.when(F.col(data).isNull(), 1)).alias(lost))
+        .select(row, all_ids, F.when(F.col(lost) == 0, F.unhex(F.array_join(F.transform(found, lambda p: F.hex(p[data])), ""))).alias(out))
     )
-    joined = keyed.join(parts, (keyed[row] == parts[row]) & (keyed[ids_col] == parts["_ids"]), "left")
-    out = F.when(F.size(F.col(f"`{ids_col}`")) == 0, F.lit(b"")).otherwise(F.col("_out"))
-    return joined.select(*(keyed[c] for c in encoded.columns), out.alias(out_col))
+    joined = keyed.join(parts, (keyed[row] == parts[row]) & (keyed[ids_col] == parts[all_ids]), "left")
+    value = F.when(F.size(F.col(f"`{ids_col}`")) == 0, F.lit(b"")).otherwise(F.col(out))
+    return joined.select(*(keyed[c] for c in encoded.columns), value.alias(out_col))
 
 
 def _bucket_of(words: pa.Array, buckets: int) -> np.ndarray:
@@ -152,12 +153,12 @@ def _dictionary(part: pa.RecordBatch, buckets: int) -> tuple[list[bytes], np.nda
 
 
 def _word_rows(block: int, part: pa.RecordBatch, buckets: int) -> list[tuple]:
-    words, bucket, _, _ = _dictionary(part, buckets)
+    words, bucket, _, digest = _dictionary(part, buckets)
     if not words:
         return []
     used, first = np.unique(bucket, return_index=True)
     last = [*first[1:].tolist(), len(words)]
-    return [(block, int(b), _pack_strings(words[i:j])) for b, i, j in zip(used.tolist(), first.tolist(), last, strict=True)]
+    return [(block, int(b), digest, _pack_strings(words[i:j])) for b, i, j in zip(used.tolist(), first.tolist(), last, strict=True)]
 
 
 def _place_rows(block: int, part: pa.RecordBatch, buckets: int) -> list[tuple]:
@@ -179,7 +180,7 @@ def _batch(rows: list[tuple], fields: list[tuple[str, pa.DataType]]) -> pa.Recor
     return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, (_, kind) in zip(columns, fields, strict=True)], [name for name, _ in fields])
 
 
-_WORD_FIELDS = [("block", pa.int64()), ("bucket", pa.int32()), ("payload", pa.binary())]
+_WORD_FIELDS = [("block", pa.int64()), ("bucket", pa.int32()), ("digest", pa.int64()), ("payload", pa.binary())]
 _PLACE_FIELDS = [("block", pa.int64()), ("digest", pa.int64()), ("payload", pa.binary())]
 
 
@@ -187,6 +188,7 @@ def _blocks(pack_rows, fields, buckets: int, block_bytes: int):
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = 0
         for batch in batches:
+            batch = batch.set_column(batch.schema.get_field_index("words"), "words", settled(batch))
             for part in _slices(batch, block_bytes):
                 # the partition's number and the block's within it: the same again if the task is run again
                 if rows := pack_rows((part.column("partition")[0].as_py() << 32) + block, part, buckets):
@@ -198,17 +200,17 @@ def _blocks(pack_rows, fields, buckets: int, block_bytes: int):
 
 def _encode_words(path: str):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        merges, known = codec(path), {}
+        merges, known, current = codec(path), {}, None
         for batch in batches:
             rows = []
-            for block, bucket, payload in zip(*(batch.column(c).to_pylist() for c in ("block", "bucket", "payload")), strict=True):
+            for block, bucket, digest, payload in zip(*(batch.column(c).to_pylist() for c in ("block", "bucket", "digest", "payload")), strict=True):
+                if bucket != current:  # a word is in one bucket alone
+                    current, known = bucket, {}
                 words = _unpack_strings(payload)
-                if len(known) > KNOWN_WORDS:
-                    known.clear()
                 for word in words:
                     if word not in known:
                         known[word] = merges.encode_ordinary(word.decode())
-                rows.append((block, bucket, _pack_ids([known[word] for word in words])))
+                rows.append((block, bucket, digest, _pack_ids([known[word] for word in words])))
             if rows:
                 yield _batch(rows, _WORD_FIELDS)
 
@@ -231,10 +233,7 @@ def _assemble(path: str, slice_ids: int = 1 << 18):
         sizes = np.concatenate([x[0] for x in unpacked]).astype(np.int64) if unpacked else np.zeros(0, np.int64)
         flat = np.concatenate([x[1] for x in unpacked]).astype(np.int32) if unpacked else np.zeros(0, np.int32)
         word_ends = np.cumsum(sizes)
-        listed = flat.tolist()
-        bounds = word_ends.tolist()
-        word_bytes = [b"".join([table[i] for i in listed[a:b]]) for a, b in zip([0, *bounds], bounds, strict=False)]
-        if zlib.crc32(b"\0".join(word_bytes)) != places.column("digest")[0].as_py():
+        if set(words.column("digest").to_pylist()) - {places.column("digest")[0].as_py()}:
             raise ValueError("the documents' rows changed between two passes over them; write them to a table first")
         word_starts = word_ends - sizes
         out, row, ends = [], 0, np.cumsum(lengths)
@@ -247,10 +246,13 @@ def _assemble(path: str, slice_ids: int = 1 << 18):
             # the ids of each word in turn: where the word's ids start, plus 0, 1, 2, ...
             ids = flat[np.repeat(word_starts[used] - upto[:-1], count) + np.arange(upto[-1])]
             cuts = np.concatenate([[0], ends[row:stop] - begin]).astype(np.int64)
-            numbers, edges = used.tolist(), cuts.tolist()
-            decoded = [b"".join([word_bytes[w] for w in numbers[a:b]]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
-            lists = pa.ListArray.from_arrays(pa.array(upto[cuts].astype(np.int32)), pa.array(ids))
-            out.append(pa.Table.from_arrays([pa.array(values[row:stop], mask=~known[row:stop]), lists, pa.array(decoded, pa.binary())], schema=schema))
+            starts = upto[cuts].astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(starts), pa.array(ids))
+            # the ids' bytes lie one after the other: a document's are those from its first id to its last
+            found = table.take(pa.array(ids))
+            byte_ends = np.frombuffer(found.buffers()[1], np.int32, len(found) + 1, found.offset * 4)
+            decoded = pa.BinaryArray.from_buffers(pa.binary(), stop - row, [None, pa.py_buffer(np.ascontiguousarray(byte_ends[starts])), found.buffers()[2]])
+            out.append(pa.Table.from_arrays([pa.array(values[row:stop], mask=~known[row:stop]), lists, decoded], schema=schema))
             row = stop
         return pa.concat_tables(out) if out else schema.empty_table()
 
@@ -272,11 +274,11 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         F.col(f"`{id_col}`").cast("long").alias("id"),
         F.spark_partition_id().cast("long").alias("partition"),
         F.octet_length(text_or_empty(text_col)).alias("bytes"),
-        pretokens(text_or_empty(text_col)).alias("words"),
+        *words_and_odd(text_or_empty(text_col)),
     )
     words = rows.mapInArrow(_blocks(_word_rows, _WORD_FIELDS, buckets, block_bytes), _WORDS)
     places = rows.mapInArrow(_blocks(_place_rows, _PLACE_FIELDS, buckets, block_bytes), _PLACES)
-    coded = words.repartition("bucket").mapInArrow(_encode_words(path), _WORDS)
+    coded = words.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_encode_words(path), _WORDS)
     schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("token_ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.BinaryType())])
     return places.groupBy("block").cogroup(coded.groupBy("block")).applyInArrow(_assemble(path), schema).withColumnRenamed("id", id_col)
 

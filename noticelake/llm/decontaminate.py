@@ -14,10 +14,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from noticelake.llm.common import text_or_empty, written
+from noticelake.llm.common import free_name, text_or_empty, written
 
 WINDOW = 8
-#: Words of a template window that are not placeholders, unless it is an item's whole template; also the shortest item that is looked for.
+#: Words of a template window that are not placeholders, unless it is an item's whole template. An item of fewer words is looked for as an entire text.
 LITERALS = 5
 #: Benchmark windows up to which their table is broadcast (16 bytes each); beyond, the join is shuffled.
 BROADCAST_WINDOWS = 500_000
@@ -91,16 +91,16 @@ def benchmark_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: s
     one, it goes on for ``whole`` words until it has, and an item that has fewer altogether is
     one window of all its words. ``hash`` is of the first ``length`` words, ``whole_hash`` of all.
 
-    An item shorter than ``WINDOW`` is one run; with fewer than ``LITERALS`` words it has none.
+    An item shorter than ``WINDOW`` is one run. With fewer than ``LITERALS`` words it is one of plain words; one without words has none.
     """
     text = text_or_empty(text_col)
     items = benchmark.where(F.col(f"`{id_col}`").isNotNull()).select(F.col(f"`{id_col}`").cast("long").alias("item_id"), words(canonical(text)).alias("template"), plain_words(text).alias("plain"))
     length = F.least(F.size("template"), F.lit(WINDOW))
-    items = items.where(F.size("template") >= LITERALS).withColumn("length", length)
+    items = items.where(F.size("template") >= 1).withColumn("length", length)
 
     def hashes(column: str) -> Column:
         out = F.lit(None).cast("array<bigint>")
-        for n in range(LITERALS, WINDOW + 1):
+        for n in range(1, WINDOW + 1):
             out = F.when(F.col("length") == n, window_hashes(F.col(column), n)).otherwise(out)
         return out
 
@@ -108,7 +108,7 @@ def benchmark_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: s
     plain = items.select("item_id", "length", F.posexplode(hashes("plain")).alias("item_at", "hash"))
     plain = plain.withColumns({"slots": F.lit(0), "whole": F.col("length"), "whole_hash": F.lit(None).cast("long")})
     at = F.filter(F.transform("template", lambda w, i: F.when(_is_literal(w), i)), lambda i: i.isNotNull())
-    rows = items.withColumn("literal_at", at).select("item_id", "length", "template", "literal_at", F.posexplode(hashes("template")).alias("item_at", "hash"))
+    rows = items.where(F.size("template") >= LITERALS).withColumn("literal_at", at).select("item_id", "length", "template", "literal_at", F.posexplode(hashes("template")).alias("item_at", "hash"))
     enough = _literals(F.slice("template", F.col("item_at") + 1, F.col("length"))) >= LITERALS
     k = F.array_position("literal_at", F.col("item_at"))
     longer = F.when(k > 0, F.get("literal_at", (k + (LITERALS - 2)).cast("int")) - F.col("item_at") + 1)
@@ -120,45 +120,45 @@ def benchmark_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: s
     return plain.select(*columns).unionByName(rows.select(*columns))
 
 
-def _lengthened(matches: DataFrame, docs: DataFrame) -> DataFrame:
+def _key(row_id: Column, text: Column) -> Column:
+    """The same for rows of equal id and text alone."""
+    return F.unhex(F.sha2(F.concat(F.coalesce(row_id.cast("string"), F.lit("")), F.lit(":"), text), 256))
+
+
+def _of_matched(rows: DataFrame, matches: DataFrame, *columns: Column) -> DataFrame:
+    """(key, columns) of the documents that have a match, once each."""
+    return rows.join(matches.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.first("text").alias("text")).select("key", *columns)
+
+
+def _lengthened(matches: DataFrame, rows: DataFrame) -> DataFrame:
     """Matches whose windows are longer than the run that was joined, if the document goes on like the window."""
-    ours = docs.join(matches.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", words(canonical(F.col("text"))).alias("template"))
-    return matches.join(ours, "doc_id").where(_run_hash(F.col("template"), F.col("doc_at"), F.col("whole")) == F.col("whole_hash")).select(*matches.columns).distinct()
+    ours = _of_matched(rows, matches, words(canonical(F.col("text"))).alias("template"))
+    return matches.join(ours, "key").where(_run_hash(F.col("template"), F.col("doc_at"), F.col("whole")) == F.col("whole_hash")).select(*matches.columns).distinct()
 
 
-def _slot_pairs(matches: DataFrame, docs: DataFrame, items: DataFrame) -> DataFrame:
-    """(doc_id, item_id, shift, consistent) for matches whose windows have slots; windows of equal shift (doc_at - item_at) are one alignment, so two copies with other parameters are judged apart."""
-    ours = docs.join(matches.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", words(canonical(F.col("text"))).alias("template"), raw_words(F.col("text")).alias("raw"))
+def _slot_pairs(matches: DataFrame, rows: DataFrame, items: DataFrame) -> DataFrame:
+    """(key, item_id, shift, consistent) for matches whose windows have slots; windows of equal shift (doc_at - item_at) are one alignment, so two copies with other parameters are judged apart."""
+    ours = _of_matched(rows, matches, words(canonical(F.col("text"))).alias("template"), raw_words(F.col("text")).alias("raw"))
     theirs = items.select("item_id", raw_words(F.col("text")).alias("item_raw"))
-    spots = matches.select("doc_id", "item_id", "shift", "doc_at", "item_at", F.explode(F.sequence(F.lit(0), F.col("whole") - 1)).alias("k"))
-    values = (
-        spots.join(ours, "doc_id")
-        .join(theirs, "item_id")
-        .where(F.get("template", F.col("doc_at") + F.col("k")).rlike(f"[{NAME}{NUMBER}{UNIT}]"))
-        .select("doc_id", "item_id", "shift", F.get("raw", F.col("doc_at") + F.col("k")).alias("value"), F.get("item_raw", F.col("item_at") + F.col("k")).alias("item_value"))
-        .distinct()
-    )
-    at = ["doc_id", "item_id", "shift"]
+    cut = lambda c, at: F.slice(c, F.col(at) + 1, F.col("whole"))
+    # the window's words alone go on from a match, not the document's
+    spots = matches.join(ours, "key").select("key", "item_id", "shift", "item_at", "whole", cut("template", "doc_at").alias("template"), cut("raw", "doc_at").alias("raw"))
+    spots = spots.join(theirs, "item_id").select("key", "item_id", "shift", F.explode(F.arrays_zip("template", "raw", cut("item_raw", "item_at").alias("item_raw"))).alias("w"))
+    values = spots.where(F.col("w.template").rlike(f"[{NAME}{NUMBER}{UNIT}]")).select("key", "item_id", "shift", F.col("w.raw").alias("value"), F.col("w.item_raw").alias("item_value")).distinct()
+    at = ["key", "item_id", "shift"]
     by_item = values.groupBy(*at, "item_value").agg(F.count("*").alias("n")).groupBy(*at).agg(F.max("n").alias("n"))
     by_doc = values.groupBy(*at, "value").agg(F.count("*").alias("n")).groupBy(*at).agg(F.max("n").alias("n"))
     return by_item.unionByName(by_doc).groupBy(*at).agg((F.max("n") <= 1).alias("consistent"))
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, item_id, n_matched, n_windows, coverage) for each document that holds a window of an item.
-
-    ``n_matched`` counts the item's words at which a window starts that the document has, of
-    ``n_windows`` at which one starts; ``coverage`` is their share. Copies are found in any
-    case, and with other parameters if names stay capitalised.
-    Null and empty texts and null item ids match nothing; rows with the same doc_id count as
-    one document; a null doc_id is left out. Other columns are not read. Without matches, or
-    for empty tables, the result is empty.
-    """
+def _contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """As ``contaminated``, with the rows' keys in front."""
     items = benchmark.where("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), text_or_empty("text").alias("text"))
     bench = written(benchmark_windows(items), "benchmark-windows")
     shape = {r["length"]: r["n"] for r in bench.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most a row for each length up to WINDOW
-    rows = docs.where(F.col(f"`{id_col}`").isNotNull()).select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    templates = rows.select("doc_id", words(canonical(F.col("text"))).alias("template"), plain_words(F.col("text")).alias("plain"))
+    doc_id, text = F.col(f"`{id_col}`").cast("long"), text_or_empty(text_col)
+    rows = docs.select(_key(doc_id, text).alias("key"), doc_id.alias("doc_id"), text.alias("text"))
+    templates = rows.select("key", "doc_id", words(canonical(F.col("text"))).alias("template"), plain_words(F.col("text")).alias("plain"))
     small = sum(shape.values()) <= BROADCAST_WINDOWS
     found = None
     for length in sorted(shape):
@@ -166,31 +166,47 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         both = F.when(F.col("template") == F.col("plain"), window_hashes(F.col("template"), length)).otherwise(
             F.concat(window_hashes(F.col("template"), length), window_hashes(F.col("plain"), length))
         )
-        windows = templates.select("doc_id", F.posexplode(both).alias("doc_at", "hash"))
+        of = templates
+        if length < LITERALS:  # so short an item is looked for as an entire text
+            of, both = templates.where(F.size("plain") == length), window_hashes(F.col("plain"), length)
+        windows = of.select("key", "doc_id", F.posexplode(both).alias("doc_at", "hash"))
         known = bench.where(F.col("length") == length)
-        hits = windows.join(F.broadcast(known) if small else known, "hash").select("doc_id", "item_id", "length", "doc_at", "item_at", "slots", "whole", "whole_hash")
+        hits = windows.join(F.broadcast(known) if small else known.hint("merge"), "hash").select("key", "doc_id", "item_id", "length", "doc_at", "item_at", "slots", "whole", "whole_hash")
         found = hits if found is None else found.unionByName(hits)
     if found is None:
-        return rows.where("false").select("doc_id", F.lit(0).cast("long").alias("item_id"), F.lit(0).cast("long").alias("n_matched"), F.lit(0).cast("long").alias("n_windows"), F.lit(0.0).alias("coverage"))
+        nothing = {"item_id": "long", "n_matched": "long", "n_windows": "long", "coverage": "double"}
+        return rows.where("false").select("key", "doc_id", *(F.lit(None).cast(kind).alias(name) for name, kind in nothing.items()))
     matches = written(found, "template-matches")
-    plain = matches.where("slots = 0").select("doc_id", "item_id", "item_at")
+    plain = matches.where("slots = 0").select("key", "doc_id", "item_id", "item_at")
     slotted = matches.where("slots > 0").withColumn("shift", F.col("doc_at") - F.col("item_at"))
     longer = slotted.where("whole > length")
     if not longer.isEmpty():
         slotted = written(slotted.where("whole = length").unionByName(_lengthened(longer, rows)), "slotted-matches")
     if not slotted.isEmpty():
-        judged = _slot_pairs(slotted, rows, items).where("consistent").select("doc_id", "item_id", "shift")
-        plain = plain.unionByName(slotted.join(judged, ["doc_id", "item_id", "shift"], "left_semi").select("doc_id", "item_id", "item_at"))
+        judged = _slot_pairs(slotted, rows, items).where("consistent").select("key", "item_id", "shift")
+        plain = plain.unionByName(slotted.join(judged, ["key", "item_id", "shift"], "left_semi").select("key", "doc_id", "item_id", "item_at"))
     n_windows = bench.groupBy("item_id").agg(F.countDistinct("item_at").alias("n_windows"))
-    return (
-        plain.distinct()
-        .groupBy("doc_id", "item_id")
-        .agg(F.count("*").alias("n_matched"))
-        .join(n_windows, "item_id")
-        .select("doc_id", "item_id", "n_matched", "n_windows", (F.col("n_matched") / F.col("n_windows")).alias("coverage"))
-    )
+    counted = plain.distinct().groupBy("key", "item_id").agg(F.first("doc_id").alias("doc_id"), F.count("*").alias("n_matched")).join(n_windows, "item_id")
+    return counted.select("key", "doc_id", "item_id", "n_matched", "n_windows", (F.col("n_matched") / F.col("n_windows")).alias("coverage"))
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, item_id, n_matched, n_windows, coverage) for each document that holds a window of an item.
+
+    ``n_matched`` counts the item's words at which a window starts that the document has, of
+    ``n_windows`` at which one starts; ``coverage`` is their share. Copies are found in any
+    case, and with other parameters if names stay capitalised. An item of fewer than
+    ``LITERALS`` words is found where it is the entire text.
+    Null and empty texts and null item ids match nothing. Rows with equal doc_id and text are
+    one document; texts without a doc_id are judged too, and so are other texts under the
+    same doc_id. Other columns are not read. Without matches, or for empty tables, the result
+    is empty.
+    """
+    return _contaminated(docs, benchmark, id_col, text_col).drop("key")
 
 
 def without_benchmark(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the documents that hold a window of a benchmark item."""
-    return docs.join(contaminated(docs, benchmark).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    """``docs`` (with doc_id and text) without the rows that hold a window of a benchmark item."""
+    key = free_name(docs, "_key")
+    hit = _contaminated(docs, benchmark, "doc_id", "text").select(F.col("key").alias(key)).distinct()
+    return docs.withColumn(key, _key(F.col("doc_id").cast("long"), text_or_empty())).join(hit, key, "left_anti").select(*docs.columns)

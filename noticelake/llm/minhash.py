@@ -4,10 +4,14 @@ A signature needs two permutations: the first scatters the shingles, and coordin
 the smallest value that the second gives to the scattered positions shifted by k. Documents
 with the same shingle set are one node from the start, so a set costs the same whether one
 document or a third of the corpus has it. Bands of the signature put nodes into buckets; a
-bucket's nodes gather round its smallest one. Each gathering is verified on full sets in
-square blocks of bounded size: members are dealt into blocks, every pair of blocks is a
-task's unit of work, and only links that join two parts leave it. So no group is collected
-whole and no list of its pairs is ever made, though all of them are compared.
+bucket's nodes gather round its smallest one. A gathering is dealt into blocks of bounded
+size, each with the smallest node as a guest, and verified on full sets. Nodes that hang
+together with the smallest need no other comparison, for they are in its component; the
+rest alone is then held against the other blocks, pair of blocks by pair of blocks. So no
+group is collected whole, and what moves grows with the group's size.
+
+A node's label is a string of bytes: the smallest id that has the set, then the set's
+digest. Labels are unique whatever ids are repeated or null, and in the order of ids.
 
 Two nodes of similarity s share no band with probability (1 - s^ROWS)^BANDS: below 1e-5 at 0.8.
 """
@@ -19,10 +23,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from noticelake.llm.common import text_or_empty, written
+from noticelake.llm.common import few_files, free_name, text_or_empty, written
 from noticelake.llm.components import connected_components
 
 BANDS, ROWS = 30, 5
@@ -31,6 +35,9 @@ BLOCK, BLOCK_SHINGLES = 256, 300_000
 #: Words whose hashes a task remembers.
 KNOWN_WORDS = 200_000
 
+#: Stands in labels for an id that is null.
+NO_ID = 2**63 - 1
+
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
@@ -99,8 +106,8 @@ def _describe(size: int, bands: int, rows: int):
                     keys = [next(rest) if len(s) else None for s in sets]
                 digests = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-                    ["id", "n_shingles", "digest", "bands"],
+                    [part.column("id"), part.column("key"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
+                    ["id", "key", "n_shingles", "digest", "bands"],
                 )
 
     return describe
@@ -112,7 +119,7 @@ def _full_sets(size: int):
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 sets = [s.astype(np.int64) for s in _sets(part.column("text").to_pylist(), size)]
-                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
+                yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(sets, pa.list_(pa.int64()))], ["key", "shingles"])
 
     return full
 
@@ -138,62 +145,133 @@ def linked_pairs(sets: list[np.ndarray], percent: int, width: int = 8192) -> np.
     return np.argwhere(np.triu(linked, 1))
 
 
+def _forest(labels: list[bytes], sets: list[np.ndarray], percent: int) -> list[bytes]:
+    """For each node the smallest label that it hangs together with."""
+    root = list(range(len(labels)))
+
+    def top(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    for i, j in linked_pairs(sets, percent) if len(labels) > 1 else ():
+        a, b = top(int(i)), top(int(j))
+        if a != b:
+            a, b = (a, b) if labels[a] < labels[b] else (b, a)
+            root[b] = a
+    return [labels[top(i)] for i in range(len(labels))]
+
+
 def _verify(percent: int):
     def verify(group: pa.Table) -> pa.Table:
-        nodes = group.column("node").to_pylist()
-        sets = [np.asarray(x.values) for x in group.column("shingles")]
-        root = list(range(len(nodes)))
-
-        def top(i: int) -> int:
-            while root[i] != i:
-                root[i] = root[root[i]]
-                i = root[i]
-            return i
-
-        links = []
-        for i, j in linked_pairs(sets, percent).tolist() if len(nodes) > 1 else []:
-            if top(i) != top(j):
-                root[top(i)] = top(j)
-                links.append((nodes[i], nodes[j]))
-        return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
+        """Links of each node to the smallest that it hangs together with; where there are more blocks, also (node, centre, true) for those that hang apart from the centre."""
+        found = dict(zip(group.column("label").to_pylist(), (np.asarray(x.values) for x in group.column("shingles")), strict=True))
+        labels = list(found)
+        least = _forest(labels, list(found.values()), percent)
+        rows = [(a, b, False) for a, b in zip(labels, least, strict=True) if a != b]
+        if group.column("blocks")[0].as_py() > 1:
+            centre = group.column("centre")[0].as_py()
+            rows += [(a, centre, True) for a, b in zip(labels, least, strict=True) if b != centre]
+        return pa.Table.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.binary(), pa.binary(), pa.bool_()))], ["a", "b", "apart"])
 
     return verify
 
 
+def _label(least: Column, digest: Column) -> Column:
+    """Bytes in the order of ids and then digests."""
+    return F.concat(F.unhex(F.lpad(F.hex(least.bitwiseXOR(F.lit(-(2**63)))), 16, "0")), digest)
+
+
+def _id_of(label: Column) -> Column:
+    least = F.conv(F.hex(F.substring(label, 1, 8)), 16, -10).cast("long").bitwiseXOR(F.lit(-(2**63)))
+    return F.when(least != NO_ID, least)
+
+
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, key, text); rows have the same key if they have the same id and text."""
+    row_id, text = F.col(f"`{id_col}`").cast("long"), text_or_empty(text_col)
+    return docs.select(row_id.alias("id"), _row_key(row_id, text).alias("key"), text.alias("text"))
+
+
+def _row_key(row_id: Column, text: Column) -> Column:
+    return F.unhex(F.sha2(F.concat(F.coalesce(row_id.cast("string"), F.lit("")), F.lit(":"), text), 256))
+
+
+def _verified(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between the nodes of each gathering, enough to keep together what hangs together."""
+    wanted_blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("size") / BLOCK_SHINGLES)).cast("int")
+    sizes = members.groupBy("centre").agg(F.least(F.count("*").cast("int"), wanted_blocks).alias("blocks"))
+    # the plain columns of ``dealt`` say where a node belongs; the centre is a guest in every block
+    dealt = members.join(sizes, "centre").withColumn("own", F.pmod(F.xxhash64("label"), F.col("blocks")).cast("int"))
+    blocks_of = F.when(F.col("label") == F.col("centre"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("own"))
+    hosted = dealt.select("centre", "label", "rep", "blocks", F.explode(blocks_of).alias("x"))
+    checked = hosted.join(sets, hosted["rep"] == sets["key"]).groupBy("centre", "x").applyInArrow(_verify(percent), "a binary, b binary, apart boolean")
+    checked = written(few_files(checked), "checked")
+    links = checked.where("not apart").select("a", "b")
+    apart = checked.where("apart").select(F.col("a").alias("label"), F.col("b").alias("centre")).distinct()
+    if apart.isEmpty():
+        return links
+    rest_sizes = apart.groupBy("centre").agg(F.count("*").alias("n")).join(members.groupBy("centre").agg(F.max("size").alias("most")), "centre")
+    rest_blocks = F.least(F.col("n"), F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("n") * F.col("most") / BLOCK_SHINGLES))).cast("int")
+    busy = dealt.join(rest_sizes.select("centre", rest_blocks.alias("rests")), "centre")
+    rest = busy.join(apart, ["centre", "label"]).withColumns({"x": F.pmod(F.xxhash64("label", F.lit(1)), F.col("rests")).cast("int"), "y": F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))})
+    others = busy.withColumns({"x": F.explode(F.sequence(F.lit(0), F.col("rests") - 1)), "y": F.col("own")})
+    columns = ["centre", "label", "rep", F.lit(1).alias("blocks"), "x", "y"]
+    pairs = rest.select(*columns).unionByName(others.select(*columns)).distinct()
+    more = pairs.join(sets, pairs["rep"] == sets["key"]).groupBy("centre", "x", "y").applyInArrow(_verify(percent), "a binary, b binary, apart boolean")
+    return links.unionByName(more.select("a", "b"))
+
+
+def _classes(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int, bands: int, rows: int) -> tuple[DataFrame, DataFrame]:
+    """The described rows (id, key, n_shingles, digest), and for each set (digest, label, rep, component): rep is the key of its first row, component the smallest label reachable."""
+    rows_in = _keyed(docs, id_col, text_col)
+    described = written(rows_in.mapInArrow(_describe(size, bands, rows), "id long, key binary, n_shingles long, digest binary, bands array<long>"), "described")
+    first = F.min(F.struct(F.coalesce("id", F.lit(NO_ID)).alias("id"), "key"))
+    nodes = described.where("digest is not null").groupBy("digest").agg(first.alias("first"), F.first("n_shingles").alias("size"), F.first("bands").alias("bands"))
+    nodes = nodes.select("digest", _label(F.col("first.id"), F.col("digest")).alias("label"), F.col("first.key").alias("rep"), "size", "bands")
+    banded = nodes.select("label", "rep", "size", F.explode("bands").alias("band"))
+    buckets = banded.groupBy("band").agg(F.min("label").alias("centre"), F.count("*").alias("n")).where("n > 1").select("band", "centre")
+    members = written(few_files(banded.join(buckets, "band").select("centre", "label", "rep", "size").distinct()), "members")
+    # the hint keeps the plan the same at every size: the members grow with the input
+    wanted = members.select(F.col("rep").alias("key")).distinct().hint("merge")
+    texts = rows_in.join(wanted, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
+    sets = texts.mapInArrow(_full_sets(size), "key binary, shingles array<long>")
+    found = connected_components(_verified(members, sets, percent))
+    classes = nodes.select("digest", "label", "rep").join(found, F.col("label") == F.col("node"), "left")
+    return described, classes.select("digest", "label", "rep", F.coalesce("component", "label").alias("component"))
+
+
 def link_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row per row of ``docs``: (id_col, n_shingles, component_id, kept).
 
     ``component_id`` is the smallest id reachable over links of at least ``percent``
     similarity between shingle sets; ``kept`` marks that row. A text that is null, empty
-    or without words has an empty set, links with nothing and is kept; so is a row with a
-    null id, whose component is null. Rows with the same id count as one document. Other
-    columns are not read. An empty table gives an empty result.
+    or without words has an empty set, links with nothing and is kept. Rows with a null id
+    take part: their component is the smallest id of their group, or null where it has none,
+    and then they are kept. Texts under a repeated id are judged apart. Other columns are not
+    read. An empty table gives an empty result.
+    """
+    described, classes = _classes(docs, id_col, text_col, size, percent, bands, rows)
+    least = F.coalesce(_id_of(F.col("component")), F.when(F.col("component").isNull(), F.col("id")))
+    joined = described.join(classes.select("digest", "component"), "digest", "left").select("id", "n_shingles", least.alias("least"))
+    return joined.select(F.col("id").alias(id_col), "n_shingles", F.col("least").alias("component_id"), F.coalesce(F.col("id") == F.col("least"), F.col("least").isNull()).alias("kept"))
+
+
+def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` with one document of each group of near-duplicates: the one with the smallest id, null ones last.
+
+    Rows are told apart by id and text, so other texts under a repeated id and texts without
+    an id are judged like all others; rows alike in both are one document, of which the
+    smallest row stays. Texts without words stay. Columns keep their names and order.
     """
-    rows_in = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), text_or_empty(text_col).alias("text"))
-    described = written(rows_in.mapInArrow(_describe(size, bands, rows), "id long, n_shingles long, digest binary, bands array<long>"), "described")
-    # one node for each set; its number is the smallest id that has it
-    nodes = described.where("digest is not null and id is not null").groupBy("digest").agg(F.min("id").alias("node"), F.first("n_shingles").alias("size"), F.first("bands").alias("bands"))
-    banded = nodes.select("node", "size", F.explode("bands").alias("key"))
-    buckets = banded.groupBy("key").agg(F.min("node").alias("centre"), F.count("*").alias("n")).where("n > 1").select("key", "centre")
-    members = written(banded.join(buckets, "key").select("centre", "node", "size").distinct(), "members")
-    # the hint keeps the plan the same at every size: the ids of members grow with the input
-    wanted = members.select(F.col("node").alias("id")).distinct().hint("merge")
-    texts = rows_in.join(wanted, "id", "left_semi").dropDuplicates(["id"]).select(F.col("id").alias("node"), "text")
-    sets = texts.mapInArrow(_full_sets(size), "node long, shingles array<long>")
-    wanted_blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("size") / BLOCK_SHINGLES))
-    sizes = members.groupBy("centre").agg(F.least(F.count("*"), wanted_blocks).cast("int").alias("blocks"))
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    placed = members.join(sizes, "centre").select("centre", "node", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    placed = placed.select("node", "centre", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
-    links = placed.join(sets, "node").groupBy("centre", "x", "y").applyInArrow(_verify(percent), "a long, b long")
-    found = connected_components(links)
-    classes = nodes.select("digest", "node").join(found, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
-    return described.join(classes, "digest", "left").select(
-        F.col("id").alias(id_col),
-        "n_shingles",
-        F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"),
-        F.coalesce(F.col("id") == F.coalesce("component", "id"), F.lit(True)).alias("kept"),
-    )
+    described, classes = _classes(docs, id_col, text_col, size, percent, BANDS, ROWS)
+    stays = classes.where("component = label").select("rep").unionByName(described.where("digest is null").select(F.col("key").alias("rep"))).distinct()
+    key = free_name(docs, "_key")
+    keyed = docs.withColumn(key, _row_key(F.col(f"`{id_col}`").cast("long"), text_or_empty(text_col)))
+    kept = keyed.join(stays.withColumnRenamed("rep", key).hint("merge"), key, "left_semi")
+    row = kept.groupBy(key).agg(F.min(F.struct(*(F.col(f"`{c}`") for c in docs.columns))).alias("row"))
+    return row.select("row.*")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

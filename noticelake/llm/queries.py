@@ -48,7 +48,7 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_scan.scan_licenses(table(spark, sf_dir, "documents"), license_scan.known_digests(spark))
+    return license_scan.scan_licenses(table(spark, sf_dir, "documents"), license_scan.known_digests(license_scan.known_texts(spark)))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

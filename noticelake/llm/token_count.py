@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from noticelake.llm.common import text_or_empty, written
-from noticelake.llm.pretokens import pretokens_around
+from noticelake.llm.pretokens import settled, words_and_odd
 
 VOCABULARY = "byte_bpe_50k.json"
 CHUNK_CHARS = 65_536
@@ -73,7 +73,7 @@ def _occurrence_counts(words: pa.Array, path: str) -> tuple[np.ndarray, np.ndarr
 def _count_whole(path: str):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tokens, lengths = _occurrence_counts(batch.column("words"), path)
+            tokens, lengths = _occurrence_counts(settled(batch, special_token(path)), path)
             upto = np.concatenate([[0], np.cumsum(tokens)])
             ends = np.cumsum(lengths)
             yield pa.RecordBatch.from_arrays(
@@ -88,11 +88,11 @@ def _count_chunks(path: str, step: int, overlap: int):
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words = batch.column("words")
+            words = settled(batch, special_token(path))
             tokens, lengths = _occurrence_counts(words, path)
             chars = pc.utf8_length(words.flatten()).to_numpy(zero_copy_only=False).astype(np.int64)
             rows, at = [], 0
-            for row, n in zip(batch.drop_columns(["words"]).to_pylist(), lengths.tolist(), strict=True):
+            for row, n in zip(batch.drop_columns(["words", "odd"]).to_pylist(), lengths.tolist(), strict=True):
                 start = row["chunk"] * step
                 edges = start + np.concatenate([[0], np.cumsum(chars[at : at + n])])
                 upto = np.concatenate([[0], np.cumsum(tokens[at : at + n])])
@@ -124,8 +124,7 @@ def _chunk_rows(huge: DataFrame, path: str, step: int, overlap: int) -> DataFram
         .select("id", "key", "n_bytes", "n_chars", "n_chunks", "chunk", F.substring("text", F.col("chunk") * step + 1, F.lit(step + overlap + 64)).alias("piece"))
         .repartition("key", "chunk")
     )
-    words = pretokens_around(F.col("piece"), special_token(path)).alias("words")
-    return pieces.select("id", "key", "n_bytes", "n_chars", "n_chunks", "chunk", words).mapInArrow(_count_chunks(path, step, overlap), _CHUNKS)
+    return pieces.select("id", "key", "n_bytes", "n_chars", "n_chunks", "chunk", *words_and_odd(F.col("piece"), special_token(path))).mapInArrow(_count_chunks(path, step, overlap), _CHUNKS)
 
 
 def _spliced(chunks: DataFrame) -> DataFrame:
@@ -160,7 +159,7 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     path = path or public_tokenizers.path(VOCABULARY)
     text: Column = text_or_empty(text_col)
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.octet_length(text).cast("long").alias("n_bytes"), F.char_length(text).cast("long").alias("n_chars"), text.alias("text"))
-    short = rows.where(F.col("n_chars") <= chunk_chars).select("id", "n_bytes", pretokens_around(F.col("text"), special_token(path)).alias("words"))
+    short = rows.where(F.col("n_chars") <= chunk_chars).select("id", "n_bytes", *words_and_odd(F.col("text"), special_token(path)))
     out = [short.mapInArrow(_count_whole(path), "id long, n_bytes long, n_tokens long")]
     huge = rows.where(F.col("n_chars") > chunk_chars).withColumn("key", F.sha2("text", 256))
     step, overlap = chunk_chars, min(overlap_chars, chunk_chars // 4)

@@ -43,14 +43,14 @@ def near_copies():
 
 
 def test_links_equal_all_pairs(documents):
-    rows = [*near_copies(), (900, None), (901, ""), (902, " \t\n"), (903, "One"), (904, "one"), (905, "É é"), (906, "é é"), (None, "One"), (907, "two words"), (907, "two words")]
+    rows = [*near_copies(), (900, None), (901, ""), (902, " \t\n"), (903, "One"), (904, "one"), (905, "É é"), (906, "é é"), (907, "two words"), (907, "two words")]
     for size in (2, 5):
         want, sets = brute(rows, size)
         got = minhash.link_near_duplicates(documents(rows), size=size).collect()
         assert len(got) == len(rows)
         for r in got:
-            assert r.component_id == (None if r.doc_id is None else want[r.doc_id])
-            assert r.kept == (r.doc_id is None or r.doc_id == want[r.doc_id])
+            assert r.component_id == want[r.doc_id]
+            assert r.kept == (r.doc_id == want[r.doc_id])
             assert r.n_shingles in {len(s) for s in sets[r.doc_id]}
 
 
@@ -61,7 +61,29 @@ def test_a_group_of_many_blocks(documents, monkeypatch):
     assert {r.doc_id: r.component_id for r in minhash.near_duplicates(documents(rows)).collect()} == want
 
 
+def test_null_and_repeated_ids_are_judged_by_their_texts(documents):
+    one, two = "a b c d e f g h i j k l", "m n o p q r s t u v w x"
+    rows = [(5, one), (5, two), (3, two + " y"), (None, one), (None, "alone in the world with words"), (None, None), (7, one), (7, one)]
+    got = sorted(((r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(documents(rows)).collect()), key=str)
+    want = [(5, 5, True), (5, 3, False), (3, 3, True), (None, 5, False), (None, None, True), (None, None, True), (7, 5, False), (7, 5, False)]
+    assert got == sorted(want, key=str)
+    left = minhash.without_near_duplicates(documents(rows), size=2)
+    assert left.columns == documents(rows).columns
+    assert sorted(((r.doc_id, r.text) for r in left.collect()), key=str) == sorted([(5, one), (3, two + " y"), (None, "alone in the world with words"), (None, None)], key=str)
+
+
+def test_what_hangs_apart_from_the_centre_is_held_against_all_blocks(documents, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK", 3)
+    # a chain: neighbours are similar, the ends are not; one band of one row brings all into few buckets
+    words = [f"w{i}" for i in range(90)]
+    rows = [(i, " ".join(words[2 * i : 2 * i + 30])) for i in range(25)]
+    want, _ = brute(rows, 2)
+    got = minhash.link_near_duplicates(documents(rows), size=2, bands=60, rows=1).collect()
+    assert {r.doc_id: r.component_id for r in got} == want and set(want.values()) == {0}
+
+
 def test_empty_table(documents):
+    assert minhash.without_near_duplicates(documents([])).collect() == []
     assert minhash.near_duplicates(documents([])).collect() == []
 
 

@@ -35,9 +35,9 @@ def test_contamination(documents, benchmark):
         (8, ITEM.upper()),
     ]
     found = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(documents(rows), benchmark).collect()}
-    assert found == {(1, 1), (2, 1), (7, 2), (8, 1), (9, 5), (10, 5)}
+    assert found == {(1, 1), (2, 1), (7, 2), (8, 1), (9, 5), (10, 5), (None, 1)}
     kept = {r.doc_id for r in decontaminate.without_benchmark(documents(rows), benchmark).collect()}
-    assert kept == {3, 4, 5, 6, None}
+    assert kept == {3, 4, 5, 6}
 
 
 def test_contamination_of_dense_and_recased_items(spark, documents):
@@ -61,6 +61,32 @@ def test_contamination_of_dense_and_recased_items(spark, documents):
     assert {found[k] for k in ((1, 1), (2, 2), (3, 3), (4, 3), (5, 4), (6, 1))} == {1.0}
 
 
+def test_every_item_is_found_as_a_copy_and_no_other(spark, documents):
+    rng = random.Random(8)
+    filler = [f"filler{i}" for i in range(50)]
+    pick = lambda: rng.choice([str(rng.randrange(1000)), f"{rng.randrange(9)} km", "Compute", "plus", "Anna", "and", "the", "+", "sum", "of", f"w{rng.randrange(60)}"])
+    items = [(i, " ".join([f"Item{i}", *(pick() for _ in range(rng.randrange(0, 25)))])) for i in range(60)]
+    plain = lambda t: [w for w in (re.sub(r"[^a-z0-9]", "", x) for x in t.lower().split()) if w]
+    rows = []
+    for i, text in items:
+        around = " ".join(rng.choices(filler, k=6))
+        rows.append((i, text if len(plain(text)) < decontaminate.LITERALS else f"{around}. {text} {around}"))
+        rows.append((1000 + i, f"{around} {around}"))
+    rows += [(None, rows[0][1]), (7, rows[2][1]), (7, rows[2][1])]
+    found = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(documents(rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    # by brute force: a run of eight plain words of an item, the whole item if it is shorter, an entire text if it is very short
+    want = set()
+    for doc_id, text in rows:
+        ours = plain(text)
+        for i, item in items:
+            theirs = plain(item)
+            n = min(8, len(theirs))
+            runs = {tuple(theirs[k : k + n]) for k in range(len(theirs) - n + 1)}
+            if tuple(ours) in runs if n < decontaminate.LITERALS else any(tuple(ours[k : k + n]) in runs for k in range(len(ours) - n + 1)):
+                want.add((doc_id, i))
+    assert found == want and {(i, i) for i, _ in items} <= found and (None, 0) in found
+
+
 def test_contamination_of_empty_tables(spark, documents, benchmark):
     assert decontaminate.contaminated(documents([]), benchmark).collect() == []
     assert decontaminate.contaminated(documents([(1, ITEM)]), benchmark.where("false")).collect() == []
@@ -182,9 +208,9 @@ def test_licences(spark, documents):
         (5, ""),
         (6, "Licensed under CC BY-NC 4.0."),
     ]
-    found = {tuple(r) for r in license_scan.scan_licenses(documents(rows), license_scan.known_digests(spark)).collect()}
+    found = {tuple(r) for r in license_scan.scan_licenses(documents(rows), license_scan.known_digests(license_scan.known_texts(spark))).collect()}
     assert found == {(1, "text", "MIT", 1), (1, "line", "MIT", 1), (2, "line", "MIT", 2), (6, "text", "CC-BY-NC-4.0", 1), (6, "line", "CC-BY-NC-4.0", 1)}
-    assert license_scan.scan_licenses(documents([]), license_scan.known_digests(spark)).collect() == []
+    assert license_scan.scan_licenses(documents([]), license_scan.known_digests(license_scan.known_texts(spark))).collect() == []
 
 
 def test_licence_files_with_titles_and_wrapped_clauses(spark, documents):
@@ -196,5 +222,31 @@ def test_licence_files_with_titles_and_wrapped_clauses(spark, documents):
         (3, "MIT License"),
         (4, " \n!"),
     ]
-    found = {tuple(r) for r in license_scan.scan_licenses(documents(files), license_scan.known_digests(spark)).collect()}
-    assert found == {(1, "text", "ISC", 1), (2, "text", "MIT", 1)}
+    found = {tuple(r) for r in license_scan.scan_licenses(documents(files), license_scan.known_digests(license_scan.known_texts(spark))).collect()}
+    assert found == {(1, "text", "ISC", 1), (1, "paragraph", "ISC", 1), (2, "text", "MIT", 1), (2, "paragraph", "MIT", 1)}
+
+
+def test_licences_equal_their_sql(spark, documents):
+    import duckdb
+
+    known = license_scan.known_digests(license_scan.known_texts(spark))
+    notice = next(t for name, t in license_scan.KNOWN if name == "Apache-2.0" and len(t) > 300)
+    header = "\n".join(f"# {line}" for line in (notice[:70] + notice[70:].replace(" ", "\n", 3)).split("\n"))
+    rows = [
+        (1, "本软件不是 Released under the MIT License 的"),
+        (2, "Это не Released under the MIT License."),
+        (3, f"#!/bin/sh\n\n{header}\n\nset -e\r\n"),
+        (4, "BSD 3-Clause License\nCopyright Holder X\n\n" + next(t for name, t in license_scan.KNOWN if name == "BSD-3-Clause" and len(t) > 500)),
+        (5, "LICENSED UNDER CC BY 4.0!\r\nreleased under the isc licence\n\n\nLicensed under\nthe MIT Licence"),
+        (6, None),
+        (7, "Copyright Notice\nReleased under the MIT License. \ncopyright 2020 Released under the MIT License."),
+        (None, "Released under the MIT License."),
+        (None, "Released under the MIT License."),
+    ]
+    found = sorted((tuple(r) for r in license_scan.scan_licenses(documents(rows), known).collect()), key=str)
+    con = duckdb.connect()
+    con.execute("create table documents (doc_id bigint, text varchar)")
+    con.executemany("insert into documents values (?, ?)", rows)
+    assert found == sorted(con.sql(license_scan.oracle_sql()).fetchall(), key=str)
+    assert not any(r[0] in (1, 2) for r in found)
+    assert (3, "paragraph", "Apache-2.0", 1) in found and (5, "paragraph", "MIT", 1) in found and (None, "text", "MIT", 2) in found

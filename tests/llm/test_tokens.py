@@ -25,12 +25,32 @@ def test_encode_and_decode_equal_the_library(documents):
         assert got == want
 
 
+def letters_of_every_version():
+    """Each letter, mark and number that the newest table here knows, before an apostrophe and after a blank."""
+    import regex
+
+    found = regex.findall(r"[\p{L}\p{N}\p{M}]", "".join(chr(c) for c in range(0x80, 0x110000) if not 0xD800 <= c < 0xE000))
+    return [(k, "".join(f"a{c}'s x {c}" for c in found[at : at + 400])) for k, at in enumerate(range(0, len(found), 400))]
+
+
+def test_newer_letters_are_cut_as_the_libraries_cut_them(documents):
+    rows = [*letters_of_every_version(), (-1, "plain"), (-2, None), (-3, "\U0001df00's " + SPECIAL + "\U0001df00's")]
+    codec, tokenizer = bpe.codec(public_tokenizers.path(bpe.RANKS)), token_count.tokenizer(public_tokenizers.path(token_count.VOCABULARY))
+    coded = {r.doc_id: (list(r.token_ids), bytes(r.decoded).decode()) for r in bpe.encode_documents(documents(rows)).collect()}
+    assert coded == {i: (codec.encode_ordinary(t or ""), t or "") for i, t in rows}
+    for chunk, overlap in ((65_536, 512), (300, 40)):
+        counts = {r.doc_id: r.n_tokens for r in token_count.count_tokens(documents(rows), chunk_chars=chunk, overlap_chars=overlap).collect()}
+        assert counts == {i: len(tokenizer.encode(t or "", add_special_tokens=False)) for i, t in rows}
+
+
 def test_encode_empty_table(documents):
     assert bpe.encode_documents(documents([])).collect() == []
 
 
 def test_decode_joins_the_token_table(spark):
     codec = bpe.codec(public_tokenizers.path(bpe.RANKS))
+    words = spark.createDataFrame([(1, [0], "kept", 2)], "k long, token_ids array<int>, _out string, _pos int")
+    assert bpe.decode_ids(words, bpe.token_table(spark)).select("_out", "_pos").first() == ("kept", 2)
     rows = [(1, codec.encode_ordinary("héllo wörld, 漢字")), (2, []), (3, None), (4, [10**6]), (1, codec.encode_ordinary("héllo wörld, 漢字"))]
     frame = spark.createDataFrame(rows, "k long, token_ids array<int>")
     got = Counter((r.k, None if r.decoded is None else bytes(r.decoded).decode()) for r in bpe.decode_ids(frame, bpe.token_table(spark)).collect())
