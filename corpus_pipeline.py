@@ -23,12 +23,9 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, the one with the smallest doc_id; five-word shingles, similarity of 0.8 or more."""
+    """One document of each group of near-duplicates, the one with the smallest doc_id, null ones last; five-word shingles, similarity of 0.8 or more. Texts without words stay; rows alike in doc_id and text are one document."""
     ship_package(spark)
-    gone = minhash.link_near_duplicates(docs).where("not kept").select("doc_id")
-    rows = docs.select(*DOCUMENT_COLUMNS).join(gone.distinct(), "doc_id", "left_anti").select(*DOCUMENT_COLUMNS)
-    named = rows.where("doc_id is not null").dropDuplicates(["doc_id"])
-    return named.unionByName(rows.where("doc_id is null"))
+    return minhash.without_near_duplicates(docs.select(*DOCUMENT_COLUMNS))
 
 
 def drop_benchmark_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
