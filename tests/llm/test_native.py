@@ -237,7 +237,7 @@ def test_licences_equal_their_sql(spark, documents):
         (2, "Это не Released under the MIT License."),
         (3, f"#!/bin/sh\n\n{header}\n\nset -e\r\n"),
         (4, "BSD 3-Clause License\nCopyright Holder X\n\n" + next(t for name, t in license_scan.KNOWN if name == "BSD-3-Clause" and len(t) > 500)),
-        (5, "LICENSED UNDER CC BY 4.0!\r\nreleased under the isc licence\n\n\nLicensed under\nthe MIT Licence"),
+        (5, "LICENSED UNDER CC BY 4.0!\r\nreleased under the isc licence\n\n\nLicensed under the MIT\nLicence"),
         (6, None),
         (7, "Copyright Notice\nReleased under the MIT License. \ncopyright 2020 Released under the MIT License."),
         (None, "Released under the MIT License."),
