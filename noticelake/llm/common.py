@@ -50,5 +50,11 @@ def free_name(df: DataFrame, stem: str) -> str:
     return stem
 
 
+def row_key(row_id: Column, text: Column) -> Column:
+    """Sixteen bytes that rows of equal id and text share, and no others but by a chance of 2^-128 a pair."""
+    half = lambda i: F.unhex(F.lpad(F.hex(F.xxhash64(F.lit(i), row_id, text)), 16, "0"))
+    return F.concat(half(1), half(2))
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(f"`{name}`"), F.lit(""))

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from noticelake.llm.common import free_name, text_or_empty, written
+from noticelake.llm.common import free_name, row_key, text_or_empty, written
 
 WINDOW = 8
 #: Words of a template window that are not placeholders, unless it is an item's whole template. An item of fewer words is looked for as an entire text.
@@ -120,11 +120,6 @@ def benchmark_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: s
     return plain.select(*columns).unionByName(rows.select(*columns))
 
 
-def _key(row_id: Column, text: Column) -> Column:
-    """The same for rows of equal id and text alone."""
-    return F.unhex(F.sha2(F.concat(F.coalesce(row_id.cast("string"), F.lit("")), F.lit(":"), text), 256))
-
-
 def _of_matched(rows: DataFrame, matches: DataFrame, *columns: Column) -> DataFrame:
     """(key, columns) of the documents that have a match, once each."""
     return rows.join(matches.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.first("text").alias("text")).select("key", *columns)
@@ -157,7 +152,7 @@ def _contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col:
     bench = written(benchmark_windows(items), "benchmark-windows")
     shape = {r["length"]: r["n"] for r in bench.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most a row for each length up to WINDOW
     doc_id, text = F.col(f"`{id_col}`").cast("long"), text_or_empty(text_col)
-    rows = docs.select(_key(doc_id, text).alias("key"), doc_id.alias("doc_id"), text.alias("text"))
+    rows = docs.select(row_key(doc_id, text).alias("key"), doc_id.alias("doc_id"), text.alias("text"))
     templates = rows.select("key", "doc_id", words(canonical(F.col("text"))).alias("template"), plain_words(F.col("text")).alias("plain"))
     small = sum(shape.values()) <= BROADCAST_WINDOWS
     found = None
@@ -209,4 +204,4 @@ def without_benchmark(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` (with doc_id and text) without the rows that hold a window of a benchmark item."""
     key = free_name(docs, "_key")
     hit = _contaminated(docs, benchmark, "doc_id", "text").select(F.col("key").alias(key)).distinct()
-    return docs.withColumn(key, _key(F.col("doc_id").cast("long"), text_or_empty())).join(hit, key, "left_anti").select(*docs.columns)
+    return docs.withColumn(key, row_key(F.col("doc_id").cast("long"), text_or_empty())).join(hit, key, "left_anti").select(*docs.columns)

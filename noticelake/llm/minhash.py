@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from noticelake.llm.common import few_files, free_name, text_or_empty, written
+from noticelake.llm.common import few_files, free_name, row_key, text_or_empty, written
 from noticelake.llm.components import connected_components
 
 BANDS, ROWS = 30, 5
@@ -191,36 +191,45 @@ def _id_of(label: Column) -> Column:
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, key, text); rows have the same key if they have the same id and text."""
     row_id, text = F.col(f"`{id_col}`").cast("long"), text_or_empty(text_col)
-    return docs.select(row_id.alias("id"), _row_key(row_id, text).alias("key"), text.alias("text"))
+    return docs.select(row_id.alias("id"), row_key(row_id, text).alias("key"), text.alias("text"))
 
 
-def _row_key(row_id: Column, text: Column) -> Column:
-    return F.unhex(F.sha2(F.concat(F.coalesce(row_id.cast("string"), F.lit("")), F.lit(":"), text), 256))
+def _blocks_of(n: Column, shingles: Column) -> Column:
+    """Blocks for ``n`` nodes with so many shingles in all."""
+    return F.least(n, F.greatest(F.ceil(n / BLOCK), F.ceil(shingles / BLOCK_SHINGLES))).cast("int")
+
+
+def _compared(placed: DataFrame, by: list[str], sets: DataFrame, percent: int) -> DataFrame:
+    joined = placed.join(sets, placed["rep"] == sets["key"]).select(*by, "label", "blocks", "shingles")
+    return joined.groupBy(*by).applyInArrow(_verify(percent), "a binary, b binary, apart boolean")
 
 
 def _verified(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between the nodes of each gathering, enough to keep together what hangs together."""
-    wanted_blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("size") / BLOCK_SHINGLES)).cast("int")
-    sizes = members.groupBy("centre").agg(F.least(F.count("*").cast("int"), wanted_blocks).alias("blocks"))
-    # the plain columns of ``dealt`` say where a node belongs; the centre is a guest in every block
-    dealt = members.join(sizes, "centre").withColumn("own", F.pmod(F.xxhash64("label"), F.col("blocks")).cast("int"))
-    blocks_of = F.when(F.col("label") == F.col("centre"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("own"))
-    hosted = dealt.select("centre", "label", "rep", "blocks", F.explode(blocks_of).alias("x"))
-    checked = hosted.join(sets, hosted["rep"] == sets["key"]).groupBy("centre", "x").applyInArrow(_verify(percent), "a binary, b binary, apart boolean")
-    checked = written(few_files(checked), "checked")
+    sizes = members.groupBy("centre").agg(_blocks_of(F.count("*"), F.sum("size")).alias("blocks"))
+    dealt = members.join(sizes, "centre")
+    own = F.pmod(F.xxhash64("label"), F.col("blocks")).cast("int")
+    # the centre is a guest in every block
+    blocks_of = F.when(F.col("label") == F.col("centre"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(own))
+    checked = written(few_files(_compared(dealt.select("centre", "label", "rep", "blocks", F.explode(blocks_of).alias("x")), ["centre", "x"], sets, percent)), "checked")
     links = checked.where("not apart").select("a", "b")
-    apart = checked.where("apart").select(F.col("a").alias("label"), F.col("b").alias("centre")).distinct()
+    apart = checked.where("apart").select(F.col("b").alias("centre"), F.col("a").alias("label")).distinct().withColumn("apart", F.lit(True))
     if apart.isEmpty():
         return links
-    rest_sizes = apart.groupBy("centre").agg(F.count("*").alias("n")).join(members.groupBy("centre").agg(F.max("size").alias("most")), "centre")
-    rest_blocks = F.least(F.col("n"), F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("n") * F.col("most") / BLOCK_SHINGLES))).cast("int")
-    busy = dealt.join(rest_sizes.select("centre", rest_blocks.alias("rests")), "centre")
-    rest = busy.join(apart, ["centre", "label"]).withColumns({"x": F.pmod(F.xxhash64("label", F.lit(1)), F.col("rests")).cast("int"), "y": F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))})
-    others = busy.withColumns({"x": F.explode(F.sequence(F.lit(0), F.col("rests") - 1)), "y": F.col("own")})
-    columns = ["centre", "label", "rep", F.lit(1).alias("blocks"), "x", "y"]
-    pairs = rest.select(*columns).unionByName(others.select(*columns)).distinct()
-    more = pairs.join(sets, pairs["rep"] == sets["key"]).groupBy("centre", "x", "y").applyInArrow(_verify(percent), "a binary, b binary, apart boolean")
-    return links.unionByName(more.select("a", "b"))
+    # nodes that hang apart are held against each other, a pair of blocks once, and against the settled ones
+    marked = dealt.where("blocks > 1").join(apart, ["centre", "label"], "left").withColumn("apart", F.coalesce("apart", F.lit(False)))
+    of = lambda c, kept: F.when(F.col("apart") == kept, c)
+    counts = marked.groupBy("centre").agg(
+        _blocks_of(F.count(of(F.lit(1), True)), F.sum(of(F.col("size"), True))).alias("rests"), _blocks_of(F.count(of(F.lit(1), False)), F.sum(of(F.col("size"), False))).alias("settled")
+    )
+    both = marked.join(counts.where("rests > 0"), "centre").withColumn("own", F.pmod(F.xxhash64("label", F.lit(1)), F.when(F.col("apart"), F.col("rests")).otherwise(F.greatest("settled", F.lit(1)))).cast("int"))
+    numbers = lambda c: F.when(F.col(c) > 0, F.sequence(F.lit(0), F.col(c) - 1)).otherwise(F.array().cast("array<int>"))
+    at = lambda kind, x, y: F.struct(F.lit(kind).alias("kind"), x.alias("x"), y.alias("y"))
+    among = F.transform(numbers("rests"), lambda i: at("among", F.least("own", i), F.greatest("own", i)))
+    against = F.transform(numbers("settled"), lambda i: at("against", F.col("own"), i))
+    places = F.when(F.col("apart"), F.concat(among, against)).otherwise(F.transform(numbers("rests"), lambda i: at("against", i, F.col("own"))))
+    placed = both.select("centre", "label", "rep", F.lit(1).alias("blocks"), F.explode(places).alias("place")).select("centre", "label", "rep", "blocks", "place.*")
+    return links.unionByName(_compared(placed, ["centre", "kind", "x", "y"], sets, percent).select("a", "b"))
 
 
 def _classes(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int, bands: int, rows: int) -> tuple[DataFrame, DataFrame]:
@@ -268,7 +277,7 @@ def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: s
     described, classes = _classes(docs, id_col, text_col, size, percent, BANDS, ROWS)
     stays = classes.where("component = label").select("rep").unionByName(described.where("digest is null").select(F.col("key").alias("rep"))).distinct()
     key = free_name(docs, "_key")
-    keyed = docs.withColumn(key, _row_key(F.col(f"`{id_col}`").cast("long"), text_or_empty(text_col)))
+    keyed = docs.withColumn(key, row_key(F.col(f"`{id_col}`").cast("long"), text_or_empty(text_col)))
     kept = keyed.join(stays.withColumnRenamed("rep", key).hint("merge"), key, "left_semi")
     row = kept.groupBy(key).agg(F.min(F.struct(*(F.col(f"`{c}`") for c in docs.columns))).alias("row"))
     return row.select("row.*")
