@@ -239,13 +239,14 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, size: int, percent: in
     first = F.min(F.struct(F.coalesce("id", F.lit(NO_ID)).alias("id"), "key"))
     nodes = described.where("digest is not null").groupBy("digest").agg(first.alias("first"), F.first("n_shingles").alias("size"), F.first("bands").alias("bands"))
     nodes = nodes.select("digest", _label(F.col("first.id"), F.col("digest")).alias("label"), F.col("first.key").alias("rep"), "size", "bands")
-    banded = nodes.select("label", "rep", "size", F.explode("bands").alias("band"))
+    banded = nodes.select("label", F.explode("bands").alias("band"))
     buckets = banded.groupBy("band").agg(F.min("label").alias("centre"), F.count("*").alias("n")).where("n > 1").select("band", "centre")
-    members = written(few_files(banded.join(buckets, "band").select("centre", "label", "rep", "size").distinct()), "members")
+    gathered = banded.join(buckets, "band").select("centre", "label").distinct()
+    members = written(few_files(gathered.join(nodes.select("label", "rep", "size"), "label")), "members")
     # the hint keeps the plan the same at every size: the members grow with the input
     wanted = members.select(F.col("rep").alias("key")).distinct().hint("merge")
     texts = rows_in.join(wanted, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
-    sets = texts.mapInArrow(_full_sets(size), "key binary, shingles array<long>")
+    sets = written(texts.mapInArrow(_full_sets(size), "key binary, shingles array<long>"), "sets")
     found = connected_components(_verified(members, sets, percent))
     classes = nodes.select("digest", "label", "rep").join(found, F.col("label") == F.col("node"), "left")
     return described, classes.select("digest", "label", "rep", F.coalesce("component", "label").alias("component"))
