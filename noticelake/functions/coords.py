@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from noticelake.functions.geo import centroid, zone_shape
 
-_GAP = r"[\s,/]*"
+_GAP = r"[\s,/-]*"
 _NUMBER = r"\d{1,2}(?:\.\d+)?"
 
 #: (name, pattern, token); a token is ``form|latitude parts|N or S|longitude parts|E or W``.
@@ -37,7 +37,7 @@ NOTATIONS = (
 _OPEN, _CLOSE = "\ue000", "\ue001"
 
 #: Words that part the zones of one notice. A fixed pattern.
-ZONE_BREAK = r"(?i)\bSIMILAR ACTIVITIES\b|\bAREA\s*(?:\d+|[A-Z])\b\s*:?|(?<![A-Z0-9])\(?[A-H1-9]\)(?=\s)|\bAND\s+(?=\d{6}(?:\.\d+)?\s*[NS])"
+ZONE_BREAK = r"(?i)\bSIMILAR ACTIVITIES\b|\bAREA\s*(?:\d+|[A-Z])\b\s*:?|(?<![A-Z0-9])\(?[A-H1-9]\)(?=\s)|(?<![A-Z0-9.])\d\.(?=\s)|\bAND\s+(?=\d{6}(?:\.\d+)?\s*[NS])"
 
 
 def tokenised(text: Column) -> Column:

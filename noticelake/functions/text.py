@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,27 +12,62 @@ from noticelake.functions.timeparse import daily_hours
 #: Typographic characters and what stands for them; the last ones are dropped. Fixed values.
 TYPOGRAPHY = ("   ‘’“”‐‑–—−º˚′″​﻿", "   ''\"\"-----°°'\"")
 
-#: Entities that notices contain. Fixed values.
-ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&deg;", "°"), ("&amp;", "&"))
+#: Code points of named entities, by the standard's table; names that it lacks stay as they are.
+ENTITIES = {**name2codepoint, "apos": 39}
 
 #: Identifiers of notices: series, number and year; domestic ones; maritime warnings.
-NOTICE_ID = r"\b(?:[A-Z]?\d{4}/\d{2}|!FDC \d+/\d+|NAVAREA [IVX]+ (?:WARNING )?\d+/\d{2})\b"
+NOTICE_ID = r"\b(?:[A-Z]?\d{3,4}/\d{2}|!FDC \d+/\d+|NAVAREA [IVX]+ (?:WARNING )?\d+/\d{2})\b"
 
 #: Words that announce activity in space. They match from the start of a word. Fixed values.
-SPACE_WORDS = ("ROCKET", "MISSILE", "SPACE", "LAUNCH", "SATELLITE", "AEROSPACE", "RE-ENTRY", "REENTRY", "DEBRIS", "SPACECRAFT", "BOOSTER", "STAGE")
-UNLIMITED_WORDS = ("UNL", "UNLIMITED", "SFC TO UNL", "GND TO UNL", "SFC-UNL", "FL999", "ALL ALTITUDES")
-STRONG_WORDS = ("ROCKET LAUNCH", "SPACE LAUNCH", "LAUNCH VEHICLE", "SATELLITE LAUNCH", "SPACE OPERATION", "ROCKET DEBRIS", "AEROSPACE FLIGHT", "SPACECRAFT", "SPLASHDOWN", "STAGE IMPACT")
-EXCLUSION_WORDS = ("BALLOON", "SEARCHLIGHT", "LASER", "CRANE", "PARACHUTE", "FIREWORK", "GLIDER", "DRONE", "UNMANNED", "OBSTACLE", "BIRD", "KITE", "PYROTECHNIC", "AIR DISPLAY")
+SPACE_WORDS = (
+    "ROCKET", "SPACE LAUNCH", "LAUNCH", "DEBRIS", "FALLING DEBRIS", "DANGER AREA", "TEMPORARY RESTRICTED AREA", "RESTRICTED AREA",
+    "AIRSPACE CLSD", "AIRSPACE CLOSED", "HAZARDOUS OPERATIONS", "ALTITUDE RESERVATION",
+)
+#: Ways to write that an area reaches from the ground without limit. Fixed values.
+UNLIMITED_WORDS = (
+    "SFC/UNL", "SFC TO UNL", "SFC-UNL", "SFC - UNL", "GND/UNL", "GND TO UNL", "GND-UNL", "GND - UNL",
+    "SFC/UNLIMITED", "GND/UNLIMITED", "SFC-UNLIMITED", "GND-UNLIMITED", "SURFACE TO UNLIMITED",
+)
+#: Words that only space flight has. Fixed values.
+STRONG_WORDS = (
+    "ROCKET", "SPACE LAUNCH", "LAUNCH VEHICLE", "CARRIER ROCKET", "SPACE DEBRIS", "FALLING DEBRIS", "SATELLITE LAUNCH", "SPACECRAFT",
+    "STAGE IMPACT", "BOOSTER", "REENTRY", "RE-ENTRY", "LAUNCH ACTIVITY", "LAUNCH OPERATION", "LAUNCH WINDOW", "SPACE ACTIVITY",
+    "LAUNCH AREA", "JETTISON", "MISSILE LAUNCH", "LAUNCH MISSILE", "MISSILE MISSION", "RUSSIAN MISSILES", "SPACE LAUNCH AREA",
+    "IMPACT AREA", "FALL AREA", "UNBURNED DEBRIS", "DEBRIS RETURN", "AEROSPACE FLT", "AEROSPACE FLIGHT", "SPACE FLT ACT",
+)
+#: Words of what is not space flight, whatever else the notice says. Fixed values.
+EXCLUSION_WORDS = (
+    "BALLOON", "SEARCHLIGHT", "GUN FRNG", "GUN FIRING", "AIR EXER", "PARACHUT", "SKYDIV", "GLIDER", "KITE", "FIREWORK", "PYROTECHNIC",
+    "CRANE", "LASER", "UNMANNED ACFT", "UAS ", "UAV ", "DRONE", "MODEL ACFT", "AIRSHOW", "AIR SHOW", "ARTILLERY", "FIRING PRACTICE",
+    "NAVAL SHIP", "FRNG", "FIRING", "ADS-B", "TIS-B", "FIS-B", "SURVEILLANCE REBROADCAST", "ALT RESERVATION", "AEROPAC",
+    "EXPERIMENTAL ROCKETRY", "AMATEUR ROCKET", "HIGH POWER ROCKETRY", "MODEL ROCKET", "AIRSPACE USE PLAN", "AMC-MANAGEABLE", "TSA/TRA",
+    "AUP", "AERIAL WORK", "WINDMILL", "OBST",
+)
+#: What items F and G start with for an area without limit, and the qualifier's band of all heights. Fixed values.
+LOWEST, HIGHEST, ALL_HEIGHTS = ("SFC", "GND", "SURFACE", "GROUND"), ("UNL", "UNLIMITED", "UNLTD"), "000/999"
 REENTRY_WORDS = ("RE-ENTRY", "REENTRY", "RE ENTRY", "DEORBIT", "SPLASHDOWN", "RECOVERY OF SPACECRAFT")
 FULL_HEIGHT_CODES = r"(?:QR|QWM)"
 
 
+def unescaped(text: Column) -> Column:
+    """Named and numeric character entities as their characters, each once; unknown ones stay."""
+    pattern = r"&(?:#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);"
+    names = F.create_map(*(F.lit(x) for pair in ENTITIES.items() for x in pair))
+
+    def character(entity: Column) -> Column:
+        code = F.when(entity.rlike("^&#[xX]"), F.conv(F.regexp_extract(entity, "([0-9a-fA-F]+);$", 1), 16, 10)).when(entity.startswith("&#"), F.regexp_extract(entity, r"(\d+);$", 1))
+        number = F.coalesce(code.cast("int"), names[F.regexp_extract(entity, "^&([A-Za-z0-9]+);$", 1)])
+        valid = number.between(1, 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
+        return F.when(valid, F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")).otherwise(entity)
+
+    found = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), character)
+    whole = F.array_join(F.zip_with(F.split(text, pattern, -1), found, lambda gap, c: F.concat(gap, F.coalesce(c, F.lit("")))), "")
+    return F.when(text.contains("&"), whole).otherwise(text)
+
+
 def normalised(text: Column) -> Column:
     """Plain ASCII punctuation, entities resolved, zero-width characters dropped."""
-    out = text
-    for entity, plain in ENTITIES:
-        out = F.replace(out, F.lit(entity), F.lit(plain))
-    return F.translate(out, *TYPOGRAPHY)
+    return F.translate(unescaped(text), *TYPOGRAPHY)
 
 
 def collapsed(text: Column) -> Column:
@@ -80,8 +117,9 @@ def triggers(text: Column, lower: Column, upper: Column, qualifier: Column) -> C
     flat = F.upper(collapsed(text))
     spoken = [F.when(flat.rlike(rf"\b\Q{w}\E"), F.lit(w)) for w in SPACE_WORDS]
     high = [F.when(F.contains(flat, F.lit(w)), F.lit(w)) for w in UNLIMITED_WORDS]
-    heights = F.when(F.upper(upper).rlike("^(?:UNL|FL999)") & F.upper(lower).rlike("^(?:SFC|GND)"), F.lit("SFC-UNL (F/G)"))
-    band = F.when(qualifier.rlike(r"/000/999/"), F.lit("000/999 (Q)"))
+    starts = lambda c, words: F.upper(F.trim(c)).rlike("^(?:" + "|".join(words) + ")")
+    heights = F.when(starts(upper, HIGHEST) & starts(lower, LOWEST), F.lit("SFC-UNL (F/G)"))
+    band = F.when(F.contains(qualifier, F.lit(ALL_HEIGHTS)) | F.contains(flat, F.lit(ALL_HEIGHTS)), F.lit("000/999 (Q)"))
     return F.array_distinct(F.array_compact(F.array(*spoken, *high, heights, band)))
 
 
@@ -97,11 +135,12 @@ def kind(text: Column) -> Column:
 
 
 def altitude_profile(text: Column, lower: Column, upper: Column) -> Column:
-    """Items F and G; else words for an unlimited height; else flight levels; else ``-``."""
+    """Items F and G; else words for an unlimited height; else all heights of the qualifier; else flight levels; else ``-``."""
     both = F.when(lower.isNotNull() & upper.isNotNull(), F.concat_ws(" - ", lower, upper))
     words = F.get(contained(text, UNLIMITED_WORDS), F.lit(0))
-    level = F.regexp_extract(F.upper(text), r"\b(FL\d{3}\s*-\s*FL\d{3})\b", 1)
-    return F.coalesce(both, words, F.when(level != "", F.regexp_replace(level, r"\s", "")), F.lit("-"))
+    band = F.when(F.contains(collapsed(text), F.lit(ALL_HEIGHTS)), F.lit("FL000 - FL999"))
+    level = lambda i: F.regexp_extract(F.upper(text), r"\b(FL\d{3})\s*[-/]\s*(FL\d{3})\b", i)
+    return F.coalesce(both, words, band, F.when(level(1) != "", F.concat_ws(" - ", level(1), level(2))), F.lit("-"))
 
 
 def launch_signature(code: Column, full_height: Column, hours: Column, text: Column) -> Column:

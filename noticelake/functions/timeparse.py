@@ -6,10 +6,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Words that stand for an open time. Fixed values.
-OPEN_ENDED = ("PERM", "PERMANENT", "UFN", "TBD", "WIE", "-", "")
+OPEN_ENDED = ("PERM", "PERMANENT", "UFN", "TBD", "WIE", "NAN", "NONE", "-", "")
 
 #: Formats tried in this order after the digit forms.
-FORMATS = ("d.M.yyyy H:mm", "yyyy-M-d H:mm[:ss]", "M/d/yyyy HHmm", "d MMM yyyy HHmm")
+FORMATS = ("d.M.yyyy H:mm", "yyyy-M-d H:mm[:ss]", "M/d/yyyy HHmm", "M/d/yyyy H:mm", "d MMM yyyy HHmm")
 ISO_FORMATS = ("yyyy-MM-dd'T'HH:mm[:ss][.SSSSSS][XXX]", "yyyy-MM-dd", "d.M.yyyy")
 
 MONTHS = "JAN FEB MAR APR MAY JUN JUL AUG SEP OCT NOV DEC".split()
@@ -21,7 +21,7 @@ def notice_time(value: Column) -> Column:
     Ten digits are yyMMddHHmm of this century, twelve yyyyMMddHHmm. Marks of an estimated
     time are ignored.
     """
-    text = F.trim(F.regexp_replace(F.upper(value), r"\b(?:EST|APRX)\b", ""))
+    text = F.trim(F.regexp_replace(F.trim(F.upper(value)), r"\s*(?:EST|APRX|APPROX|ESTIMATED)$", ""))
     digits = F.regexp_extract(text, r"^(\d{10}|\d{12})$", 1)
     numeric = F.when(F.length(digits) == 10, F.try_to_timestamp(F.concat(F.lit("20"), digits), F.lit("yyyyMMddHHmm"))).when(F.length(digits) == 12, F.try_to_timestamp(digits, F.lit("yyyyMMddHHmm")))
     titled = F.initcap(text)
@@ -30,8 +30,8 @@ def notice_time(value: Column) -> Column:
 
 
 def navarea_period(text: Column) -> Column:
-    """struct(valid_from, valid_to) of 'ddHHmm UTC TO ddHHmm UTC MON yyyy'; an end before the start is in the next month."""
-    pattern = r"(?i)(\d{2})(\d{2})(\d{2})\s+UTC\s+TO\s+(\d{2})(\d{2})(\d{2})\s+UTC\s+([A-Z]{3})\s+(\d{4})"
+    """struct(valid_from, valid_to) of 'FROM ddHHmm UTC TO ddHHmm UTC MON yyyy', with Z or nothing for UTC; an end before the start is in the next month."""
+    pattern = r"(?i)\bFROM\s+(\d{2})(\d{2})(\d{2})\s*(?:UTC|Z)?\s+TO\s+(\d{2})(\d{2})(\d{2})\s*(?:UTC|Z)?\s+([A-Z]{3})\s*(\d{4})"
     part = lambda i: F.regexp_extract(text, pattern, i)
     month = F.lpad(F.array_position(F.array(*map(F.lit, MONTHS)), F.upper(part(7))).cast("string"), 2, "0")
     at = lambda i: F.try_to_timestamp(F.concat(part(8), month, part(i), part(i + 1), part(i + 2)), F.lit("yyyyMMddHHmm"))
@@ -41,8 +41,8 @@ def navarea_period(text: Column) -> Column:
 
 
 def daily_windows(text: Column) -> Column:
-    """Array of struct(start, stop) in minutes of the day, for each HHMM-HHMM; stop goes past 1440 over midnight."""
-    pattern = F.lit(r"\b(\d{4})[-/](\d{4})\b")
+    """Array of struct(start, stop) in minutes of the day, for each HHMM-HHMM or HHMM/HHMM, with or without blanks; stop goes past 1440 over midnight."""
+    pattern = F.lit(r"\b(\d{4})\s*[-/]\s*(\d{4})\b")
     minutes = lambda x: F.substring(x, 1, 2).cast("int") * 60 + F.substring(x, 3, 2).cast("int")
     valid = lambda x: (F.substring(x, 1, 2).cast("int") <= 24) & (F.substring(x, 3, 2).cast("int") < 60)
     pairs = F.arrays_zip(F.regexp_extract_all(text, pattern, F.lit(1)).alias("a"), F.regexp_extract_all(text, pattern, F.lit(2)).alias("b"))

@@ -124,18 +124,32 @@ def same_launch(left: DataFrame, right: DataFrame) -> DataFrame:
     """
     a = left.select(F.col("id").alias("left_id"), "day", "nation", F.explode(F.array_distinct("ids")).alias("shared"))
     b = right.select(F.col("id").alias("right_id"), F.col("day").alias("day2"), F.col("nation").alias("nation2"), F.explode(F.array_distinct("ids")).alias("shared"))
-    near = F.coalesce(F.abs(F.datediff("day", "day2")) <= 1, F.lit(True))
     agree = F.coalesce(F.col("nation") == F.col("nation2"), F.lit(True))
-    return a.join(b, "shared").where(near & agree).select("left_id", "right_id").distinct()
+    # dated rows meet on the day, so that a frequent id costs no more than its rows of three days
+    around = a.where("day is not null").withColumn("day2", F.explode(F.sequence(F.date_sub("day", 1), F.date_add("day", 1))))
+    pairs = around.join(b, ["shared", "day2"])
+    undated = a.where("day is null").join(b, "shared")
+    other = a.where("day is not null").join(b.where("day2 is null"), "shared")
+    out = [x.where(agree).select("left_id", "right_id") for x in (pairs, undated, other)]
+    return out[0].unionByName(out[1]).unionByName(out[2]).distinct()
 
 
 def without_subsumed(rows: DataFrame) -> DataFrame:
-    """Rows (id, ids array, ...) whose id set is not a proper part of another row's."""
-    each = rows.select("id", F.array_distinct("ids").alias("s"))
-    elements = each.select("id", F.size("s").alias("n"), F.explode("s").alias("e"))
-    other = elements.select(F.col("id").alias("id2"), F.col("n").alias("n2"), "e")
-    common = elements.join(other, "e").where("n < n2").groupBy("id", "id2", "n").agg(F.count("*").alias("k")).where("k = n")
-    return rows.join(common.select("id").distinct(), "id", "left_anti")
+    """Rows (id, ids array, day, nation, ...) whose id set is not a proper part of the set of another row of the same launch.
+
+    Rows belong to one launch if they are at most a day apart and do not name different
+    nations; an unknown day or nation fits any. A row meets only those that have its rarest id.
+    """
+    each = rows.select("id", F.array_distinct("ids").alias("s"), "day", "nation")
+    elements = each.select("id", "s", "day", "nation", F.explode("s").alias("e"))
+    counts = elements.groupBy("e").agg(F.count("*").alias("n"))
+    rarest = elements.select("id", "e").join(counts, "e").groupBy("id").agg(F.min_by("e", F.struct("n", "e")).alias("e"))
+    small = each.join(rarest, "id")
+    large = elements.select(F.col("s").alias("s2"), F.col("day").alias("day2"), F.col("nation").alias("nation2"), "e")
+    near = F.coalesce(F.abs(F.datediff("day", "day2")) <= 1, F.lit(True))
+    agree = F.coalesce(F.col("nation") == F.col("nation2"), F.lit(True))
+    part = (F.size("s") < F.size("s2")) & (F.size(F.array_intersect("s", "s2")) == F.size("s"))
+    return rows.join(small.join(large, "e").where(near & agree & part).select("id").distinct(), "id", "left_anti")
 
 
 def sharing_ids(rows: DataFrame) -> DataFrame:

@@ -156,12 +156,16 @@ def same_launch_fuzzy(spark, sf_dir):
 
 @query(
     "subset_antijoin",
-    """with e as (select distinct l_orderkey as id, l_partkey % 500 as e from lineitem), n as (select id, count(*) as n from e group by 1),
-sub as (select a.id, b.id as id2 from e a join e b on a.e = b.e join n na on na.id = a.id join n nb on nb.id = b.id where na.n < nb.n group by a.id, b.id, na.n having count(*) = na.n)
+    """with e as (select distinct l_orderkey as id, l_partkey % 40 as e from lineitem),
+n as (select l_orderkey as id, count(distinct l_partkey % 40) as n, min(l_shipdate)::date as day, case when l_orderkey % 5 < 2 then l_orderkey % 5 end as nation from lineitem group by l_orderkey),
+sub as (select a.id, b.id as id2 from e a join e b on a.e = b.e join n na on na.id = a.id join n nb on nb.id = b.id
+  where na.n < nb.n and abs(date_diff('day', na.day, nb.day)) <= 1 and coalesce(na.nation = nb.nation, true) group by a.id, b.id, na.n having count(*) = na.n)
 select id, n from n where id not in (select id from sub)""",
 )
 def subset_antijoin(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.collect_set(F.col("l_partkey") % 500).alias("ids"))
+    key = F.col("l_orderkey") % 5
+    rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("id"), F.when(key < 2, key).alias("nation"))
+    rows = rows.agg(F.collect_set(F.col("l_partkey") % 40).alias("ids"), F.min("l_shipdate").cast("date").alias("day"))
     return joins.without_subsumed(rows).select("id", F.size("ids").cast("long").alias("n"))
 
 
@@ -338,9 +342,9 @@ def set_intersect(spark, sf_dir):
     return table(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("k")).intersect(table(spark, sf_dir, "region").where("r_regionkey > 1").select("r_regionkey"))
 
 
-@query("set_difference", "select c_custkey as k from customer except select o_custkey from orders")
+@query("set_difference", "select c_custkey as k from customer except select o_custkey from orders where o_orderpriority = '1-URGENT' and o_orderstatus = 'F'")
 def set_difference(spark, sf_dir):
-    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")).subtract(table(spark, sf_dir, "orders").select("o_custkey"))
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")).subtract(table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT' and o_orderstatus = 'F'").select("o_custkey"))
 
 
 @query("ordered_unique", "select l_orderkey, string_agg(l_returnflag, ',' order by f, l_returnflag) as flags from (select l_orderkey, l_returnflag, min(l_linenumber) as f from lineitem group by 1, 2) group by 1")

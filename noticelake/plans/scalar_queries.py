@@ -234,15 +234,14 @@ def qualifier_point(spark, sf_dir):
 
 
 # Texts.
-@query("event_keys", r"select doc_id, substr(md5(upper(trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')))), 1, 12) as key from documents where regexp_full_match(coalesce(text, ''), '[\x00-\x7f]*')")
+@query("event_keys", r"select doc_id, substr(md5(upper(replace(trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')), 'ß', 'ss'))), 1, 12) as key from documents")
 def event_keys(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").where(F.coalesce("text", F.lit("")).rlike(r"\A[\x00-\x7f]*\z"))
-    return rows.select("doc_id", text.event_key(F.coalesce("text", F.lit(""))).alias("key"))
+    return table(spark, sf_dir, "documents").select("doc_id", text.event_key(F.coalesce("text", F.lit(""))).alias("key"))
 
 
 @query("typography_normalised", "select s_suppkey, 'A \"' || s_name || '\" - 12°30'' & <' || s_suppkey || '>' as plain from supplier")
 def typography_normalised(spark, sf_dir):
-    built = F.concat(F.lit("A “"), F.col("s_name"), F.lit("” – 12º30′ &amp; &lt;"), F.col("s_suppkey").cast("string"), F.lit("&gt;​"))
+    built = F.concat(F.lit("A “"), F.col("s_name"), F.lit("” – 12&#176;30′ &amp; &lt;"), F.col("s_suppkey").cast("string"), F.lit("&#x3e;​"))
     return table(spark, sf_dir, "supplier").select("s_suppkey", text.normalised(built).alias("plain"))
 
 
@@ -263,16 +262,36 @@ def notice_items(spark, sf_dir):
     return rows.select("o_orderkey", F.col("i")["A"].alias("a"), F.col("i")["B"].alias("b"), F.col("i")["E"].alias("e"), F.col("i")["G"].alias("g"))
 
 
-@query("trigger_filter", "select doc_id from documents where regexp_matches(upper(coalesce(text, '')), '\\b(ROCKET|MISSILE|SPACE|LAUNCH|SATELLITE|STAGE|THE)')")
+_PHRASES = (
+    "TEMPORARY DANGER AREA ESTABLISHED", "UNLIT CRANE 50FT", "ROCKET FIRING PRACTICE", "SFC - UNL", "LASER UNLESS NOTIFIED", "AIRSPACE  CLSD", "AIRSPACE CLSD", "PRELAUNCH",
+    "Q) X/QRDCA/IV/BO/W/000/999/1", "GUN FRNG ADS-B", "model rocketry", "OBST",
+)
+
+
+def _phrase() -> Column:
+    return F.get(F.array(*map(F.lit, _PHRASES)), (F.col("o_orderkey") % len(_PHRASES)).cast("int"))
+
+
+_PHRASE_SQL = "[" + ", ".join(f"'{p}'" for p in _PHRASES) + f"][(o_orderkey % {len(_PHRASES)} + 1)::int]"
+
+
+@query(
+    "trigger_filter",
+    f"""select o_orderkey from orders where regexp_matches(upper({_PHRASE_SQL}), '\\b(ROCKET|LAUNCH|DEBRIS|FALLING DEBRIS|DANGER AREA|RESTRICTED AREA|AIRSPACE CLSD|AIRSPACE CLOSED|HAZARDOUS OPERATIONS|ALTITUDE RESERVATION)')
+or regexp_matches({_PHRASE_SQL}, '(SFC|GND)(/| TO |-| - )UNL|SURFACE TO UNLIMITED|000/999')
+or regexp_matches(regexp_replace({_PHRASE_SQL}, ' +', ' ', 'g'), '\\bAIRSPACE CLSD')""",
+)
 def trigger_filter(spark, sf_dir):
-    words = ("ROCKET", "MISSILE", "SPACE", "LAUNCH", "SATELLITE", "STAGE", "THE")
-    upper = F.upper(F.coalesce("text", F.lit("")))
-    return table(spark, sf_dir, "documents").where(upper.rlike(r"\b(?:" + "|".join(words) + ")")).select("doc_id")
+    nothing = F.lit("")
+    return table(spark, sf_dir, "orders").where(F.size(text.triggers(_phrase(), nothing, nothing, nothing)) > 0).select("o_orderkey")
 
 
-@query("exclusion_hits", "select p_partkey, len(list_filter(['BRASS', 'STEEL', 'TIN', 'COPPER'], lambda w: contains(upper(p_type), w))) as n from part")
+@query(
+    "exclusion_hits",
+    f"""select o_orderkey, case o_orderkey % {len(_PHRASES)} when 1 then 1 when 2 then 2 when 4 then 1 when 9 then 3 when 10 then 1 when 11 then 1 else 0 end::int as n from orders""",
+)
 def exclusion_hits(spark, sf_dir):
-    return table(spark, sf_dir, "part").select("p_partkey", F.size(text.contained(F.col("p_type"), ("BRASS", "STEEL", "TIN", "COPPER"))).alias("n"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.size(text.contained(_phrase(), text.EXCLUSION_WORDS)).alias("n"))
 
 
 @query("hint_hits", "select p_partkey, len(list_filter(['STEEL', 'TIN', 'PROMO', 'STANDARD'], lambda w: regexp_matches(upper(p_type), '(^|[^A-Z0-9])' || w || '([^A-Z0-9]|$)'))) as n from part")
@@ -310,10 +329,10 @@ def confidence_levels(spark, sf_dir):
     return rows.select("l_orderkey", "l_linenumber", "points", text.level(c("points"), c("l_quantity") * 20, c("l_linestatus") == "F").alias("level"))
 
 
-@query("altitude_profiles", "select p_partkey, case p_partkey % 4 when 0 then 'SFC - UNL' when 1 then 'UNL' when 2 then 'FL100-FL200' else '-' end as profile from part")
+@query("altitude_profiles", "select p_partkey, case p_partkey % 5 when 0 then 'SFC - UNL' when 1 then 'SFC/UNL' when 2 then 'FL100 - FL200' when 3 then 'FL000 - FL999' else '-' end as profile from part")
 def altitude_profiles(spark, sf_dir):
-    k = F.col("p_partkey") % 4
-    body = F.when(k == 1, "up to UNL").when(k == 2, "between FL100 - FL200").otherwise("low")
+    k = F.col("p_partkey") % 5
+    body = F.when(k == 1, "from sfc/unl").when(k == 2, "between FL100 / FL200").when(k == 3, "Q) X/QRDCA/IV/BO/W/000/999/1").otherwise("UNLIT up to UNL")
     return table(spark, sf_dir, "part").select("p_partkey", text.altitude_profile(body, F.when(k == 0, "SFC"), F.when(k == 0, "UNL")).alias("profile"))
 
 
@@ -331,25 +350,28 @@ def clean_payloads(spark, sf_dir):
 
 
 # Times; parquet timestamps carry no zone and are read as UTC.
-@query("validity_times", "select o_orderkey, strftime(o_orderdate, '%Y-%m-%d %H:%M') as at from orders where o_orderkey % 6 <> 5 union all select o_orderkey, null from orders where o_orderkey % 6 = 5")
+@query("validity_times", "select o_orderkey, case when o_orderkey % 9 <> 5 then strftime(o_orderdate, '%Y-%m-%d %H:%M') end as at from orders")
 def validity_times(spark, sf_dir):
-    d, k = F.col("o_orderdate"), F.col("o_orderkey") % 6
+    d, k = F.col("o_orderdate"), F.col("o_orderkey") % 9
     form = lambda f: F.date_format(d, f)
-    raw = F.when(k == 0, form("yyMMddHHmm")).when(k == 1, form("yyyyMMddHHmm")).when(k == 2, form("d.M.yyyy H:mm")).when(k == 3, form("yyyy-MM-dd HH:mm")).when(k == 4, F.concat(F.upper(form("d MMM yyyy HHmm")), F.lit(" EST"))).otherwise("PERM")
-    century = F.when((k == 0) & (F.year(d) < 2000), form("yyyyMMddHHmm")).otherwise(raw)
+    raw = F.when(k == 0, form("yyMMddHHmm")).when(k == 1, form("yyyyMMddHHmm")).when(k == 2, form("d.M.yyyy H:mm")).when(k == 3, form("yyyy-MM-dd HH:mm")).when(k == 4, F.concat(F.upper(form("d MMM yyyy HHmm")), F.lit(" EST")))
+    raw = raw.when(k == 5, "PERM").when(k == 6, F.concat(form("yyMMddHHmm"), F.lit("EST"))).when(k == 7, form("MM/dd/yyyy HH:mm")).otherwise(F.concat(form("MM/dd/yyyy HHmm"), F.lit(" APPROX")))
+    century = F.when(k.isin(0, 6) & (F.year(d) < 2000), form("yyyyMMddHHmm")).otherwise(raw)
     return table(spark, sf_dir, "orders").select("o_orderkey", F.date_format(timeparse.notice_time(century), "yyyy-MM-dd HH:mm").alias("at"))
 
 
 @query("daily_window_hours", "select p_partkey, round(case when e <= s then (e + 1440 - s) / 60.0 else (e - s) / 60.0 end, 6) as hours from (select p_partkey, p_partkey * 7 % 1440 as s, p_partkey * 13 % 1440 as e from part)")
 def daily_window_hours(spark, sf_dir):
     s, e = F.col("p_partkey") * 7 % 1440, F.col("p_partkey") * 13 % 1440
-    clock = F.format_string("DAILY %02d%02d-%02d%02d", F.floor(s / 60), s % 60, F.floor(e / 60), e % 60)
+    sign = F.get(F.array(*map(F.lit, ("-", " - ", "/"))), (F.col("p_partkey") % 3).cast("int"))
+    clock = F.format_string("DAILY %02d%02d%s%02d%02d", F.floor(s / 60), s % 60, sign, F.floor(e / 60), e % 60)
     return table(spark, sf_dir, "part").select("p_partkey", F.round(timeparse.daily_hours(clock), 6).alias("hours"))
 
 
 @query("navarea_periods", "select p_partkey, 9 as start_month, case when 1 + p_partkey * 5 % 28 < 1 + p_partkey * 3 % 28 then 10 else 9 end as end_month, (1 + p_partkey * 5 % 28)::int as end_day from part")
 def navarea_periods(spark, sf_dir):
-    built = F.format_string("FROM %02d0130 UTC TO %02d0430 UTC SEP 2025", 1 + F.col("p_partkey") * 3 % 28, 1 + F.col("p_partkey") * 5 % 28)
+    zone = F.get(F.array(*map(F.lit, (" UTC", "Z", ""))), (F.col("p_partkey") % 3).cast("int"))
+    built = F.format_string("FROM %02d0130%s TO %02d0430%s SEP 2025", 1 + F.col("p_partkey") * 3 % 28, zone, 1 + F.col("p_partkey") * 5 % 28, zone)
     rows = table(spark, sf_dir, "part").select("p_partkey", timeparse.navarea_period(built).alias("p"))
     return rows.select("p_partkey", F.month("p.valid_from").alias("start_month"), F.month("p.valid_to").alias("end_month"), F.dayofmonth("p.valid_to").alias("end_day"))
 

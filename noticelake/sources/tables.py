@@ -105,8 +105,9 @@ def resolved_codes(rows: DataFrame, key: str, name_col: str, reference: DataFram
     return rows.select(key, plain.alias("_n")).join(spelled, "_n", "left").join(named, "_n", "left").select(key, F.coalesce("_alias", "_named").alias("code"))
 
 
-_BLOCKS = {"p", "div", "br", "li", "tr", "h1", "h2", "h3", "h4", "ul", "ol", "table", "section", "article", "nav", "header", "footer"}
-_SKIPPED = {"script", "style", "blockquote", "title", "head"}
+#: Elements that break a line, and those that are left out. Fixed values.
+_BLOCKS = {"p", "div", "br", "li", "tr", "pre", "code", "blockquote", "h1", "h2", "h3", "h4", "td"}
+_SKIPPED = {"script", "style", "blockquote"}
 
 
 class _Posts(HTMLParser):
@@ -122,7 +123,7 @@ class _Posts(HTMLParser):
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in _BLOCKS:
             self.handle_data("\n")
-        if tag in ("br", "img", "meta", "link", "input", "hr"):
+        if tag in ("br", "img", "hr", "input", "meta", "link", "area", "base", "col", "wbr", "source"):
             return
         found = dict(attrs)
         post = tag == "div" and ("inner" in (found.get("class") or "").split() or (found.get("id") or "").startswith("msg_"))

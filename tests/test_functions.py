@@ -137,3 +137,35 @@ def test_column_roles(spark):
     frame = spark.createDataFrame([("A1", "ZGZU", "long notice text")], "`NOTAM ID` string, FIR string, `NOTAM Text` string")
     assert tables.column_roles(frame) == {"text": "NOTAM Text", "id": "NOTAM ID", "fir": "FIR"}
     assert tables.column_roles(spark.createDataFrame([("x", "a longer value")], "a string, b string"))["text"] == "b"
+
+
+def test_notices_are_read_as_they_are_written(spark):
+    """Forms that agencies use beside the usual ones."""
+    none = F.lit("")
+    hits = lambda t: value(spark, text.triggers(F.lit(t), none, none, none))
+    assert hits("A TEMPORARY DANGER AREA ESTABLISHED") == ["DANGER AREA"] and hits("AIRSPACE  CLSD") == ["AIRSPACE CLSD"]
+    assert hits("UNLIT CRANE 50FT") == [] and hits("LASER UNLESS NOTIFIED") == [] and hits("PRELAUNCH") == []
+    assert value(spark, text.triggers(F.lit("X"), F.lit("GROUND"), F.lit("UNLTD"), none)) == ["SFC-UNL (F/G)"]
+    assert hits("Q) X/QRDCA/IV/BO/W/000/999/1") == ["000/999 (Q)"]
+    assert value(spark, timeparse.notice_time(F.lit("2611161500EST"))) == datetime(2026, 11, 16, 15, 0)
+    assert value(spark, timeparse.notice_time(F.lit("03/12/2010 13:06"))) == datetime(2010, 3, 12, 13, 6)
+    for form in ("FROM 142100Z TO 232100Z JUL 2026", "FROM 142100 TO 232100 JUL2026", "FROM 142100 UTC TO 232100 UTC JUL 2026"):
+        period = value(spark, timeparse.navarea_period(F.lit(form)))
+        assert (period.valid_from, period.valid_to) == (datetime(2026, 7, 14, 21, 0), datetime(2026, 7, 23, 21, 0))
+    assert value(spark, timeparse.daily_hours(F.lit("0100 - 0400"))) == 3.0
+    assert value(spark, text.notice_id(none, F.lit("see A123/25"), F.lit(1))) == "A123/25"
+    assert value(spark, text.normalised(F.lit("30&#176; &eacute; &#x27; &amp;lt; &nope; &#1114112; &"))) == "30° é ' &lt; &nope; &#1114112; &"
+    point = value(spark, coords.coordinates(F.lit("1936N-11057E")))[0]
+    assert (round(point.lat, 4), round(point.lon, 4)) == (19.6, 110.95)
+    corners = "1936N11057E 1940N11057E 1940N11100E"
+    assert len(value(spark, coords.zones(F.lit(f"1. {corners} 2. {corners.replace('11', '12')}")))) == 2
+
+
+def test_rows_are_subsumed_within_a_launch_alone(spark):
+    from noticelake.operators import joins
+
+    rows = [(1, ["a"], "2025-01-01", "X"), (2, ["a", "b"], "2025-01-02", None), (3, ["b"], "2025-03-01", None), (4, ["a"], None, "Y"), (5, ["a", "b"], "2025-01-02", None), (6, [], "2025-01-01", None), (7, ["a"], "2025-01-01", "Z")]
+    frame = spark.createDataFrame(rows, "id long, ids array<string>, day string, nation string").withColumn("day", F.to_date("day"))
+    assert {r.id for r in joins.without_subsumed(frame).collect()} == {2, 3, 5, 6}
+    pairs = {tuple(r) for r in joins.same_launch(frame.where("id < 5"), frame.where("id >= 5")).collect()}
+    assert pairs == {(1, 5), (2, 5), (2, 7), (4, 5)}
