@@ -19,7 +19,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from noticelake.llm.common import text_or_empty, written
+from noticelake.llm.common import free_name, text_or_empty, written
 
 #: Families of languages by ISO 639-1 code; a language that is not listed is a family of its own.
 FAMILIES = {
@@ -143,11 +143,12 @@ def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> Da
         for texts in batches:
             yield pd.DataFrame([shared.value.predict(x) for x in texts], columns=["lang_pred", "score"])
 
-    return kept.withColumn("_judged", judge(F.col(f"`{text_col}`"))).select(*(kept[c] for c in kept.columns), "_judged.lang_pred", "_judged.score")
+    name = free_name(kept, "_judged")
+    return kept.withColumn(name, judge(F.col(f"`{text_col}`"))).select(*(F.col(f"`{c}`") for c in kept.columns), f"{name}.lang_pred", f"{name}.score")
 
 
 def identify(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
-    """``docs`` with held_out, lang_pred and score, by a model fitted on the rows that are not held out."""
+    """``docs`` with held_out, lang_pred and score, by a model fitted on the rows that are not held out; columns of these names are replaced."""
     model = fit(docs.where(~held_out()), per_language=per_language)
     return predict(docs.withColumn("held_out", held_out()), model)
 

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from noticelake.llm.common import text_or_empty
+from noticelake.llm.common import free_name, text_or_empty
 
 #: Kinds in the order in which spans with equal starts are listed; the first three are the base kinds.
 KINDS = ("assign", "access", "hex", "pem", "jwt", "der", "openssh")
@@ -258,9 +258,10 @@ def mask_secrets(docs: DataFrame, text_col: str = "text", length_col: str = "n_c
         for texts in batches:
             yield pd.Series([redact(x, find_secrets(x)) for x in texts], dtype=object)
 
-    new = docs.withColumn("_masked", masked(F.col(f"`{text_col}`")))
-    changed = ~F.col("_masked").eqNullSafe(F.col(f"`{text_col}`"))
-    values = {text_col: F.col("_masked"), length_col: F.when(changed, F.char_length("_masked").cast("long")).otherwise(F.col(f"`{length_col}`"))}
+    name = free_name(docs, "_masked")
+    new = docs.withColumn(name, masked(F.col(f"`{text_col}`")))
+    changed = ~F.col(name).eqNullSafe(F.col(f"`{text_col}`"))
+    values = {text_col: F.col(name), length_col: F.when(changed, F.char_length(name).cast("long")).otherwise(F.col(f"`{length_col}`"))}
     return new.select(*(values[c].alias(c) if c in values else F.col(f"`{c}`") for c in docs.columns))
 
 

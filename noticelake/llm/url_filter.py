@@ -55,8 +55,13 @@ def _entropy(text: Column) -> Column:
     return F.aggregate(letters, F.lit(0.0), lambda acc, c: acc - share(c) * F.log2(share(c)))
 
 
-def lexical(rows: DataFrame, url_col: str, records: DataFrame) -> DataFrame:
-    """``rows`` (with host and path) with an array of ``FEATURES``; records: (suffix, share, weight)."""
+def lexical(rows: DataFrame, url_col: str, records: DataFrame, own: str | None = None) -> DataFrame:
+    """``rows`` (with host and path) with an array of ``FEATURES``; records: (suffix, bad, weight).
+
+    ``own`` names the label of rows that the records count: each is taken out of its suffix's record, so that no row sees its answer.
+    """
+    weight = F.col("weight") - (1 if own else 0)
+    share = (F.col("bad") - (F.col(own) if own else F.lit(0)) + 2.0) / (weight + 4.0)
     url = F.coalesce(F.col(url_col), F.lit(""))
     host, path = F.col("host"), F.col("path")
     query = F.regexp_extract(url, r"\?([^#]*)", 1)
@@ -74,17 +79,16 @@ def lexical(rows: DataFrame, url_col: str, records: DataFrame) -> DataFrame:
         "query_length": F.char_length(query),
         "has_fragment": url.contains("#").cast("int"),
         "secure": url.startswith("https").cast("int"),
-        "suffix_share": F.coalesce("share", F.lit(0.5)),
-        "suffix_weight": F.coalesce(F.log1p("weight"), F.lit(0.0)),
+        "suffix_share": F.coalesce(share, F.lit(0.5)),
+        "suffix_weight": F.coalesce(F.log1p(weight), F.lit(0.0)),
     }
     joined = rows.withColumn("suffix", suffix_of(host)).join(records, "suffix", "left")
-    return joined.withColumn("features", F.array(*(values[name].cast("double") for name in FEATURES))).drop("suffix", "share", "weight")
+    return joined.withColumn("features", F.array(*(values[name].cast("double") for name in FEATURES))).drop("suffix", "bad", "weight")
 
 
 def suffix_records(labelled: DataFrame) -> DataFrame:
-    """(suffix, share, weight) from (host, blocked): the smoothed share of blocked URLs and their number."""
-    counted = labelled.groupBy(suffix_of(F.col("host")).alias("suffix")).agg(F.count("*").alias("weight"), F.sum("blocked").alias("bad"))
-    return counted.select("suffix", ((F.col("bad") + 2.0) / (F.col("weight") + 4.0)).alias("share"), "weight")
+    """(suffix, bad, weight) from (host, blocked): the number of blocked URLs and of all."""
+    return labelled.groupBy(suffix_of(F.col("host")).alias("suffix")).agg(F.sum("blocked").alias("bad"), F.count("*").alias("weight"))
 
 
 def fit(labelled: DataFrame, train_rows: int = TRAIN_ROWS) -> tuple[GBTClassificationModel | str, DataFrame]:
@@ -95,7 +99,7 @@ def fit(labelled: DataFrame, train_rows: int = TRAIN_ROWS) -> tuple[GBTClassific
         return ("block" if 1 in seen else "allow"), records
     rate = int(1_000_000 * min(1.0, train_rows / sum(seen.values())))
     picked = labelled.where(F.pmod(F.xxhash64("url", F.lit("url-filter")), F.lit(1_000_000)) < rate)
-    rows = written(lexical(picked, "url", records).select("blocked", "features"), "url-sample")
+    rows = written(lexical(picked, "url", records, own="blocked").select("blocked", "features"), "url-sample")
     if rows.select("blocked").distinct().count() < 2:
         return ("block" if seen[1] > seen[0] else "allow"), records
     trees = GBTClassifier(maxIter=12, maxDepth=4, seed=7, featuresCol="vector", labelCol="blocked")

@@ -135,3 +135,21 @@ def test_url_rules_and_trees(spark):
     plain = frame.where("url = 'no scheme'")
     assert [(r.verdict, r.rule) for r in url_filter.judge(plain).collect()] == [("allow", None)]
     assert url_filter.judge(frame.where("false")).collect() == []
+
+
+def test_no_url_sees_its_own_label_in_the_record_of_its_suffix(spark):
+    rows = [("http://a.one.net/x", "a.one.net", "/x", 1), ("http://b.one.net/y", "b.one.net", "/y", 0), ("http://c.two.net/", "c.two.net", "/", 1)]
+    frame = spark.createDataFrame(rows, "url string, host string, path string, blocked int")
+    records = url_filter.suffix_records(frame)
+    at = url_filter.FEATURES.index("suffix_share")
+    share = lambda own: {r.url[7]: r.features[at] for r in url_filter.lexical(frame, "url", records, own=own).collect()}
+    assert share("blocked") == {"a": 2 / 5, "b": 3 / 5, "c": 2 / 4}
+    assert share(None) == {"a": 3 / 6, "b": 3 / 6, "c": 3 / 5}
+
+
+def test_columns_of_clashing_names_stay(spark):
+    rows = spark.createDataFrame([("token = 'abcdef1234567'", 1, "mine", "too")], "text string, n_chars long, _masked string, _judged string")
+    masked = secret_scan.mask_secrets(rows).first()
+    assert masked["_masked"] == "mine" and "abcdef1234567" not in masked.text
+    judged = langid.predict(rows, langid.LanguageModel({}, [], {})).first()
+    assert judged["_judged"] == "too" and judged.lang_pred == langid.UNKNOWN
