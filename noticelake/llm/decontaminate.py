@@ -157,11 +157,11 @@ def _contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col:
     small = sum(shape.values()) <= BROADCAST_WINDOWS
     found = None
     for length in sorted(shape):
-        # template windows come first, so that doc_at holds for all windows with slots
-        both = F.when(F.col("template") == F.col("plain"), window_hashes(F.col("template"), length)).otherwise(
-            F.concat(window_hashes(F.col("template"), length), window_hashes(F.col("plain"), length))
+        # template windows come first, so that doc_at holds for all windows with slots; of the plain ones, where doc_at counts for nothing, only those that are no template window follow
+        of = templates.withColumns(
+            {"ours": window_hashes(F.col("template"), length), "bare": F.when(F.col("template") != F.col("plain"), window_hashes(F.col("plain"), length)).otherwise(F.array().cast("array<bigint>"))}
         )
-        of = templates
+        both = F.concat("ours", F.array_except("bare", "ours"))
         if length < LITERALS:  # so short an item is looked for as an entire text
             of, both = templates.where(F.size("plain") == length), window_hashes(F.col("plain"), length)
         windows = of.select("key", "doc_id", F.posexplode(both).alias("doc_at", "hash"))
