@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,14 +20,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@lru_cache
+def _own_dir(application: str) -> str:
+    """One temporary folder for each application; a running session takes no new value of the setting."""
+    return tempfile.mkdtemp(prefix="noticelake-")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``; a temporary one only where that is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = tempfile.mkdtemp(prefix="noticelake-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        found = _own_dir(spark.sparkContext.applicationId)
     return found.rstrip("/")
 
 

@@ -4,11 +4,13 @@ import hashlib
 import random
 import re
 from datetime import date
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
 
 from noticelake.llm import decontaminate, license_scan, pii, simhash
+from noticelake.llm.common import shared_dir
 
 ITEM = "A train leaves the old station at 9 and travels 120 km to the coast before it turns back towards the hills"
 SHORT = "a box of 9 apples and 120 pears"
@@ -250,3 +252,10 @@ def test_licences_equal_their_sql(spark, documents):
     assert found == sorted(con.sql(license_scan.oracle_sql()).fetchall(), key=str)
     assert not any(r[0] in (1, 2) for r in found)
     assert (3, "paragraph", "Apache-2.0", 1) in found and (5, "paragraph", "MIT", 1) in found and (None, "text", "MIT", 2) in found
+
+
+def test_shared_folder_where_none_is_set():
+    session = lambda master, app: SimpleNamespace(conf={}, sparkContext=SimpleNamespace(master=master, applicationId=app))
+    assert shared_dir(session("local[2]", "a")) == shared_dir(session("local[2]", "a")) != shared_dir(session("local[2]", "b"))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(session("spark://host:7077", "c"))
