@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from noticelake.llm.common import free_name, row_key, text_or_empty, written
+from noticelake.llm.common import few_files, free_name, row_key, text_or_empty, written
 
 WINDOW = 8
 #: Words of a template window that are not placeholders, unless it is an item's whole template. An item of fewer words is looked for as an entire text.
@@ -203,5 +203,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 def without_benchmark(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` (with doc_id and text) without the rows that hold a window of a benchmark item."""
     key = free_name(docs, "_key")
-    hit = _contaminated(docs, benchmark, "doc_id", "text").select(F.col("key").alias(key)).distinct()
+    # written first, so that the join is planned by the true size of the keys and texts move only where these are many
+    hit = written(few_files(_contaminated(docs, benchmark, "doc_id", "text").select(F.col("key").alias(key)).distinct()), "benchmark-hits")
     return docs.withColumn(key, row_key(F.col("doc_id").cast("long"), text_or_empty())).join(hit, key, "left_anti").select(*docs.columns)

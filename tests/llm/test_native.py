@@ -259,3 +259,11 @@ def test_shared_folder_where_none_is_set():
     assert shared_dir(session("local[2]", "a")) == shared_dir(session("local[2]", "a")) != shared_dir(session("local[2]", "b"))
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         shared_dir(session("spark://host:7077", "c"))
+
+
+def test_hits_are_few_keys_and_texts_do_not_move(spark):
+    docs = spark.createDataFrame([(i, f"plain text number {i} of no question") for i in range(50)] + [(50, "how many red apples does the old farmer sell in one week")], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "how many red apples does the old farmer sell in one week")], "item_id long, text string")
+    kept = decontaminate.without_benchmark(docs, bench)
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(50))
+    assert "Exchange hashpartitioning" not in kept._jdf.queryExecution().executedPlan().toString()
