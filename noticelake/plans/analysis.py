@@ -210,4 +210,5 @@ def analysed(
         "decision.branch",
         "decision.status",
         "decision.requires_group",
+        F.col("confirmed").alias("override"),
     )

@@ -45,6 +45,8 @@ def _joins(first: tuple, last_from: float, event: tuple) -> bool:
     f_long, e_long = f_to - f_from, e_to - e_from  # NaN without an end, which is no long validity
     if not (f_long >= LONG_S or e_long >= LONG_S):
         return e_from - last_from <= GAP_S and e_from - f_from <= SPAN_S
+    if f_long != f_long or e_long != e_long:  # one has no end
+        return False
     shared = min(f_to, e_to) - max(f_from, e_from)
     return shared > 0 and shared >= OVERLAP * max(f_long, e_long)
 
@@ -156,8 +158,7 @@ def tracks(clustered: DataFrame, sites: DataFrame) -> DataFrame:
 def launches(events: DataFrame, sites: DataFrame) -> DataFrame:
     """A row for each launch, numbered in time: window, site, course, orbit, range, best level, members.
 
-    events: the columns of ``analysis.analysed`` with ``override``, whether a person has
-    confirmed the notice. Several notices are a launch if one of them is sure enough and one
+    events: the columns of ``analysis.analysed``. Several notices are a launch if one of them is sure enough and one
     secures the nation without the group; one notice is a launch if it stands by itself.
     """
     rows = staged(events.where(groupable()))
