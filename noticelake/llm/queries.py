@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from noticelake.llm import bpe, decontaminate, langid, license_scan, minhash, pii, secret_scan, simhash, token_count, url_filter
+from noticelake.llm import bpe, decontaminate, html_text, langid, license_scan, minhash, periodic_runs, pii, secret_scan, simhash, token_count, url_filter, vector_codes
 from noticelake.llm.common import table
 
 
@@ -51,6 +51,18 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(table(spark, sf_dir, "documents"), license_scan.known_digests(license_scan.known_texts(spark)))
 
 
+def op11_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_text(table(spark, sf_dir, "pages"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.run_digests(table(spark, sf_dir, "documents"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.vector_codes(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontaminate": op1_decontaminate,
@@ -63,9 +75,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_secret_scan": op8_secret_scan,
         "op9_url_filter": op9_url_filter,
         "op10_license_scan": op10_license_scan,
+        "op11_html_text": op11_html_text,
+        "op12_periodic_runs": op12_periodic_runs,
+        "op13_vector_codes": op13_vector_codes,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_license_scan": license_scan.oracle_sql()}
+    return {"op10_license_scan": license_scan.oracle_sql(), "op13_vector_codes": vector_codes.oracle_sql()}
