@@ -45,12 +45,15 @@ APART_ROLES = frozenset("alert alertdialog banner complementary contentinfo dial
 
 #: Words in the class or id of the same kind.
 APART_WORDS = frozenset(
-    """ad ads advert adverts advertisement advertisements advertising adsense banner billboard breadcrumb breadcrumbs comment comments commentlist consent cookie cookies
-    disclaimer discussion disqus footer form forms gdpr login masthead menu menus modal nav navbar navigation navi newsletter notice notices notification notifications overlay
-    pager pagination paywall popup promo promoted promotion rail recommendations recommended related replies respond search share sharing sidebar sidebars signin signup skip
-    social sponsor sponsored sponsors subscribe subscription teaser teasers toolbar topbar widget widgets""".split()
+    """ad ads adsense advert adverts advertisement advertisements advertising alert alerts aside banner billboard breadcrumb breadcrumbs comment comments commentlist consent
+    cookie cookies copyright disclaimer discussion disqus footer form forms gdpr login masthead menu menus modal nav navbar navigation navi newsletter notice notices notification
+    notifications overlay pager pagination paywall popup promo promoted promotion rail recommendations recommended related replies respond search share sharing sidebar sidebars
+    signin signup skip social sponsor sponsored sponsors subscribe subscription toolbar topbar widget widgets""".split()
 )
 
+#: Beginnings and ends of names that are written as one word.
+APART_PIECES = ("advert", "breadcrumb", "comments", "commentform", "cookie", "footer", "masthead", "menu", "navbar", "newsletter", "sidebar", "sponsor", "subscribe")
+
 #: As above, but common in names of headings and of an article's own parts.
 HEADER_WORDS = frozenset(("header", "head"))
 
@@ -189,11 +192,11 @@ def _hidden(about: dict[str, str | None]) -> bool:
     return "hidden" in about or about.get("aria-hidden") == "true" or "display:none" in style or "visibility:hidden" in style
 
 
-def _says(tag: str, named: str, words: frozenset[str]) -> bool:
+def _says(named: str, words: frozenset[str]) -> bool:
     """Whether a role, class or id has one of the words, other than to tell of what is beside the element."""
     for name in named.split():
         parts = [w.lower() for w in _WORDS.findall(name)]
-        if parts and parts[0] not in ABOUT_OTHERS and any(w in words for w in parts):
+        if parts and parts[0] not in ABOUT_OTHERS and any(w in words or words is APART_WORDS and (w.startswith(APART_PIECES) or w.endswith(APART_PIECES)) for w in parts):
             return True
     return False
 
@@ -208,9 +211,9 @@ def _is_apart(tag: str, named: str, in_article: bool) -> bool:
         return False
     if named.split(" ")[0] in APART_ROLES:
         return True
-    if _says(tag, named, APART_WORDS):
+    if _says(named, APART_WORDS):
         return True
-    return tag not in HEADINGS and tag != "article" and not in_article and _says(tag, named, HEADER_WORDS)
+    return tag not in HEADINGS and tag != "article" and not in_article and _says(named, HEADER_WORDS)
 
 
 def smoothed(ratios: np.ndarray) -> np.ndarray:

@@ -52,6 +52,19 @@ def test_articles_of_several_templates(seed):
         assert html_text.main_text(page) == want, k
 
 
+@pytest.mark.parametrize("name", ["cookiebanner", "siteFooter", "mainmenu", "ad-slot", "AdBox", "post-comments", "readercomments", "notice", "sidebar left", "newsletter_box", "search-form"])
+def test_parts_by_name(name):
+    text = "A long enough sentence that stands in the article and is read by many people. " * 3
+    for page in (f"<body><article><p>{text}</p><div class='{name}'><p>{text}</p></div><p>End.</p></article>", f"<body><div class='story'><h1>Title</h1><p>{text}</p><p>End.</p></div><div id='{name}'><p>{text}</p></div>"):
+        got = html_text.main_text(page).split("\n")
+        assert got[-2:] == [text.strip(), "End."] and len(got) == 2 + ("Title" in got), page
+
+
+def test_names_that_only_tell_of_others():
+    text = "A long enough sentence that stands in the article and is read by many people."
+    assert html_text.main_text(f"<body class='no-sidebar'><div class='page with-comments'><h1 class='header'>Title</h1><p class='additional'>{text}</p></div>") == f"Title\n{text}"
+
+
 def test_references_space_and_breaks():
     page = "<article><h1>A&amp;B &lt;c&gt; &eacute;&#233;&#x20AC;</h1><p> one\n\ttwo&nbsp; <i>thr</i>ee<br>four </p>loose <b>text</b><ul><li>x<li>y</ul><pre>a\n  b</pre><p>5 < 6 &am</article>"
     assert html_text.main_text(page) == "A&B <c> éé€\none two three four\nloose text\nx\ny\na b\n5 < 6 &am"
