@@ -2,24 +2,22 @@
 
 Texts become hashed counts of letter pairs and triples. A linear support vector machine
 for each pair of families votes for the family; within it, one for each pair of its
-languages votes for the language. The machines are fitted with ``pyspark.ml`` on at most
-``PER_LANGUAGE`` documents of each language, picked by a hash of doc_id at a rate that
-follows from the language's count; prediction reads every document, whole.
+languages votes for the language. A bounded sample is turned into features once, and one
+job fits the machines of all pairs, a pair a group. Prediction reads every document, whole,
+and scores some dozens of texts by one matrix product.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
-from pyspark.ml.classification import LinearSVC
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from noticelake.llm import language_model
 from noticelake.llm.common import free_name, text_or_empty, written
+from noticelake.llm.language_model import UNKNOWN, LanguageModel
 
 #: Families of languages by ISO 639-1 code; a language that is not listed is a family of its own.
 FAMILIES = {
@@ -28,105 +26,56 @@ FAMILIES = {
     "slavic": ("be", "bg", "cs", "hr", "mk", "pl", "ru", "sk", "sl", "sr", "uk"),
 }
 
-#: Documents of each language that the machines are fitted on, at most about.
+#: Documents of each language, and of each family, that a machine is fitted on, at most about.
 PER_LANGUAGE = 1500
 
-DIM = 2048
-UNKNOWN = "und"
-
-_LETTER = np.zeros(0x110000, bool)
-
-
-def _letters() -> np.ndarray:
-    if not _LETTER[ord("a")]:
-        _LETTER[:] = np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
-    return _LETTER
-
-
-def features(text: str) -> np.ndarray | None:
-    """Square roots of hashed pair and triple counts, of length one; None without letters."""
-    codes = np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32)
-    letter = _letters()[codes]
-    if not letter.any():
-        return None
-    codes = np.where(letter, codes, 32)
-    codes = codes[np.concatenate([[True], (codes[1:] != 32) | (codes[:-1] != 32)])]  # one space for many
-    codes = np.concatenate([[32], codes, [32]]).astype(np.uint32)
-    pairs = (codes[:-1] * np.uint32(0x9E3779B1)) ^ (codes[1:] * np.uint32(0x85EBCA77))
-    triples = (pairs[:-1] * np.uint32(0xC2B2AE3D)) ^ (codes[2:] * np.uint32(0x27D4EB2F))
-    hashed = np.concatenate([pairs, triples])
-    hashed ^= hashed >> np.uint32(15)
-    counts = np.sqrt(np.bincount((hashed * np.uint32(0x2C1B3C6D)) >> np.uint32(21), minlength=DIM).astype(np.float32))
-    return counts / np.linalg.norm(counts)
+#: Languages that are learned, at most: those with the most labelled documents.
+LANGUAGES = 64
 
 
 def family_of(lang: str) -> str:
     return next((name for name, members in FAMILIES.items() if lang in members), lang)
 
 
-def _vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        found = [(lang, x) for lang, x in zip(batch["lang"], map(features, batch["text"]), strict=True) if x is not None]
-        yield pd.DataFrame({"lang": [lang for lang, _ in found], "x": [x for _, x in found]})
-
-
 def held_out(id_col: str = "doc_id") -> Column:
     """Whether a document is kept from fitting; a null id is not."""
     return F.coalesce(F.crc32(F.col(f"`{id_col}`").cast("string")) % 5 == 0, F.lit(False))
 
 
-def _machine(rows: DataFrame, yes: Column) -> tuple[np.ndarray, float]:
-    labelled = rows.select(array_to_vector("x").alias("features"), yes.cast("double").alias("label"))
-    fitted = LinearSVC(maxIter=40, regParam=1e-4, standardization=False).fit(labelled)
-    return fitted.coefficients.toArray().astype(np.float32), float(fitted.intercept)
-
-
-class LanguageModel:
-    """Pairwise machines: ``languages`` by family, and (first, second, weights, intercept) for pairs of families and of languages."""
-
-    def __init__(self, languages: dict[str, list[str]], families: list, within: dict[str, list]):
-        self.languages, self.families, self.within = languages, families, within
-
-    @staticmethod
-    def _vote(names: list[str], machines: list, x: np.ndarray) -> tuple[str, float]:
-        if len(names) == 1:
-            return names[0], 1.0
-        won, chance = dict.fromkeys(names, 0), dict.fromkeys(names, 1.0)
-        for first, second, weights, intercept in machines:
-            p = 1 / (1 + np.exp(-np.clip(2 * (float(x @ weights) + intercept), -30, 30)))
-            won[first if p >= 0.5 else second] += 1
-            chance[first], chance[second] = min(chance[first], p), min(chance[second], 1 - p)
-        best = max(names, key=lambda n: (won[n], chance[n], n))
-        return best, chance[best]
-
-    def predict(self, text: str | None) -> tuple[str, float]:
-        x = features(text) if text else None
-        if x is None or not self.languages:
-            return UNKNOWN, 0.0
-        family, p = self._vote(list(self.languages), self.families, x)
-        lang, q = self._vote(self.languages[family], self.within[family], x)
-        return lang, float(p * q)
-
-
-def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> LanguageModel:
-    """Fits on rows with a known language; without any, every text is ``und``."""
+def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, most_languages: int = LANGUAGES) -> LanguageModel:
+    """Fits on rows with a known language, at most ``per_language`` of each of the ``most_languages`` most frequent ones, picked by a hash of the id; without any, every text is ``und``."""
     rows = labelled.where(F.col(f"`{lang_col}`").isNotNull()).select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{lang_col}`").alias("lang"), text_or_empty(text_col).alias("text"))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row for each language
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages).collect()}
     if not counts:
         return LanguageModel({}, [], {})
+    named = lambda values: F.create_map(*(F.lit(x) for k, v in values.items() for x in (k, v)))[F.col("lang")]
     pick = F.pmod(F.xxhash64("id", F.lit("langid")), F.lit(1_000_000))
-    rates = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, int(1_000_000 * min(1.0, per_language / n)))))
-    sample = written(rows.where(pick < rates[F.col("lang")]).select("lang", "text").mapInPandas(_vectors, "lang string, x array<float>"), "langid-sample")
-    seen = sorted(r["lang"] for r in sample.select("lang").distinct().collect())
+    # a language's own share of the hashes is stretched over the whole range, so that a part of the picks is a part of each language
+    rates = named({lang: max(1, int(1_000_000 * min(1.0, per_language / n))) for lang, n in counts.items()})
+    picked = rows.select("lang", (pick * 1_000_000 / rates).cast("long").alias("pick"), "text").where("pick < 1000000")
+    sample = written(picked.mapInArrow(language_model.vectors, "lang string, pick long, x binary"), "langid-sample")
+    seen = sorted(r["lang"] for r in sample.select("lang").distinct().collect())  # one row for each language learned
     languages: dict[str, list[str]] = {}
     for lang in seen:
         languages.setdefault(family_of(lang), []).append(lang)
-    families = [(a, b, *_machine(sample.where(F.col("lang").isin(languages[a] + languages[b])), F.col("lang").isin(languages[a]))) for a, b in combinations(languages, 2)]
-    within = {
-        family: [(a, b, *_machine(sample.where(F.col("lang").isin(a, b)), F.col("lang") == a)) for a, b in combinations(members, 2)]
-        for family, members in languages.items()
-    }
-    return LanguageModel(languages, families, within)
+    pairs = [("families", a, b, languages[a], languages[b]) for a, b in combinations(languages, 2)]
+    pairs += [(family, a, b, [a], [b]) for family, members in languages.items() for a, b in combinations(members, 2)]
+    if not pairs:
+        return LanguageModel(languages, [], {family: [] for family in languages})
+    of: dict[str, list[Column]] = {lang: [] for lang in seen}
+    for level, a, b, *sides in pairs:
+        for yes, side in zip((True, False), sides, strict=True):
+            for lang in side:
+                # a family's languages share its number of documents
+                of[lang].append(F.struct(F.lit(level).alias("level"), F.lit(a).alias("first"), F.lit(b).alias("second"), F.lit(yes).alias("yes"), F.lit(1_000_000 // len(side)).alias("below")))
+    met = F.coalesce(*(F.when(F.col("lang") == lang, F.array(*found)) for lang, found in of.items() if found))
+    met = sample.select("pick", "x", F.explode(met).alias("m")).where("pick < m.below").select("m.level", "m.first", "m.second", "m.yes", "pick", "x")
+    fitted = met.groupBy("level", "first", "second").applyInArrow(language_model.fitted, "level string, first string, second string, weights binary, intercept double").collect()  # one row for each pair
+    machines: dict[str, list] = {"families": [], **{family: [] for family in languages}}
+    by_pair = {(r["level"], r["first"], r["second"]): (np.frombuffer(r["weights"], np.float32), r["intercept"]) for r in fitted}
+    for level, a, b, *_ in pairs:
+        machines[level].append((a, b, *by_pair[level, a, b]))
+    return LanguageModel(languages, machines.pop("families"), machines)
 
 
 def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
@@ -136,13 +85,7 @@ def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> Da
     stay as they are. The model is a few vectors of fixed length for each pair of languages.
     """
     kept = docs.drop("lang_pred", "score")
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    @F.pandas_udf("lang_pred string, score double")
-    def judge(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in batches:
-            yield pd.DataFrame([shared.value.predict(x) for x in texts], columns=["lang_pred", "score"])
-
+    judge = F.arrow_udf(language_model.scorer(docs.sparkSession.sparkContext.broadcast(model)), "lang_pred string, score double")
     name = free_name(kept, "_judged")
     return kept.withColumn(name, judge(F.col(f"`{text_col}`"))).select(*(F.col(f"`{c}`") for c in kept.columns), f"{name}.lang_pred", f"{name}.score")
 

@@ -6,7 +6,7 @@ import random
 import re
 import zlib
 
-from noticelake.llm import langid, secret_scan, url_filter
+from noticelake.llm import langid, language_model, secret_scan, url_filter
 
 
 def length(n):
@@ -107,6 +107,24 @@ def test_languages_without_labels(documents):
     assert langid.language_labels(documents([])).collect() == []
 
 
+def test_a_machine_separates_and_all_rows_are_scored_alike():
+    rng = language_model.np.random.default_rng(4)
+    x = rng.normal(size=(300, 20)).astype("float32")
+    yes = x[:, 0] + 0.5 * x[:, 1] > 0.2
+    w, b = language_model.support_vector_machine(x, yes)
+    assert ((x @ w + b > 0) == yes).mean() > 0.98
+    vote = language_model.Vote(["b", "a", "c"], [("a", "b", w, b), ("a", "c", w, b), ("b", "c", w, b)])
+    names = [vote.names[k] for k in vote.choose(x)[0]]
+    assert all((n == "a") == bool(p) for n, p in zip(names, x @ w + b >= 0, strict=True)) and set(names) == {"a", "c"}
+
+
+def test_only_the_most_frequent_languages_are_learned(documents):
+    rng = random.Random(2)
+    rows = [(i, " ".join(rng.choice(WORDS[lang]) for _ in range(25)), lang) for i in range(90) for lang in [sorted(WORDS)[min(i % 7, 2)]]]
+    model = langid.fit(documents(rows), most_languages=1)
+    assert [x for names in model.within for x in names.names] == [sorted(WORDS)[2]]
+
+
 def expected_rule(url):
     if url is None or "://" not in url:
         return "", "", None
