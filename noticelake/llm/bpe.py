@@ -36,6 +36,7 @@ from pyspark.sql import types as T
 
 from noticelake.llm.common import free_name, text_or_empty
 from noticelake.llm.pretokens import settled, words_and_odd
+from noticelake.llm.worker import give_back, lean
 
 RANKS = "byte_bpe_50k.tiktoken"
 #: Tokens of a vocabulary, at most: its table is broadcast.
@@ -47,6 +48,7 @@ BLOCK_BYTES = 12 << 20
 _WORDS = "block long, bucket int, digest long, payload binary"
 _PLACES = "block long, digest long, payload binary"
 
+
 @lru_cache(maxsize=4)
 def ranks(path: str) -> dict[bytes, int]:
     """The vocabulary: its size is the file's, fixed and small (about 50,000 entries)."""
@@ -185,6 +187,7 @@ _PLACE_FIELDS = [("block", pa.int64()), ("digest", pa.int64()), ("payload", pa.b
 
 
 def _blocks(pack_rows, fields, buckets: int, block_bytes: int):
+    @lean
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = 0
         for batch in batches:
@@ -199,6 +202,7 @@ def _blocks(pack_rows, fields, buckets: int, block_bytes: int):
 
 
 def _encode_words(path: str):
+    @lean
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         merges, known, current = codec(path), {}, None
         for batch in batches:
@@ -254,6 +258,7 @@ def _assemble(path: str, slice_ids: int = 1 << 18):
             decoded = pa.BinaryArray.from_buffers(pa.binary(), stop - row, [None, pa.py_buffer(np.ascontiguousarray(byte_ends[starts])), found.buffers()[2]])
             out.append(pa.Table.from_arrays([pa.array(values[row:stop], mask=~known[row:stop]), lists, decoded], schema=schema))
             row = stop
+        give_back()
         return pa.concat_tables(out) if out else schema.empty_table()
 
     return assemble

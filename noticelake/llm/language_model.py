@@ -7,6 +7,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
+from noticelake.llm.worker import lean
+
 DIM = 2048
 UNKNOWN = "und"
 
@@ -134,6 +136,7 @@ class LanguageModel:
 def scorer(model: object, width: int = 64):
     """A function from iterators of Arrow arrays of texts to those of (lang_pred, score), ``width`` texts at a time."""
 
+    @lean
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             langs, scores = [], []
@@ -146,6 +149,7 @@ def scorer(model: object, width: int = 64):
     return score
 
 
+@lean
 def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Arrow batches of (lang, pick, text) as (lang, pick, x); texts without letters are left out."""
     for batch in batches:

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from noticelake.llm.common import few_files, free_name, row_key, text_or_empty, written
 from noticelake.llm.components import connected_components
+from noticelake.llm.worker import give_back, lean
 
 BANDS, ROWS = 30, 5
 #: Documents and shingles in a block of a gathering, at most about; a longer document is a block by itself.
@@ -88,6 +89,7 @@ def signatures(sets: list[np.ndarray], coordinates: int) -> np.ndarray:
 
 
 def _describe(size: int, bands: int, rows: int):
+    @lean
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
@@ -114,6 +116,7 @@ def _describe(size: int, bands: int, rows: int):
 
 
 def _full_sets(size: int):
+    @lean
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
@@ -173,6 +176,7 @@ def _verify(percent: int):
         if group.column("blocks")[0].as_py() > 1:
             centre = group.column("centre")[0].as_py()
             rows += [(a, centre, True) for a, b in zip(labels, least, strict=True) if b != centre]
+        give_back()
         return pa.Table.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.binary(), pa.binary(), pa.bool_()))], ["a", "b", "apart"])
 
     return verify

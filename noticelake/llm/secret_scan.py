@@ -20,11 +20,12 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from noticelake.llm.common import free_name, text_or_empty
+from noticelake.llm.worker import lean
 
 #: Kinds in the order in which spans with equal starts are listed; the first three are the base kinds.
 KINDS = ("assign", "access", "hex", "pem", "jwt", "der", "openssh")
@@ -226,37 +227,46 @@ def redact(text: str | None, spans: list[tuple[str, int, int]]) -> str | None:
     return "".join(out) + text[at:]
 
 
-def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        spans = [find_secrets(x) for x in batch["text"]]
-        yield pd.DataFrame(
-            {
-                "id": batch["id"],
-                "spans": [[{"kind": k, "start": a, "end": b} for k, a, b in s] for s in spans],
-                "redacted": [redact(t, s) if s else None for t, s in zip(batch["text"], spans, strict=True)],
-            }
-        )
+_FOUND = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
 
-def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _scan(redacted: bool):
+    @lean
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                texts = part.column("text").to_pylist()
+                spans = [find_secrets(x) for x in texts]
+                masked = [redact(t, s) if s and redacted else None for t, s in zip(texts, spans, strict=True)]
+                listed = pa.array([[{"kind": k, "start": a, "end": b} for k, a, b in s] for s in spans], _FOUND)
+                yield pa.RecordBatch.from_arrays([part.column("id"), listed, pa.array(masked, pa.string())], ["id", "spans", "redacted"])
+
+    return scan
+
+
+def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", redacted: bool = True) -> DataFrame:
     """One row per row of ``docs``: (id_col long, spans array<struct<kind, start, end>>, redacted string).
 
-    ``redacted`` is the text with its spans masked, and null where there is nothing to mask.
+    ``redacted`` is the text with its spans masked, and null where there is nothing to mask
+    or where ``redacted`` is off.
     A null or empty text has no spans; null and repeated ids keep their rows; other columns
     are not read. An empty table gives an empty result.
     """
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), text_or_empty(text_col).alias("text"))
-    found = rows.mapInPandas(_scan, "id long, spans array<struct<kind:string,start:int,end:int>>, redacted string")
+    found = rows.mapInArrow(_scan(redacted), "id long, spans array<struct<kind:string,start:int,end:int>>, redacted string")
     return found.withColumnRenamed("id", id_col)
 
 
 def mask_secrets(docs: DataFrame, text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
     """``docs`` with its secrets masked, and the length of changed texts brought up to date. Rows, order of columns and other values stay."""
 
-    @F.pandas_udf("string")
-    def masked(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("string")
+    @lean
+    def masked(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            yield pd.Series([redact(x, find_secrets(x)) for x in texts], dtype=object)
+            parts = (texts.slice(at, 256).to_pylist() for at in range(0, len(texts), 256))
+            yield pa.concat_arrays([pa.array([redact(x, find_secrets(x)) for x in part], pa.string()) for part in parts] or [texts])
 
     name = free_name(docs, "_masked")
     new = docs.withColumn(name, masked(F.col(f"`{text_col}`")))
@@ -270,7 +280,7 @@ def secret_digests(docs: DataFrame) -> DataFrame:
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
     listed = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     base = F.filter("spans", lambda s: s["kind"].isin(*KINDS[:3]))
-    return scan_secrets(docs).select(
+    return scan_secrets(docs, redacted=False).select(
         "doc_id",
         count("assign").alias("n_assign"),
         count("access").alias("n_access"),
