@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -99,30 +101,49 @@ def unwrap(longitudes: Column) -> Column:
     return F.aggregate(longitudes, F.array().cast("array<double>"), step)
 
 
+def bound(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)`` with the value worked out once, however often ``then`` names it."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 def centroid(points: Column) -> Column:
     """struct(lat, lon) of an array of such: of the polygon's area, or the mean where there is none; lon in [-180, 180)."""
     lats = F.transform(points, lambda p: p["lat"])
     lons = unwrap(F.transform(points, lambda p: p["lon"]))
-    return F.when(F.size(points) > 0, _centroid(lats, lons))
+    return F.when(F.size(points) > 0, bound(lats, lambda y: bound(lons, lambda x: _centroid(y, x))))
 
 
 def _centroid(lats: Column, lons: Column) -> Column:
     n = F.size(lats)
     turned = lambda a: F.concat(F.slice(a, F.lit(2), F.greatest(n - 1, F.lit(0))), F.slice(a, 1, 1))
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda x, y: x + y)
-    edges = F.arrays_zip(lons.alias("x"), lats.alias("y"), turned(lons).alias("u"), turned(lats).alias("v"))
-    cross = lambda e: e["x"] * e["v"] - e["u"] * e["y"]
-    area = total(F.transform(edges, cross)) / 2
-    x = F.when((n < 3) | (F.abs(area) < 1e-12), total(lons) / n).otherwise(total(F.transform(edges, lambda e: (e["x"] + e["u"]) * cross(e))) / (6 * area))
-    y = F.when((n < 3) | (F.abs(area) < 1e-12), total(lats) / n).otherwise(total(F.transform(edges, lambda e: (e["y"] + e["v"]) * cross(e))) / (6 * area))
-    return F.struct(y.alias("lat"), (F.pmod(x + 180, F.lit(360.0)) - 180).alias("lon"))
+    # names as values: those of aliases are lost where this stands within a lambda
+    named = lambda **of: F.named_struct(*(c for name, value in of.items() for c in (F.lit(name), value)))
+    points = lambda x, y: F.zip_with(x, y, lambda a, b: named(x=a, y=b))
+    cross = lambda p, q: p["x"] * q["y"] - q["x"] * p["y"]
+    edges = F.zip_with(points(lons, lats), points(turned(lons), turned(lats)), lambda p, q: named(cross=cross(p, q), x=p["x"] + q["x"], y=p["y"] + q["y"]))
+
+    def middle(edges: Column) -> Column:
+        moment = lambda c: total(F.transform(edges, lambda e: e[c] * e["cross"]))
+        return bound(total(F.transform(edges, lambda e: e["cross"])) / 2, lambda area: of_area(area, moment))
+
+    def of_area(area: Column, moment: Callable[[str], Column]) -> Column:
+        flat = (n < 3) | (F.abs(area) < 1e-12)
+        at = lambda c, values: F.when(flat, total(values) / n).otherwise(moment(c) / (6 * area))
+        return named(lat=at("y", lats), lon=F.pmod(at("x", lons) + 180, F.lit(360.0)) - 180)
+
+    return bound(edges, middle)
 
 
 def zone_shape(points: Column, radius_km: Column) -> Column:
     """struct(lat, lon, size_km): the centroid and the farthest vertex from it, or the radius for a point."""
-    middle = centroid(points)
-    far = F.array_max(F.transform(points, lambda p: haversine_km(middle["lat"], middle["lon"], p["lat"], p["lon"])))
-    return F.struct(middle["lat"].alias("lat"), middle["lon"].alias("lon"), F.when(far < 1e-6, F.coalesce(radius_km, far)).otherwise(far).alias("size_km"))
+
+    def shape(middle: Column) -> Column:
+        far = F.array_max(F.transform(points, lambda p: haversine_km(middle["lat"], middle["lon"], p["lat"], p["lon"])))
+        size = bound(far, lambda km: F.when(km < 1e-6, F.coalesce(radius_km, km)).otherwise(km))
+        return F.named_struct(F.lit("lat"), middle["lat"], F.lit("lon"), middle["lon"], F.lit("size_km"), size)
+
+    return bound(centroid(points), shape)
 
 
 def zones_congruent(a: Column, b: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from noticelake.operators.staging import written
+
 #: Confidence levels from best to worst.
 LEVELS = ("HIGH", "MEDIUM", "LOW")
 
@@ -79,10 +81,11 @@ def first_of_each(rows: DataFrame, keys: list[Column], order: list[Column]) -> D
 def numbered_launches(groups: DataFrame, order: list[str], prefix: str = "START") -> DataFrame:
     """Groups with a running label PREFIX-NN.
 
-    Numbers run over all groups, so ranges are counted first and each range is numbered from
-    what stands before it: no task holds more than a range.
+    Numbers run over all groups, so ranges are written and counted first and each range is
+    numbered from what stands before it: no task holds more than a range, and both reads
+    see the same ranges.
     """
-    ranged = groups.repartitionByRange(*[F.col(c) for c in order]).withColumn("_part", F.spark_partition_id())
+    ranged = written(groups.repartitionByRange(*[F.col(c) for c in order]).withColumn("_part", F.spark_partition_id()))
     counts = ranged.groupBy("_part").agg(F.count("*").alias("n"))
     before = counts.select("_part", (F.sum("n").over(Window.orderBy("_part")) - F.col("n")).alias("_before"))
     placed = ranged.withColumn("_row", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))

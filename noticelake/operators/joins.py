@@ -19,6 +19,14 @@ def checked_reference(reference: DataFrame) -> DataFrame:
     return F.broadcast(reference)
 
 
+def reference_rows(reference: DataFrame) -> list:
+    """The rows of a reference table, for use inside tasks; its size is checked."""
+    rows = reference.limit(REFERENCE_ROWS + 1).collect()
+    if len(rows) > REFERENCE_ROWS:
+        raise ValueError(f"a reference table may have {REFERENCE_ROWS} rows")
+    return rows
+
+
 def _cells(lat: Column, lon: Column, degrees: int) -> tuple[Column, Column]:
     return F.floor((lat + 90) / degrees).cast("int"), F.floor((F.pmod(lon + 180, F.lit(360.0))) / degrees).cast("int")
 

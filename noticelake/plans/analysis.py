@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from noticelake.functions import coords, geo, text, timeparse
 from noticelake.operators import joins
+from noticelake.operators.staging import written as staged
 from noticelake.plans import attribution
-from noticelake.streaming.incremental import shared_folder
 
 #: Columns that a notice table must have; all but row_index are text and may be null.
 NOTICE_COLUMNS = ("row_index", "id", "text", "fir", "valid_from", "valid_to", "qline")
@@ -30,13 +30,6 @@ def airspace_codes(*texts: Column) -> Column:
     return F.array_distinct(F.flatten(F.array(*found)))
 
 
-def staged(rows: DataFrame) -> DataFrame:
-    """``rows`` as a table in the shared folder: what several joins read is worked out once."""
-    folder = shared_folder(rows.sparkSession)
-    rows.write.parquet(folder)
-    return rows.sparkSession.read.schema(rows.schema).parquet(folder)
-
-
 def parsed(notices: DataFrame) -> DataFrame:
     """Notices that have a trigger, with what their text says: items, times, zones, kind, score and level."""
     c = F.col
@@ -64,6 +57,7 @@ def parsed(notices: DataFrame) -> DataFrame:
         F.when(F.size(in_body) > 0, in_body).otherwise(coords.zones(c("plain"))).alias("zones"),
         F.coalesce(coords.radius_km(body), coords.radius_km(c("plain"))).alias("text_radius"),
         coords.qline_point(F.coalesce(q, c("plain"))).alias("spot"),
+        F.coalesce(item("D"), F.lit("")).alias("daily"),
     )
     spot = F.array(F.array(F.struct("spot.lat", "spot.lon")))
     rows = rows.withColumn("zones", F.when((F.size("zones") == 0) & c("spot").isNotNull(), spot).otherwise(c("zones")))
@@ -94,6 +88,7 @@ def parsed(notices: DataFrame) -> DataFrame:
         text.level(c("points"), hours, daily.isNotNull()).alias("level"),
         text.kind(c("plain")).alias("kind"),
         text.altitude_profile(c("plain"), c("low"), c("high")).alias("altitude"),
+        "daily",
     )
 
 
@@ -191,6 +186,7 @@ def analysed(
         "points",
         "level",
         "altitude",
+        "daily",
         "valid_from",
         "valid_to",
         "zones",
@@ -199,6 +195,7 @@ def analysed(
         "lon",
         "fir",
         "fir_method",
+        "fir_country",
         F.when(F.col("decision.status") == "OK", F.col("site_nation")).alias("nation"),
         "nations",
         "site",

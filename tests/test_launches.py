@@ -43,10 +43,24 @@ def test_time_clusters(spark, density):
     assert launches.time_clusters(frame.limit(0)).collect() == []
 
 
+def test_time_clusters_of_each_day(spark):
+    pick = random.Random(8)
+    rows = []
+    for row in range(300):
+        start = BASE + dt.timedelta(minutes=pick.randrange(5000)) if pick.random() > 0.03 else None
+        rows.append((row, start, start + dt.timedelta(hours=pick.choice([1, 2, 13])) if start else None, pick.sample(["A", "B"], pick.choice([1, 2])), BASE.date() + dt.timedelta(days=pick.randrange(4))))
+    frame = spark.createDataFrame(rows, "row_index long, valid_from timestamp, valid_to timestamp, nations array<string>, day date")
+    want = {}
+    for day in {r[4] for r in rows}:
+        want |= folded([r[:4] for r in rows if r[4] == day])
+    assert {r.row_index: r.cluster for r in launches.time_clusters(frame.repartition(5), by="day").collect()} == want
+
+
 def test_tracks(spark):
     """Two zones on one track stay together, one across goes; sites of other nations do not count."""
     rows = [(1, 1, BASE, 5.0, 0.0, ["A"]), (2, 1, BASE, 10.0, 0.1, ["A", "B"]), (3, 1, BASE, 0.0, 20.0, ["A"]), (4, 4, BASE, 1.0, 1.0, ["A"])]
-    clustered = spark.createDataFrame(rows, "row_index long, cluster long, valid_from timestamp, lat double, lon double, nations array<string>")
+    rows = [(*r, [(r[3], r[4])], None, None, None) for r in rows]
+    clustered = spark.createDataFrame(rows, "row_index long, cluster long, valid_from timestamp, lat double, lon double, nations array<string>, points array<struct<lat double, lon double>>, radius_km double, fir_country string, nation string")
     sites = spark.createDataFrame([("S1", 0.0, 0.0, 1, "A"), ("S2", 4.0, 0.0, 2, "B")], "code string, place_lat double, place_lon double, ord long, nation string")
     found = {r.row_index: (r.part, r.code) for r in launches.tracks(clustered, sites).collect()}
     assert found == {1: (0, "S1"), 2: (0, "S1"), 3: (1, None), 4: (0, None)}
