@@ -26,7 +26,7 @@ TABLES = ("days", "candidates", "review", "counts")
 
 
 class Days(NamedTuple):
-    """days: (day, fingerprint); candidates: a row for each launch of its day; review: (day, key, id, row_index, branch, reason); counts: (day, excluded, hidden)."""
+    """days: (day, fingerprint); candidates: a row for each launch of its day, with its row for the archive as a struct; review: (day, key, id, row_index, branch, reason); counts: (day, excluded, hidden)."""
 
     days: DataFrame
     candidates: DataFrame
@@ -68,6 +68,7 @@ def day_results(
     starts = written(starts.withColumn("other", other).drop("seen_from", "seen_to", "all", "seen"))
     ours = starts.where(~F.col("other") & F.col("site").isNotNull() & today("window_from"))
     rows_in = launches.archive_rows(launches.Grouped(ours, found.members.where(~F.col("hidden"))))
+    rows_in = rows_in.select("label", "key", F.struct(*launches.ARCHIVE_COLUMNS).alias("row"))
     involved = found.members.select("label", "row_index").unionByName(advance.select("label", "row_index"))
     noted = involved.join(rows.where(~F.col("hidden")).select("row_index", "notice", "id"), "row_index")
     listed = noted.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("notice", "id"))), lambda m: m["id"]).alias("ids"))
