@@ -11,17 +11,28 @@ def archive_key(day: Column, ids: Column) -> Column:
     return F.concat_ws("|", day, F.array_join(F.array_sort(F.array_distinct(F.transform(ids, F.upper))), ","))
 
 
-def upsert(old: DataFrame, new: DataFrame, key: str, keep_if_empty: tuple[str, ...] = (), marks: DataFrame | None = None, removed: DataFrame | None = None) -> DataFrame:
+def upsert(
+    old: DataFrame, new: DataFrame, key: str, keep_if_empty: tuple[str, ...] = (), marks: DataFrame | None = None, removed: DataFrame | None = None, order: str | None = None
+) -> DataFrame:
     """``old`` with ``new`` merged in by key, columns in the order of ``old``.
 
     New values win, but an empty one of ``keep_if_empty`` and a column that ``marks`` (key,
-    column) protects keep the old one. Keys of ``removed`` do not come back. Of equal keys in
-    ``old`` the first by all columns counts, and likewise in ``new``.
+    column) protects keep the old one. Keys of ``removed`` do not come back. ``order`` names a
+    column of whole numbers that rows stand by: of equal keys the first counts in ``old`` and
+    the last in ``new``, known rows keep their place and new ones follow, those of one key at
+    its first. Without it the first by all columns counts in both.
     """
-    columns = [c for c in old.columns if c != key]
-    one = lambda df: df.groupBy(key).agg(F.min(F.struct(*columns)).alias("v"))
+    columns = [c for c in old.columns if c not in (key, order)]
+    struct = F.struct(*columns)
+
+    def one(df: DataFrame, name: str, last: bool = False) -> DataFrame:
+        if order is None:
+            return df.groupBy(key).agg(F.min(struct).alias(name))
+        pick = F.max_by if last else F.min_by
+        return df.groupBy(key).agg(pick(struct, F.struct(order, struct)).alias(name), F.min(order).alias(f"{name}_at"))
+
     fresh = new if removed is None else new.join(removed.select(key).distinct(), key, "left_anti")
-    merged = one(old).withColumnRenamed("v", "o").join(one(fresh).withColumnRenamed("v", "n"), key, "full_outer")
+    merged = one(old, "o").join(one(fresh, "n", True), key, "full_outer")
     if marks is not None:
         merged = merged.join(marks.groupBy(key).agg(F.collect_set("column").alias("marked")), key, "left")
     guarded = lambda c: F.coalesce(F.array_contains("marked", c), F.lit(False)) if marks is not None else F.lit(False)
@@ -31,7 +42,11 @@ def upsert(old: DataFrame, new: DataFrame, key: str, keep_if_empty: tuple[str, .
         keep = F.col("o").isNotNull() & ((empty if c in keep_if_empty else F.lit(False)) | guarded(c))
         return F.when(F.col("n").isNull() | keep, F.col(f"o.{c}")).otherwise(F.col(f"n.{c}")).alias(c)
 
-    return merged.select(key, *(value(c) for c in columns))
+    values = {c: value(c) for c in columns}
+    if order is not None:
+        merged = merged.crossJoin(F.broadcast(old.agg(F.coalesce(F.max(order), F.lit(0)).alias("top"))))  # one row
+        values[order] = F.coalesce("o_at", F.col("top") + 1 + F.col("n_at")).cast(old.schema[order].dataType).alias(order)
+    return merged.select(*(F.col(key) if c == key else values[c] for c in old.columns)) if order else merged.select(key, *values.values())
 
 
 def merged_corpus(rows: DataFrame) -> DataFrame:
