@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from math import pi
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,6 +13,9 @@ EARTH_RADIUS_KM = 6371.0088
 ORBITAL_SPEED_MS = 7800.0
 EQUATOR_SPEED_MS = 465.1
 
+#: The WGS84 ellipsoid: equatorial radius, flattening. Fixed values.
+WGS84_KM, WGS84_F = 6378.137, 1 / 298.257223563
+
 
 def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     """Great-circle distance on the mean sphere."""
@@ -19,6 +24,105 @@ def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colu
     return 2 * EARTH_RADIUS_KM * F.asin(F.least(F.lit(1.0), F.sqrt(a)))
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` worked out once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def surface_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
+    """Length of the shortest line on the WGS84 ellipsoid, to a millimetre for any two points; null if a value is null or not a number, or a latitude beyond a pole.
+
+    The angle on the auxiliary sphere is a fixed point (Vincenty 1975), which settles in a few
+    steps. Between nearly opposite points it does not; there the course is bisected.
+    """
+    reduced = lambda lat: F.atan((1 - WGS84_F) * F.tan(F.radians(lat)))
+    apart = F.pmod(lon2 - lon1, F.lit(360.0))
+    start = F.struct(reduced(lat1).alias("u"), reduced(lat2).alias("v"), F.radians(F.least(apart, 360 - apart)).alias("l"))
+
+    def length(p: Column) -> Column:
+        return _let(_settled(p), lambda s: F.when((s["change"] < 1e-13) & (s["w"] <= pi), _series_km(s)).otherwise(_opposite_km(p)))
+
+    valid = (F.abs(lat1) <= 90) & (F.abs(lat2) <= 90) & apart.between(0, 360)
+    same = (lat1 == lat2) & (apart == 0)
+    return F.when(valid & same, F.lit(0.0)).when(valid, _let(start, length))
+
+
+def _settled(p: Column, steps: int = 20) -> Column:
+    """struct(w, change, sine, cosine, course, middle) of the fixed point for reduced latitudes u, v and longitudes l apart."""
+    su, cu, sv, cv = F.sin(p["u"]), F.cos(p["u"]), F.sin(p["v"]), F.cos(p["v"])
+
+    def arc(w: Column) -> Column:
+        across = F.hypot(cv * F.sin(w), cu * sv - su * cv * F.cos(w))
+        return F.struct(w.alias("w"), across.alias("sine"), (su * sv + cu * cv * F.cos(w)).alias("cosine"))
+
+    def turned(a: Column) -> Column:
+        course = F.when(a["sine"] > 0, cu * cv * F.sin(a["w"]) / a["sine"]).otherwise(0.0)
+        return F.struct(a["w"].alias("w"), a["sine"].alias("sine"), a["cosine"].alias("cosine"), course.alias("course"), (1 - course * course).alias("rise"))
+
+    def moved(b: Column) -> Column:
+        middle = F.when(b["rise"] > 1e-15, b["cosine"] - 2 * su * sv / b["rise"]).otherwise(0.0)
+        c = WGS84_F / 16 * b["rise"] * (4 + WGS84_F * (4 - 3 * b["rise"]))
+        return _let(F.struct(middle.alias("m"), c.alias("c")), lambda x: next_state(b, x["m"], x["c"]))
+
+    def next_state(b: Column, m: Column, c: Column) -> Column:
+        bent = F.atan2(b["sine"], b["cosine"]) + c * b["sine"] * (m + c * b["cosine"] * (2 * m * m - 1))
+        w = p["l"] + (1 - c) * WGS84_F * b["course"] * bent
+        return F.struct(w.alias("w"), F.abs(w - b["w"]).alias("change"), b["sine"].alias("sine"), b["cosine"].alias("cosine"), b["course"].alias("course"), m.alias("middle"))
+
+    step = lambda s: _let(_let(arc(s["w"]), turned), moved)
+    first = F.struct(p["l"].alias("w"), F.lit(1.0).alias("change"), *(F.lit(0.0).alias(x) for x in ("sine", "cosine", "course", "middle")))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), first, lambda s, _: F.when(s["change"] < 1e-13, s).otherwise(step(s)))
+
+
+def _series_km(s: Column) -> Column:
+    """Length from the fixed point, by the series of the geodesic in the square of its rise."""
+    k = (1 - s["course"] * s["course"]) * (1 / (1 - WGS84_F) ** 2 - 1)
+    scale = 1 + k / 16384 * (4096 + k * (-768 + k * (320 - 175 * k)))
+    b = k / 1024 * (256 + k * (-128 + k * (74 - 47 * k)))
+    m, square = s["middle"], 2 * s["middle"] * s["middle"] - 1
+    bent = b * s["sine"] * (m + b / 4 * (s["cosine"] * square - b / 6 * m * (4 * s["sine"] * s["sine"] - 3) * (2 * square - 1)))
+    return WGS84_KM * (1 - WGS84_F) * scale * (F.atan2(s["sine"], s["cosine"]) - bent)
+
+
+def _opposite_km(p: Column, steps: int = 52) -> Column:
+    """Length by bisection of the course at the point that is farther from the equator, turned to the south.
+
+    The longitude that a course reaches at the other latitude grows with the course (Karney
+    2013), so any two points have one answer. The integrals are Gauss-Legendre sums.
+    """
+    far = F.abs(p["u"]) >= F.abs(p["v"])
+    first, second = F.when(far, p["u"]).otherwise(p["v"]), F.when(far, p["v"]).otherwise(p["u"])
+    sign = F.when(first > 0, -1.0).otherwise(1.0)
+    s1, s2 = F.least(F.sin(first * sign), F.lit(-1e-200)), F.sin(second * sign)
+    ends = F.struct(s1.alias("s1"), F.cos(first).alias("c1"), s2.alias("s2"), p["l"].alias("l"))
+    nodes = F.array(*(F.struct(F.lit(float(x)).alias("x"), F.lit(float(w)).alias("w")) for x, w in zip(*np.polynomial.legendre.leggauss(16), strict=True)))
+
+    def line(e: Column, course: Column) -> Column:
+        north = F.cos(course) * e["c1"]
+        north2 = F.sqrt(F.greatest(F.lit(0.0), north * north + (e["s1"] - e["s2"]) * (e["s1"] + e["s2"])))
+        east = F.sin(course) * e["c1"]
+        turn = F.atan2(east * e["s2"], north2) - F.atan2(east * e["s1"], north)
+        return F.struct(east.alias("east"), F.atan2(e["s1"], north).alias("a"), F.atan2(e["s2"], north2).alias("b"), turn.alias("turn"), ((1 - east * east) * (1 / (1 - WGS84_F) ** 2 - 1)).alias("k"))
+
+    def integral(g: Column, of: Callable[[Column], Column]) -> Column:
+        root = lambda at: F.sqrt(1 + g["k"] * F.pow(F.sin(at), 2))
+        total = F.aggregate(nodes, F.lit(0.0), lambda sum_, n: sum_ + n["w"] * of(root((g["a"] + g["b"]) / 2 + (g["b"] - g["a"]) / 2 * n["x"])))
+        return (g["b"] - g["a"]) / 2 * total
+
+    reached = lambda g: g["turn"] - WGS84_F * g["east"] * integral(g, lambda r: (2 - WGS84_F) / (1 + (1 - WGS84_F) * r))
+
+    def halved(e: Column, s: Column) -> Column:
+        short = lambda course: _let(line(e, course), reached) < e["l"]
+        keep = lambda course: F.when(short(course), F.struct(course.alias("lo"), s["hi"].alias("hi"))).otherwise(F.struct(s["lo"].alias("lo"), course.alias("hi")))
+        return _let((s["lo"] + s["hi"]) / 2, keep)
+
+    def km(e: Column) -> Column:
+        found = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.struct(F.lit(0.0).alias("lo"), F.lit(pi).alias("hi")), lambda s, _: halved(e, s))
+        return _let(_let(found, lambda s: line(e, (s["lo"] + s["hi"]) / 2)), lambda g: WGS84_KM * (1 - WGS84_F) * integral(g, lambda r: r))
+
+    return _let(ends, km)
+
+
 def bearing_deg(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     """Initial course from the first point to the second, 0 to 360."""
     p1, p2, d = F.radians(lat1), F.radians(lat2), F.radians(lon2 - lon1)

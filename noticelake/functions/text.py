@@ -2,22 +2,38 @@
 
 from __future__ import annotations
 
-from html.entities import name2codepoint
+import json
+from collections.abc import Callable
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from noticelake.functions.timeparse import daily_hours
 
-#: Typographic characters and what stands for them; the last ones are dropped. Fixed values.
-TYPOGRAPHY = ("   ‘’“”‐‑–—−º˚′″​﻿", "   ''\"\"-----°°'\"")
+#: Typographic characters by the plain one that stands for them; those under "" are dropped. Fixed values.
+TYPOGRAPHY = {
+    " ": "\u00a0\u2007\u202f\u2009",
+    "'": "\u2018\u2019\u201a\u2032\u02b9",
+    '"': "\u201c\u201d\u201e\u2033\u02ba",
+    "-": "\u2010\u2011\u2013\u2014\u2212",
+    "\u00b0": "\u00ba\u02da\u2218\u030a",
+    "/": "\u2044\u2215",
+    "": "\u200b\ufeff",
+}
 
-#: Code points of named entities, by the standard's table; names that it lacks stay as they are.
-ENTITIES = {**name2codepoint, "apos": 39}
+#: Characters of named entities with their semicolon, by the standard's table; names that it lacks stay as they are.
+ENTITIES = {name[:-1]: character for name, character in html5.items() if name.endswith(";")}
 
 #: Identifiers of notices: series, number and year; domestic ones; maritime warnings.
 NOTICE_ID = r"\b(?:[A-Z]?\d{3,4}/\d{2}|!FDC \d+/\d+|NAVAREA [IVX]+ (?:WARNING )?\d+/\d{2})\b"
 
+#: Where a notice begins in pasted text: an identifier, a domestic marker or a maritime warning at the start of a line. Fixed value.
+BOUNDARY = r"(?im)^(?=[ \t]*(?:\(?[A-Z]?\d{3,4}/\d{2}\b|![A-Z]{3}\b|NAVAREA\s+[IVXLC]+\b))"
+
+#: Labels that portals and mails put before a notice. Fixed value.
+LABEL = r"(?im)^\s*(?:notam(?:\s*(?:text|nr\.?|number|id))?|message|meldung|quelle|source)\s*[:\-]\s*"
+
 #: Words that announce activity in space. They match from the start of a word. Fixed values.
 SPACE_WORDS = (
     "ROCKET", "SPACE LAUNCH", "LAUNCH", "DEBRIS", "FALLING DEBRIS", "DANGER AREA", "TEMPORARY RESTRICTED AREA", "RESTRICTED AREA",
@@ -50,15 +66,16 @@ FULL_HEIGHT_CODES = r"(?:QR|QWM)"
 
 
 def unescaped(text: Column) -> Column:
-    """Named and numeric character entities as their characters, each once; unknown ones stay."""
+    """Named and numeric character entities as their characters, each once; unknown ones and those without a semicolon stay."""
     pattern = r"&(?:#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);"
-    names = F.create_map(*(F.lit(x) for pair in ENTITIES.items() for x in pair))
+    names = F.from_json(F.lit(json.dumps(ENTITIES)), "map<string,string>")
 
     def character(entity: Column) -> Column:
         code = F.when(entity.rlike("^&#[xX]"), F.conv(F.regexp_extract(entity, "([0-9a-fA-F]+);$", 1), 16, 10)).when(entity.startswith("&#"), F.regexp_extract(entity, r"(\d+);$", 1))
-        number = F.coalesce(code.cast("int"), names[F.regexp_extract(entity, "^&([A-Za-z0-9]+);$", 1)])
+        number = code.cast("int")
         valid = number.between(1, 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
-        return F.when(valid, F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")).otherwise(entity)
+        numbered = F.when(valid, F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32"))
+        return F.coalesce(numbered, names[F.regexp_extract(entity, "^&([A-Za-z0-9]+);$", 1)], entity)
 
     found = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), character)
     whole = F.array_join(F.zip_with(F.split(text, pattern, -1), found, lambda gap, c: F.concat(gap, F.coalesce(c, F.lit("")))), "")
@@ -67,7 +84,23 @@ def unescaped(text: Column) -> Column:
 
 def normalised(text: Column) -> Column:
     """Plain ASCII punctuation, entities resolved, zero-width characters dropped."""
-    return F.translate(unescaped(text), *TYPOGRAPHY)
+    kept = {plain: signs for plain, signs in TYPOGRAPHY.items() if plain}
+    return F.translate(unescaped(text), "".join(kept.values()) + TYPOGRAPHY[""], "".join(plain * len(signs) for plain, signs in kept.items()))
+
+
+def stripped(text: Column) -> Column:
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
+def pasted(text: Column) -> Column:
+    """Text as it comes from mails and portals: ``normalised``, without labels, blanks and tabs as one blank, at most one empty line in a row."""
+    lines = F.regexp_replace(F.regexp_replace(normalised(text), r"\r\n?", "\n"), LABEL, "")
+    return stripped(F.regexp_replace(F.regexp_replace(lines, r"[ \t]+", " "), r"\n{3,}", "\n\n"))
+
+
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` worked out once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), lambda v: use(v)), F.lit(0))
 
 
 def collapsed(text: Column) -> Column:
@@ -79,12 +112,25 @@ def event_key(text: Column) -> Column:
     return F.substring(F.md5(F.upper(collapsed(text))), 1, 12)
 
 
+def at_boundaries(text: Column) -> Column:
+    """Array of the parts of a pasted text: each starts at a line that begins like a notice, but for what stands before the first."""
+    return F.filter(F.transform(F.split(pasted(text), BOUNDARY), stripped), lambda p: p != "")
+
+
 def notice_blocks(text: Column) -> Column:
-    """Array of the notices of a pasted text: each starts at a line that begins with an identifier; without any, blank lines part them."""
-    lines = F.regexp_replace(text, r"\r\n?", "\n")
-    by_id = F.split(lines, rf"(?m)^(?=\s*{NOTICE_ID})")
-    parts = F.when(F.size(by_id) > 1, by_id).otherwise(F.split(lines, r"\n\s*\n"))
-    return F.filter(F.transform(parts, lambda p: F.trim(F.regexp_replace(p, r"^\s+|\s+$", ""))), lambda p: p != "")
+    """Array of the notices of a pasted text, cut at boundaries; blank lines part a text without a boundary or an identifier. A text of blanks has none."""
+    by_lines = lambda p: F.filter(F.transform(F.split(p, r"\n\s*\n"), stripped), lambda x: x != "")
+    one = lambda p: F.when(F.upper(p).rlike(NOTICE_ID), F.array(p)).otherwise(by_lines(p))
+    return once(at_boundaries(text), lambda parts: F.when(F.size(parts) == 1, one(F.get(parts, F.lit(0)))).otherwise(parts))
+
+
+def cut_block(block: Column) -> Column:
+    """A notice without what follows it: it ends with the line of its last item G, else of F, else at the first empty line after E."""
+    whole = stripped(block)
+    line = lambda item: F.regexp_extract(whole, rf"(?s)^.*\b{item}\)[^\n]*", 0)
+    text = F.regexp_extract(whole, r"(?s)^.*\bE\).*?(?=\n\s*\n|\z)", 0)
+    ends = [F.nullif(x, F.lit("")) for x in (line("G"), line("F"), text)]
+    return stripped(F.coalesce(*ends, whole))
 
 
 def items(text: Column) -> Column:
@@ -102,25 +148,28 @@ def items(text: Column) -> Column:
 
 def contained(text: Column, words: tuple[str, ...]) -> Column:
     """Array of the words that the text contains anywhere."""
-    return F.filter(F.array(*map(F.lit, words)), lambda w: F.contains(F.upper(collapsed(text)), w))
+    return once(F.upper(collapsed(text)), lambda flat: F.filter(F.array(*map(F.lit, words)), lambda w: F.contains(flat, w)))
 
 
 def whole_words(text: Column, words: tuple[str, ...]) -> Column:
     """Array of the words that stand alone; a word that ends in a sign needs no boundary after it."""
-    upper = F.upper(collapsed(text))
-    found = [F.when(upper.rlike(rf"(?<![A-Z0-9])\Q{w.strip()}\E" + (r"(?![A-Z0-9])" if w.strip()[-1].isalnum() else "")), F.lit(w.strip())) for w in words]
-    return F.array_compact(F.array(*found))
+    pattern = lambda w: rf"(?<![A-Z0-9])\Q{w}\E" + (r"(?![A-Z0-9])" if w[-1].isalnum() else "")
+    found = lambda flat: F.array_compact(F.array(*(F.when(flat.rlike(pattern(w)), F.lit(w)) for w in map(str.strip, words))))
+    return once(F.upper(collapsed(text)), found)
 
 
 def triggers(text: Column, lower: Column, upper: Column, qualifier: Column) -> Column:
     """Array of what makes a notice worth a look: space words at word starts, unlimited heights, items F and G, the qualifier's 000/999."""
-    flat = F.upper(collapsed(text))
-    spoken = [F.when(flat.rlike(rf"\b\Q{w}\E"), F.lit(w)) for w in SPACE_WORDS]
-    high = [F.when(F.contains(flat, F.lit(w)), F.lit(w)) for w in UNLIMITED_WORDS]
     starts = lambda c, words: F.upper(F.trim(c)).rlike("^(?:" + "|".join(words) + ")")
     heights = F.when(starts(upper, HIGHEST) & starts(lower, LOWEST), F.lit("SFC-UNL (F/G)"))
-    band = F.when(F.contains(qualifier, F.lit(ALL_HEIGHTS)) | F.contains(flat, F.lit(ALL_HEIGHTS)), F.lit("000/999 (Q)"))
-    return F.array_distinct(F.array_compact(F.array(*spoken, *high, heights, band)))
+
+    def found(flat: Column) -> Column:
+        spoken = [F.when(flat.rlike(rf"\b\Q{w}\E"), F.lit(w)) for w in SPACE_WORDS]
+        high = [F.when(F.contains(flat, F.lit(w)), F.lit(w)) for w in UNLIMITED_WORDS]
+        band = F.when(F.contains(qualifier, F.lit(ALL_HEIGHTS)) | F.contains(flat, F.lit(ALL_HEIGHTS)), F.lit("000/999 (Q)"))
+        return F.array_distinct(F.array_compact(F.array(*spoken, *high, heights, band)))
+
+    return once(F.upper(collapsed(text)), found)
 
 
 def qcode(qualifier: Column, text: Column) -> Column:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from noticelake.functions import coords, geo, text, timeparse
 from noticelake.operators import joins
+from noticelake.operators.sites import choosable
 from noticelake.operators.staging import written as staged
 from noticelake.plans import attribution
 
@@ -141,7 +142,8 @@ def analysed(
     notices: ``NOTICE_COLUMNS`` with a unique row_index; sites: (code, place_lat, place_lon, ord,
     nation); firs: as for ``located``. ``confirmed`` and ``rejected`` hold the event keys (key)
     that a person has decided. A site is sought among those of the nations in question, or
-    among all where these have none. Without notices the result is empty.
+    among all where these have none; of sites that zones cannot tell apart the first alone counts
+    (``operators.sites``). Without notices the result is empty.
     """
     rows = staged(located(staged(parsed(notices)), firs)).withColumn("hint", named_nation(F.col("plain"), hints or {}))
     for name, keys in (("confirmed", confirmed), ("rejected", rejected)):
@@ -155,7 +157,7 @@ def analysed(
     nations = F.when(hinted, F.array("hint")).when(F.col("confirmed") & (F.size(ours) == 0), every).otherwise(ours)
     rows = rows.withColumn("nations", nations)
     where = rows.where(F.col("lat").isNotNull()).select("row_index", "lat", "lon", "nations")
-    chosen = joins.nearest_by_direction(where, "row_index", sites, preferred=F.array_contains("nations", F.col("nation")), carried=("nation", "place_lat"))
+    chosen = joins.nearest_by_direction(where, "row_index", choosable(sites), preferred=F.array_contains("nations", F.col("nation")), carried=("nation", "place_lat"))
     chosen = chosen.select("row_index", F.col("code").alias("site"), F.col("nation").alias("site_nation"), "place_lat", "distance_km", "azimuth", "odd")
     placed = rows.join(chosen, "row_index", "left")
     inputs = attribution.Inputs(

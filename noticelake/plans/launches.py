@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from noticelake.functions import geo, timeparse
 from noticelake.operators import aggregates, merge
+from noticelake.operators.sites import choosable
 from noticelake.operators.staging import written as staged
 from noticelake.plans.tracks import TARGET_KM, tracks
 
@@ -130,7 +131,7 @@ def grouped(events: DataFrame, sites: DataFrame, targets: tuple[str, ...] | None
     """
     rows = staged(events.where(groupable()).withColumn("points", zone_points()))
     clustered = staged(rows.join(time_clusters(rows, by), "row_index").select("row_index", "cluster", "valid_from", "lat", "lon", "nations", "points", "radius_km", "fir_country", "nation"))
-    chosen = staged(tracks(clustered, sites, targets)).withColumnRenamed("code", "group_site")
+    chosen = staged(tracks(clustered, choosable(sites), targets)).withColumnRenamed("code", "group_site")
     places = sites.select(F.col("code").alias("group_site"), "place_lat", "place_lon", F.col("nation").alias("site_nation"))
     known = rows.join(chosen, "row_index").join(places, "group_site", "left")
     at_sea = F.col("sea_lat").isNotNull()

@@ -66,6 +66,30 @@ def geo_haversine(spark, sf_dir):
     return _pairs(spark, sf_dir).select("s_suppkey", F.round(geo.haversine_km(*_abcd()), 6).alias("km"))
 
 
+_FLAT = "(1 / 298.257223563)"
+
+
+@query(
+    "surface_distance",
+    f"""with recursive p as (select s_suppkey as k, atan((1 - {_FLAT}) * tan(radians(a))) as u, atan((1 - {_FLAT}) * tan(radians(c))) as v, radians(least((d - b + 360) % 360, 360 - (d - b + 360) % 360)) as l, a = c and b = d as same
+from {_PAIRS} where s_suppkey % 10 <> 0),
+r as (select k, u, v, l, same, l as w, 0.0::double as ss, 0.0::double as cs, 0.0::double as sa, 0.0::double as m, 0 as i from p
+union all select k, u, v, l, same, l + (1 - cc) * {_FLAT} * sa2 * (atan2(s2, c2) + cc * s2 * (m2 + cc * c2 * (2 * m2 * m2 - 1))), s2, c2, sa2, m2, i + 1
+from (select *, {_FLAT} / 16 * rise * (4 + {_FLAT} * (4 - 3 * rise)) as cc, case when rise > 1e-15 then c2 - 2 * sin(u) * sin(v) / rise else 0 end as m2
+from (select *, 1 - sa2 * sa2 as rise from (select *, case when s2 > 0 then cos(u) * cos(v) * sin(w) / s2 else 0 end as sa2
+from (select *, sqrt(pow(cos(v) * sin(w), 2) + pow(cos(u) * sin(v) - sin(u) * cos(v) * cos(w), 2)) as s2, sin(u) * sin(v) + cos(u) * cos(v) * cos(w) as c2 from r where i < 15))))),
+e as (select *, (1 - sa * sa) * (1 / pow(1 - {_FLAT}, 2) - 1) as q from r where i = 15),
+g as (select *, 1 + q / 16384 * (4096 + q * (-768 + q * (320 - 175 * q))) as big, q / 1024 * (256 + q * (-128 + q * (74 - 47 * q))) as small from e)
+select k as s_suppkey, case when same then 0 else round(6378.137 * (1 - {_FLAT}) * big * (atan2(ss, cs) - small * ss * (m + small / 4 * (cs * (2 * m * m - 1) - small / 6 * m * (4 * ss * ss - 3) * (4 * m * m - 3)))), 6) end as km from g
+union all select s_suppkey, 20003.931459 from supplier where s_suppkey % 10 = 0""",
+)
+def surface_distance(spark, sf_dir):
+    """Distances on the ellipsoid; every tenth point is compared with the one opposite to it, half a meridian away."""
+    far = F.col("s_suppkey") % 10 == 0
+    rows = _pairs(spark, sf_dir).withColumn("c", F.when(far, -F.col("a")).otherwise(F.col("c"))).withColumn("d", F.when(far, F.col("b") + 180).otherwise(F.col("d")))
+    return rows.select("s_suppkey", F.round(geo.surface_km(*_abcd()), 6).alias("km"))
+
+
 @query("geo_bearing", f"select s_suppkey, round({_BEARING}, 6) as bearing from {_PAIRS}")
 def geo_bearing(spark, sf_dir):
     return _pairs(spark, sf_dir).select("s_suppkey", F.round(geo.bearing_deg(*_abcd()), 6).alias("bearing"))

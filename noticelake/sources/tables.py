@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -9,18 +10,26 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from noticelake.functions import text
 from noticelake.functions.text import normalised_name
+from noticelake.functions.timeparse import notice_time
 
-#: Normalised header names by role, tried in this order. Fixed values.
+#: Normalised header names by role. Fixed values.
 ROLE_HINTS = {
-    "text": ("notamtext", "text", "message", "iteme", "raw", "body"),
-    "id": ("notamid", "id", "number", "notam"),
-    "fir": ("fir", "location", "icao", "airspace"),
-    "start": ("validfrom", "start", "from", "begin"),
-    "end": ("validto", "end", "to", "until"),
-    "qline": ("qline", "qualifier", "q"),
+    "id": ("notamid", "id", "notamnumber", "number", "notam", "seriesnumber", "ref"),
+    "text": ("text", "notamtext", "message", "rawtext", "body", "eitem", "full"),
+    "fir": ("fir", "ficir", "firicao", "icao", "location", "loc", "aerodrome", "icaocode"),
+    "start": ("validfrom", "startvalidity", "start", "from", "begin", "bitem", "effective"),
+    "end": ("validto", "endvalidity", "end", "to", "until", "citem", "expiry"),
+    "qline": ("qline", "qcode", "q", "qitem"),
 }
 
+#: First bytes of the two kinds of spreadsheet files. Fixed values.
+SPREADSHEETS = ("\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1", "PK\x03\x04")
+
+#: Lines in which a header is sought, cells that it has at least, characters of a cell at most. Fixed values.
+HEADER_ROWS, HEADER_CELLS, HEADER_CHARS = 25, 3, 60
+
 
 def read_text_table(spark: SparkSession, path: str, sep: str = ",", encoding: str = "UTF-8") -> DataFrame:
     """A CSV with a header, every column as text."""
@@ -31,22 +40,124 @@ def plain_name(name: str) -> str:
     return "".join(c for c in name.lower() if c.isalnum() and c.isascii())
 
 
-def column_roles(df: DataFrame, hints: dict[str, tuple[str, ...]] = ROLE_HINTS) -> dict[str, str]:
-    """role -> column: by exact name, then by part of a name; the text column, else, is the one with the longest values on average."""
-    roles: dict[str, str] = {}
-    names = {c: plain_name(c) for c in df.columns}
-    for role, wanted in hints.items():
-        free = [c for c in df.columns if c != roles.get("text")]
-        exact = next((c for w in wanted for c in free if names[c] == w), None)
-        partial = next((c for w in wanted for c in free if len(w) > 2 and w in names[c] and c not in roles.values()), None)
-        if exact or partial:
-            roles[role] = exact or partial
-        elif role == "text" and df.columns:
-            means = df.agg(*(F.avg(F.length(F.col(f"`{c}`").cast("string"))).alias(f"c{i}") for i, c in enumerate(df.columns))).first()
-            roles["text"] = df.columns[max(range(len(df.columns)), key=lambda i: (means[i] or 0.0, -i))]
+def _delimiter(lines: list[str]) -> str:
+    """The sign of ``,;|`` and tab that the head of a file points to, a comma if none does."""
+    try:
+        return csv.Sniffer().sniff("\n".join(lines), delimiters=",;\t|").delimiter
+    except csv.Error:
+        counts = {d: sum(line.count(d) for line in lines) for d in ",;\t|"}
+        return max(counts, key=counts.get)
+
+
+def _is_header(cells: list[str]) -> bool:
+    filled = [c.strip() for c in cells if c.strip()]
+    return len(filled) >= HEADER_CELLS and all(len(c) <= HEADER_CHARS for c in filled)
+
+
+def _column_names(cells: list[str], width: int) -> list[str]:
+    """Trimmed names, numbered where they are empty or repeat, also in another case."""
+    names: list[str] = []
+    for i in range(width):
+        name = plain = (cells[i].strip() if i < len(cells) else "") or f"column_{i + 1}"
+        k = 1
+        while name.lower() in (n.lower() for n in names):
+            k += 1
+            name = f"{plain}_{k}"
+        names.append(name)
+    return names
+
+
+def read_notice_table(spark: SparkSession, path: str) -> DataFrame:
+    """A delimited file as text columns, whatever its delimiter, its encoding (UTF-8, else Latin-1) and the lines above its header.
+
+    The first row is the header, unless half of its cells or more are empty: then the first of
+    the first 25 rows that has three cells or more, none over 60 characters, is. Only these
+    lines come to the driver. Rows above the header, and rows without any value, are left out.
+    The path is one file; cells may hold line breaks, so a file is one task: split large
+    exports into files. A spreadsheet, told by its first bytes, raises ValueError, and so does
+    a file without a row.
+    """
+    raw = spark.read.text(path, lineSep="\n")
+    head = [bytes(r.line) for r in raw.select(F.col("value").cast("binary").alias("line")).take(4 * HEADER_ROWS)]
+    if head and head[0].startswith(tuple(s.encode("latin-1") for s in SPREADSHEETS)):
+        raise ValueError(f"{path}: a spreadsheet; export it as delimited text")
+    # a byte sequence that is no UTF-8 anywhere in the file makes all of it Latin-1
+    broken = raw.where(~F.is_valid_utf8("value")).limit(1).count() > 0
+    encoding = "ISO-8859-1" if broken else "UTF-8"
+    lines = [b.decode("latin-1" if broken else "utf-8-sig", errors="replace").rstrip("\r") for b in head]
+    if not any(line.strip() for line in lines):
+        raise ValueError(f"{path}: no rows")
+    sep = _delimiter([line for line in lines if line.strip()])
+    rows = [r for r in csv.reader((line + "\n" for line in lines), delimiter=sep) if r]
+    width = max(map(len, rows))
+    sparse = width > 1 and sum(1 for c in rows[0] + [""] * (width - len(rows[0])) if not c.strip()) >= width / 2
+    at = next((i for i, r in enumerate(rows[:HEADER_ROWS]) if _is_header(r)), 0) if sparse else 0
+    names = _column_names(rows[at], width)
+    schema = ", ".join(f"`{n.replace('`', '``')}` string" for n in names)
+    read = spark.read.csv(path, schema=schema, sep=sep, encoding=encoding, header=False, multiLine=True, escape='"', mode="PERMISSIVE", enforceSchema=True)
+    filled = F.lit(False)
+    for n in names:
+        filled |= F.trim(F.col(f"`{n.replace('`', '``')}`")) != ""
+    # a file of several lines a cell is read by one task from its start, so its rows are numbered in order
+    return read.withColumn("_row", F.monotonically_increasing_id()).where(F.col("_row") > at).where(F.coalesce(filled, F.lit(False))).drop("_row")
+
+
+def column_roles(df: DataFrame, hints: dict[str, tuple[str, ...]] = ROLE_HINTS, left_out: tuple[str, ...] = ()) -> dict[str, str]:
+    """role -> column. The text column comes first and has no other role: by exact name, then by part of a name, else the one with the longest values on average.
+
+    The other roles take the first column of an exact name, else the first without a role whose name holds a hint.
+    """
+    names = {c: plain_name(c) for c in df.columns if c not in left_out}
+    if not names:
+        return {}
+    exact = lambda role, of: next((c for c in of if names[c] in hints[role]), None)
+    partial = lambda role, of: next((c for c in of if any(h in names[c] for h in hints[role])), None)
+    longest = exact("text", names) or partial("text", names)
+    if longest is None:
+        means = df.agg(*(F.avg(F.length(F.col(f"`{c}`").cast("string"))).alias(f"c{i}") for i, c in enumerate(names))).first()
+        longest = max(enumerate(names), key=lambda c: (means[c[0]] or 0.0, -c[0]))[1]
+    roles = {"text": longest}
+    rest = [c for c in names if c != longest]
+    for role in hints:
+        if role != "text":
+            found = exact(role, rest) or partial(role, [c for c in rest if c not in roles.values()])
+            if found:
+                roles[role] = found
     return roles
 
 
+def notices_of_table(df: DataFrame, roles: dict[str, str] | None = None) -> DataFrame:
+    """The columns that ``analysis.analysed`` takes but row_index, from a table of any columns: roles found by name, the text with the other columns' values behind it."""
+    found = roles or column_roles(df)
+    role = lambda r: F.col(f"`{found[r]}`").cast("string") if r in found else F.lit(None).cast("string")
+    return df.select(role("id").alias("id"), row_text(df, found["text"]).alias("text"), role("fir").alias("fir"), role("start").alias("valid_from"), role("end").alias("valid_to"), role("qline").alias("qline"))
+
+
+def pasted_notices(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id_col, pos, notice_id, start, text, usable): the notices of pasted texts and saved posts, one row for each part that begins like a notice.
+
+    A notice is usable if it has an identifier, an item E or Q and a readable first time in B;
+    its text ends with its last item, so remarks below it are left out. The others are counted
+    by ``usable``: false, with nulls. What stands before the first notice is talk and gives no row;
+    nor does a null or empty text.
+    """
+    parts = texts.select(id_col, F.posexplode(text.at_boundaries(F.col(text_col))).alias("pos", "part"))
+    begins = parts.select(id_col, "pos", "part", F.upper(F.regexp_extract("part", r"(?i)^\(?([A-Z]?\d{3,4}/\d{2})\b", 1)).alias("head"))
+    begins = begins.where((F.col("head") != "") | F.upper("part").rlike("^(?:!|NAVAREA)"))
+    cut = begins.withColumn("block", text.cut_block(F.col("part"))).withColumn("items", text.items(F.col("block")))
+    start = F.nullif(F.split(F.coalesce(F.col("items")["B"], F.lit("")), " ")[0], F.lit(""))
+    body = F.coalesce(F.col("items")["E"], F.col("items")["Q"]).isNotNull()
+    usable = (F.col("head") != "") & body & F.coalesce(notice_time(start).isNotNull(), F.lit(False))
+    shown = lambda c: F.when(usable, c)
+    return cut.select(id_col, "pos", shown(F.col("head")).alias("notice_id"), shown(start).alias("start"), shown(F.col("block")).alias("text"), usable.alias("usable"))
+
+
+def corpus_rows(notices: DataFrame, id_col: str) -> DataFrame:
+    """(key, ord, text, source) of usable notices, for ``operators.merge.merged_corpus``: a notice is known by its identifier and start."""
+    key = F.concat_ws("|", "notice_id", "start")
+    return notices.where("usable").select(key.alias("key"), F.struct(F.col(id_col), F.col("pos")).alias("ord"), "text", F.col(id_col).cast("string").alias("source"))
+
+
 def row_text(df: DataFrame, text_col: str, left_out: tuple[str, ...] = ()) -> Column:
     """The text followed by `` | column: value`` for every other column that has a value."""
     others = [c for c in df.columns if c != text_col and c not in left_out]
