@@ -145,9 +145,9 @@ def pasted_notices(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
     begins = parts.select(id_col, "pos", "part", F.upper(F.regexp_extract("part", r"(?i)^\(?([A-Z]?\d{3,4}/\d{2})\b", 1)).alias("head"))
     begins = begins.where((F.col("head") != "") | F.upper("part").rlike("^(?:!|NAVAREA)"))
     cut = begins.withColumn("block", text.cut_block(F.col("part"))).withColumn("items", text.items(F.col("block")))
-    start = F.nullif(F.split(F.coalesce(F.col("items")["B"], F.lit("")), " ")[0], F.lit(""))
+    start = F.split(F.col("items")["B"], " ")[0]
     body = F.coalesce(F.col("items")["E"], F.col("items")["Q"]).isNotNull()
-    usable = (F.col("head") != "") & body & F.coalesce(notice_time(start).isNotNull(), F.lit(False))
+    usable = (F.col("head") != "") & body & text.once(start, notice_time).isNotNull()
     shown = lambda c: F.when(usable, c)
     return cut.select(id_col, "pos", shown(F.col("head")).alias("notice_id"), shown(start).alias("start"), shown(F.col("block")).alias("text"), usable.alias("usable"))
 
