@@ -5,17 +5,19 @@ phone numbers and network addresses by their form and ranges, dates by the calen
 numbers are permuted behind their calling code or trunk zero, so that the international and
 the national notation of a number have the same digits. A validated value is permuted within its format under a key, so
 equal values have equal pseudonyms in every document and different ones stay different.
+Phone and national numbers walk along the permutation's cycle to the next number that is
+valid as they are, so that their pseudonyms pass the same validation.
 Digits run through a Feistel network over the digit halves; dates through one over the
 days of four hundred years. Letters of mail addresses are replaced by a keyed digest.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from noticelake.llm.common import text_or_empty
-
 KEY = "noticelake"
 ROUNDS = 8
 
@@ -24,7 +26,7 @@ EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
 PHONE = r"\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}(?!\d)"
 _APART, _ENDS = r"(?<![\d+])(?<!\d[./-])", r"(?!\d)(?![./-]\d)"
 AMERICAN = r"(?:1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}"
-TRUNK = r"(?:0[1-9](?:[ .-]\d{2}){4}|\(?0[1-9]\d{1,4}\)?(?: ?[/-] ?| )\d{5,8})"
+TRUNK = r"(?:0[1-9](?:[ .-]\d{2}){4}|\(?0[1-9]\d{1,4}\)?(?: ?[/-] ?| )(?:\d{5,8}|\d{3,4}[ -]\d{3,4}))"
 HOME = f"{_APART}(?:{AMERICAN}|{TRUNK}){_ENDS}"
 #: Calling codes of one and two digits; all others have three. A fixed list.
 CALLING = r"^(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
@@ -33,14 +35,14 @@ DATE = r"(?<![\d.-])(?:\d{4}-\d{2}-\d{2}|\d{2}\.\d{2}\.\d{4}|\d{2}/\d{2}/\d{4})(
 NATIONAL = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
 CARD = r"(?<![\d])\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7}(?!\d)"
 CARD_IN_THREE = r"(?<!\d)\d{4}[ -]\d{6}[ -]\d{4,5}(?!\d)"
+#: Digits of valid numbers: ten of American ones, nine of national ones, and what follows a calling code or trunk zero.
+AMERICAN_DIGITS, NATIONAL_DIGITS, TRUNK_DIGITS = r"[2-9](?!11|9)\d{2}[2-9](?!11)\d{6}", r"(?!000|666|9)\d{3}(?!00)\d{2}(?!0000)\d{4}", r"[1-9]\d*"
 CANDIDATE = "|".join((EMAIL, PHONE, ADDRESS, DATE, NATIONAL, HOME, CARD, CARD_IN_THREE))
 
 _A, _B = 189, 773  # the 146,097 days of four hundred years, as a product
 _FIRST_DAY = "1801-01-01"
-
-
-def _round(key: str, n: Column, half: Column, label: str, i: int) -> Column:
-    return F.pmod(F.xxhash64(F.lit(key), F.lit(label), F.lit(i), n, half), F.lit(2**62))
+#: Steps along a cycle; each ends the walk of more than half of all numbers, so a longer one has a chance below 2^-64.
+_WALK = 80
 
 
 def permuted_digits(digits: Column, key: str = KEY) -> Column:
@@ -63,6 +65,17 @@ def permuted_digits(digits: Column, key: str = KEY) -> Column:
     return F.aggregate(F.array(mixed), F.lit(""), lambda _, s: F.concat(F.lpad(s["a"].cast("string"), high, "0"), F.lpad(s["b"].cast("string"), low, "0")))
 
 
+def walked_digits(digits: Column, valid: Callable[[Column], Column], key: str = KEY) -> Column:
+    """The next digit string on the cycle of ``permuted_digits`` that is ``valid`` if and only if this one is: a permutation of the valid and of the other ones."""
+    start = F.struct(digits.alias("start"), digits.alias("x"), F.lit(True).alias("on"))
+
+    def step(state: Column, _: Column) -> Column:
+        moved = F.transform(F.array(permuted_digits(state["x"], key)), lambda y: F.struct(state["start"].alias("start"), y.alias("x"), (valid(y) != valid(state["start"])).alias("on")))
+        return F.when(state["on"], F.get(moved, F.lit(0))).otherwise(state)
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(_WALK)), start, step, lambda s: s["x"])
+
+
 def permuted_day(day: Column, key: str = KEY) -> Column:
     """A date of 1801 to 2200 under a keyed permutation of those days."""
     at = F.datediff(day, F.lit(_FIRST_DAY).cast("date"))
@@ -103,21 +116,20 @@ def kind_of(value: Column) -> Column:
     """email, phone, address, date, national or card; null if a candidate is not valid."""
     day = _day(value)
     octets = F.forall(F.split(value, r"\."), lambda x: x.cast("int") <= 255)
-    national = (~F.substring(value, 1, 3).isin("000", "666")) & (F.substring(value, 1, 1) != "9") & (F.substring(value, 5, 2) != "00") & (F.substring(value, 8, 4) != "0000")
     digits = _digits(value)
     return (
         F.when(value.contains("@"), F.lit("email"))
         .when(value.startswith("+"), F.when(F.length(digits).between(8, 15), F.lit("phone")))
         .when(value.rlike(r"^\d{1,3}(?:\.\d{1,3}){3}$"), F.when(octets, F.lit("address")))
         .when(value.rlike(r"^(?:\d{4}-\d{2}-\d{2}|\d{2}\.\d{2}\.\d{4}|\d{2}/\d{2}/\d{4})$"), F.when(F.year(day).between(1801, 2200), F.lit("date")))
-        .when(value.rlike(r"^\d{3}-\d{2}-\d{4}$"), F.when(national, F.lit("national")))
-        .when(value.rlike(f"^{AMERICAN}$"), F.when(digits.rlike(r"^1?[2-9](?!11|9)\d{2}[2-9](?!11)\d{6}$"), F.lit("phone")))
+        .when(value.rlike(r"^\d{3}-\d{2}-\d{4}$"), F.when(digits.rlike(f"^{NATIONAL_DIGITS}$"), F.lit("national")))
+        .when(value.rlike(f"^{AMERICAN}$"), F.when(digits.rlike(f"^1?{AMERICAN_DIGITS}$"), F.lit("phone")))
         .when(value.rlike(f"^{TRUNK}$"), F.when(F.length(digits).between(9, 12), F.lit("phone")))
         .when(F.length(digits).between(13, 19), F.when(passes_check(digits), F.lit("card")))
     )
 
 
-def _refilled(value: Column, digits: Column, pattern: str = "") -> Column:
+def _refilled(value: Column, digits: Column) -> Column:
     """``value`` with its digits replaced, in order, by ``digits``."""
     letters = F.filter(F.split(value, ""), lambda c: c != "")
     start = F.struct(F.lit("").alias("out"), F.lit(1).alias("at"))
@@ -139,7 +151,10 @@ def pseudonym(kind: Column, value: Column, key: str = KEY) -> Column:
     # what stays: the calling code and a trunk zero in brackets, the one of American numbers, or the trunk zero
     abroad = F.length(F.regexp_extract(digits, CALLING, 0)) + value.rlike(r"^\+\d{1,3}[ .-]?\(0\)").cast("int")
     whole = F.when(value.startswith("+"), abroad).when(value.rlike(f"^{TRUNK}$"), F.lit(1)).otherwise(n - 10)
-    phone = F.concat(F.substring(digits, F.lit(1), whole), permuted_digits(F.substring(digits, whole + 1, n), key))
+    # American numbers are all of ten digits behind a one; others are told by their first digit
+    american = F.substring(digits, F.lit(1), whole).isin("", "1")
+    fits = lambda x: F.when(american, x.rlike(f"^{AMERICAN_DIGITS}$")).otherwise(x.rlike(f"^{TRUNK_DIGITS}$"))
+    phone = F.concat(F.substring(digits, F.lit(1), whole), walked_digits(F.substring(digits, whole + 1, n), fits, key))
     payload = permuted_digits(F.substring(digits, F.lit(1), n - 1), key)
     card = F.concat(payload, check_digit(payload))
     # 2^32 addresses as two halves of sixteen bits
@@ -161,7 +176,7 @@ def pseudonym(kind: Column, value: Column, key: str = KEY) -> Column:
         .when(kind == "phone", _refilled(value, phone))
         .when(kind == "address", address)
         .when(kind == "date", date)
-        .when(kind == "national", _refilled(value, permuted_digits(digits, key)))
+        .when(kind == "national", _refilled(value, walked_digits(digits, lambda x: x.rlike(f"^{NATIONAL_DIGITS}$"), key)))
         .when(kind == "card", _refilled(value, card))
         .otherwise(value)
     )
