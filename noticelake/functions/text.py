@@ -61,6 +61,22 @@ EXCLUSION_WORDS = (
 )
 #: What items F and G start with for an area without limit, and the qualifier's band of all heights. Fixed values.
 LOWEST, HIGHEST, ALL_HEIGHTS = ("SFC", "GND", "SURFACE", "GROUND"), ("UNL", "UNLIMITED", "UNLTD"), "000/999"
+#: Sites that a vehicle, a programme or a place in the text stands for. Fixed values.
+SITE_WORDS = {
+    "STARSHIP": ("KBRO",), "STARBASE": ("KBRO",), "BOCA CHICA": ("KBRO",), "SUPER HEAVY": ("KBRO",),
+    "FALCON 9": ("KXMR", "KTTS", "KVBG", "KCOI"), "FALCON HEAVY": ("KTTS", "KXMR"), "STARLINK": ("KXMR", "KTTS", "KVBG", "KCOI"),
+    "CREW DRAGON": ("KTTS",), "NEW SHEPARD": ("K33",), "CORN RANCH": ("K33",), "NEW GLENN": ("KXMR", "KCOI"), "ATLAS V": ("KXMR", "KVBG", "KCOI"),
+    "VULCAN": ("KXMR", "KCOI"), "DELTA IV": ("KXMR", "KVBG"), "ANTARES": ("KLFI",), "MINOTAUR": ("KLFI", "KVBG"), "CYGNUS": ("KLFI",),
+    "WALLOPS": ("KLFI",), "ARTEMIS": ("KTTS",), "SPACE LAUNCH SYSTEM": ("KTTS",), "KENNEDY SPACE CENTER": ("KTTS",),
+    "CAPE CANAVERAL": ("KXMR", "KCOI"), "VANDENBERG": ("KVBG",), "SPACEPORT AMERICA": ("9S2",), "VIRGIN GALACTIC": ("9S2",),
+    "SPACESHIPTWO": ("9S2",), "MOJAVE AIR": ("KMHV",), "KODIAK": ("PACD",), "PACIFIC SPACEPORT": ("PACD",), "POKER FLAT": ("PABR",),
+    "KWAJALEIN": ("PKWA",), "REAGAN TEST SITE": ("PKWA",),
+    "JIUQUAN": ("JSLC",), "TAIYUAN": ("TSLC",), "XICHANG": ("XSLC",), "WENCHANG": ("WSLC",), "HAIYANG": ("HIIS", "HYOS"),
+    "PLESETSK": ("GIK-1",), "VOSTOCHNY": ("VOSC", "SVOB"), "BAIKONUR": ("BAIK",), "KAPUSTIN": ("KAP-Y",),
+    "SRIHARIKOTA": ("SDSC",), "SDSC": ("SDSC",), "THUMBA": ("TERLS",), "KULASEKARAPATTINAM": ("KSSL",),
+    "SEMNAN": ("SSSC",), "SHAHROUD": ("SCSL",), "CHABAHAR": ("CSSC",),
+    "SOHAE": ("KSS",), "TONGHAE": ("THSL",),
+}
 REENTRY_WORDS = ("RE-ENTRY", "REENTRY", "RE ENTRY", "DEORBIT", "SPLASHDOWN", "RECOVERY OF SPACECRAFT")
 FULL_HEIGHT_CODES = r"(?:QR|QWM)"
 
@@ -151,6 +167,16 @@ def contained(text: Column, words: tuple[str, ...]) -> Column:
     return once(F.upper(collapsed(text)), lambda flat: F.filter(F.array(*map(F.lit, words)), lambda w: F.contains(flat, w)))
 
 
+def named_sites(text: Column, words: dict[str, tuple[str, ...]] = SITE_WORDS) -> Column:
+    """struct(codes, evidence): the sites that the text's words stand for, each once in the order of the words, and these words; both empty without any."""
+    none = F.array().cast("array<string>")
+    if not words:
+        return F.struct(none.alias("codes"), none.alias("evidence"))
+    meant = F.create_map(*(x for word, codes in words.items() for x in (F.lit(word), F.array(*map(F.lit, codes)))))
+    named = lambda found: F.struct(F.array_distinct(F.flatten(F.transform(found, lambda w: meant[w]))).alias("codes"), found.alias("evidence"))
+    return once(F.coalesce(contained(text, tuple(words)), none), named)
+
+
 def whole_words(text: Column, words: tuple[str, ...]) -> Column:
     """Array of the words that stand alone; a word that ends in a sign needs no boundary after it."""
     pattern = lambda w: rf"(?<![A-Z0-9])\Q{w}\E" + (r"(?![A-Z0-9])" if w[-1].isalnum() else "")

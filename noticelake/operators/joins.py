@@ -51,22 +51,23 @@ def nearest_any(rows: DataFrame, key: str, places: DataFrame) -> DataFrame:
 
 
 def nearest_by_direction(
-    rows: DataFrame, key: str, sites: DataFrame, near_km: float = 8000.0, west: tuple[float, float] = (225.0, 325.0), preferred: Column | None = None, carried: tuple[str, ...] = ()
+    rows: DataFrame, key: str, sites: DataFrame, near_km: float = 8000.0, west: tuple[float, float] = (225.0, 325.0), rank: Column | None = None, carried: tuple[str, ...] = ()
 ) -> DataFrame:
     """The nearest site from which the course is plausible, or the nearest at all if none is.
 
     A course is implausible for a target within ``near_km`` at an azimuth in ``west``. Order:
-    distance, azimuth, ord. ``passed_over`` tells that a nearer site was left out. Where any
-    site is ``preferred`` (a condition over both tables) the others do not count; ``carried``
-    are more columns of the chosen site to return, with ``odd`` for an implausible course.
+    distance, azimuth, ord. ``passed_over`` tells that a nearer site was left out. With a
+    ``rank`` over both tables only sites of a row's lowest rank count, and those without a
+    rank never; ``carried`` are more columns of the chosen site to return, with ``odd`` for
+    an implausible course.
     """
     pairs = rows.join(checked_reference(sites), F.lit(True))
     distance = haversine_km(F.col("place_lat"), F.col("place_lon"), F.col("lat"), F.col("lon"))
     azimuth = bearing_deg(F.col("place_lat"), F.col("place_lon"), F.col("lat"), F.col("lon"))
-    other = F.lit(False) if preferred is None else ~F.coalesce(preferred, F.lit(False))
-    judged = pairs.select(key, other.alias("other"), "code", "ord", *carried, distance.alias("distance_km"), azimuth.alias("azimuth")).withColumn("odd", (F.col("distance_km") <= near_km) & F.col("azimuth").between(*west))
-    order = F.struct("other", "odd", "distance_km", "azimuth", "ord", "code", *carried)
-    best = judged.groupBy(key).agg(F.min(order).alias("best"), F.min(F.struct("other", "distance_km")).alias("nearest"))
+    rank = F.lit(0) if rank is None else rank
+    judged = pairs.where(rank.isNotNull()).select(key, rank.alias("rank"), "code", "ord", *carried, distance.alias("distance_km"), azimuth.alias("azimuth")).withColumn("odd", (F.col("distance_km") <= near_km) & F.col("azimuth").between(*west))
+    order = F.struct("rank", "odd", "distance_km", "azimuth", "ord", "code", *carried)
+    best = judged.groupBy(key).agg(F.min(order).alias("best"), F.min(F.struct("rank", "distance_km")).alias("nearest"))
     more = [F.col(f"best.{c}") for c in (*carried, "odd")] if carried else []
     return best.select(key, "best.code", "best.distance_km", "best.azimuth", (F.col("best.distance_km") > F.col("nearest.distance_km")).alias("passed_over"), *more)
 

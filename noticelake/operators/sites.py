@@ -57,6 +57,13 @@ def choosable(sites: DataFrame, within_km: float = CO_LOCATED_KM) -> DataFrame:
     return sites.join(F.broadcast(later), "code", "left_anti").select(*sites.columns)
 
 
+def with_choice(sites: DataFrame, within_km: float = CO_LOCATED_KM) -> DataFrame:
+    """``sites`` with auto: whether geometry may choose a site; the others take a person's choice or their name in a text."""
+    later = site_groups(sites, within_km).where(F.col("members")[0] != F.col("code")).select("code", F.lit(False).alias("auto"))
+    plain = sites.drop("auto")
+    return plain.join(F.broadcast(later), "code", "left").select(*plain.columns, F.coalesce("auto", F.lit(True)).alias("auto"))
+
+
 def with_alternatives(rows: DataFrame, sites: DataFrame, site: str = "site", within_km: float = CO_LOCATED_KM) -> DataFrame:
     """``rows`` with site_alternatives: the other codes of the group of a row's site, in order; empty for a site that stands alone, an unknown one or none."""
     groups = site_groups(sites, within_km).select(F.col("code").alias(site), F.filter("members", lambda m: m != F.col("code")).alias("site_alternatives"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from noticelake.functions import coords, geo, text, timeparse
 from noticelake.operators import joins
-from noticelake.operators.sites import choosable
+from noticelake.operators.sites import with_choice
 from noticelake.operators.staging import written as staged
 from noticelake.plans import attribution
 
@@ -136,6 +136,7 @@ def analysed(
     foreign: tuple[str, ...] = (),
     confirmed: DataFrame | None = None,
     rejected: DataFrame | None = None,
+    site_words: dict[str, tuple[str, ...]] = text.SITE_WORDS,
 ) -> DataFrame:
     """One row for each notice with a trigger, attributed by the decision list; ``status`` is OK or REVIEW.
 
@@ -143,7 +144,9 @@ def analysed(
     nation); firs: as for ``located``. ``confirmed`` and ``rejected`` hold the event keys (key)
     that a person has decided. A site is sought among those of the nations in question, or
     among all where these have none; of sites that zones cannot tell apart the first alone counts
-    (``operators.sites``). Without notices the result is empty.
+    (``operators.sites``). Where words of ``site_words`` name sites of the reference, the choice is
+    among those: the ones in question, or else all that are named, since the text is the stronger
+    source. Without notices the result is empty.
     """
     rows = staged(located(staged(parsed(notices)), firs)).withColumn("hint", named_nation(F.col("plain"), hints or {}))
     for name, keys in (("confirmed", confirmed), ("rejected", rejected)):
@@ -155,9 +158,16 @@ def analysed(
     ours = F.array_intersect(F.coalesce("fir_nations", F.array().cast("array<string>")), every)
     hinted = F.col("hint").isin(*targets)
     nations = F.when(hinted, F.array("hint")).when(F.col("confirmed") & (F.size(ours) == 0), every).otherwise(ours)
-    rows = rows.withColumn("nations", nations)
-    where = rows.where(F.col("lat").isNotNull()).select("row_index", "lat", "lon", "nations")
-    chosen = joins.nearest_by_direction(where, "row_index", choosable(sites), preferred=F.array_contains("nations", F.col("nation")), carried=("nation", "place_lat"))
+    rows = rows.withColumn("nations", nations).withColumn("said", text.named_sites(F.col("plain"), site_words))
+    choice = staged(with_choice(sites.select("code", "place_lat", "place_lon", "ord", "nation")))
+    # nations without a site of their own leave all sites in question
+    have_sites = choice.where("auto").agg(F.collect_set("nation").alias("n")).scalar()
+    where = rows.where(F.col("lat").isNotNull()).select("row_index", "lat", "lon", "nations", F.col("said.codes").alias("said"))
+    where = where.withColumn("bound", F.coalesce(F.arrays_overlap("nations", have_sites), F.lit(False)))
+    fits = F.col("auto") & (~F.col("bound") | F.coalesce(F.array_contains("nations", F.col("nation")), F.lit(False)))
+    named = F.array_contains("said", F.col("code"))
+    rank = F.when(named & fits, 0).when(named, 1).when(fits, 2)
+    chosen = joins.nearest_by_direction(where, "row_index", choice, rank=rank, carried=("nation", "place_lat"))
     chosen = chosen.select("row_index", F.col("code").alias("site"), F.col("nation").alias("site_nation"), "place_lat", "distance_km", "azimuth", "odd")
     placed = rows.join(chosen, "row_index", "left")
     inputs = attribution.Inputs(
@@ -210,4 +220,6 @@ def analysed(
         "decision.status",
         "decision.requires_group",
         F.col("confirmed").alias("override"),
+        F.col("said.codes").alias("site_hints"),
+        F.col("said.evidence").alias("site_evidence"),
     )

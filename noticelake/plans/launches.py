@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from noticelake.functions import geo, timeparse
 from noticelake.operators import aggregates, merge
-from noticelake.operators.sites import choosable
+from noticelake.operators.sites import with_choice
 from noticelake.operators.staging import written as staged
 from noticelake.plans.tracks import TARGET_KM, tracks
 
@@ -123,15 +123,15 @@ def zone_points() -> Column:
 def grouped(events: DataFrame, sites: DataFrame, targets: tuple[str, ...] | None = None, by: str | None = None) -> Grouped:
     """Launches, numbered in time, with their window, site, course, orbit, range and best level, and their notices.
 
-    events: the columns of ``analysis.analysed``. Several notices are a launch if one of them is sure enough and one
+    events: the columns of ``analysis.analysed``; ``site_hints`` may lack. Several notices are a launch if one of them is sure enough and one
     secures the nation without the group; one notice is a launch if it stands by itself. A launch from a point at sea has
     ``at_sea`` and a site code that holds the position; its nation is one of ``targets``. The notices of a launch of
     several get its nation and site, and distance, course, orbit and reliability from there. With ``by``, a date column, each
     day's notices are grouped by themselves; row_index must then tell a notice's days apart. Without events there are none.
     """
     rows = staged(events.where(groupable()).withColumn("points", zone_points()))
-    clustered = staged(rows.join(time_clusters(rows, by), "row_index").select("row_index", "cluster", "valid_from", "lat", "lon", "nations", "points", "radius_km", "fir_country", "nation"))
-    chosen = staged(tracks(clustered, choosable(sites), targets)).withColumnRenamed("code", "group_site")
+    clustered = staged(rows.join(time_clusters(rows, by), "row_index").select("row_index", "cluster", "valid_from", "lat", "lon", "nations", "points", "radius_km", "fir_country", "nation", *(c for c in ("site_hints",) if c in rows.columns)))
+    chosen = staged(tracks(clustered, with_choice(sites), targets)).withColumnRenamed("code", "group_site")
     places = sites.select(F.col("code").alias("group_site"), "place_lat", "place_lon", F.col("nation").alias("site_nation"))
     known = rows.join(chosen, "row_index").join(places, "group_site", "left")
     at_sea = F.col("sea_lat").isNotNull()

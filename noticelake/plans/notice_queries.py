@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from noticelake.functions import coords, geo
+from noticelake.operators.joins import reference_rows
 from noticelake.plans import analysis
 from noticelake.plans.scalar_queries import lat_of, lon_of, sql_lat, sql_lon, table
 from noticelake.sources import exports
@@ -66,6 +67,30 @@ def notices_analysed(spark, sf_dir):
     return out.select("row_index", "id", named.alias("site"), F.when(F.col("branch") > 5, F.round("distance_km", 4)).alias("km"), "level", "branch", "status")
 
 
+_NAMED = f"""(select c_custkey, n.n_name as code, n.n_nationkey as ord, c_custkey % 3 = 0 and n.n_nationkey in (c_custkey % 25, (c_custkey % 25 + 7) % 25) as named, n.n_regionkey = own.n_regionkey as ours,
+{sql_lat("(n.n_nationkey + 7)")} as a, {sql_lon("(n.n_nationkey + 7)")} as b, {sql_lat("c_custkey")} as c, {sql_lon("c_custkey")} as d
+from customer join nation own on c_nationkey = own.n_nationkey cross join nation n where c_custkey % 10 not in (6, 7, 9))"""
+
+
+@query(
+    "sites_named",
+    f"""with ranked as (select *, case when named and ours then 0 when named then 1 when ours then 2 end as rank from {_NAMED}),
+judged as (select *, min(rank) over (partition by c_custkey) as lowest, km <= 8000 and az between 225 and 325 as odd from (select *, {_HAV} as km, {_BEARING} as az from ranked)),
+best as (select *, row_number() over (partition by c_custkey order by odd, km, az, ord) as r from judged where rank = lowest)
+select c_custkey as row_index, code as site, round(km, 4) as km, case when c_custkey % 3 = 0 then 'BOOSTER X' || lpad((c_custkey % 25)::varchar, 2, '0') else '' end as evidence,
+case when km < 1 then 14 when odd then 15 else 17 end as branch from best where r = 1""",
+)
+def sites_named(spark, sf_dir):
+    """Notices that name a vehicle which flies from two sites: one of their own nations counts before one of others."""
+    sites, firs = _references(spark, sf_dir)
+    names = [r["code"] for r in sorted(reference_rows(sites), key=lambda r: r["ord"])]
+    words = {f"BOOSTER X{i:02d}": (names[i], names[(i + 7) % len(names)]) for i in range(len(names))}
+    vehicle = F.format_string(" BOOSTER X%02d", F.col("row_index") % len(names))
+    rows = _notices(spark, sf_dir).withColumn("text", F.when(F.col("row_index") % 3 == 0, F.regexp_replace("text", F.lit(" F\\) SFC"), F.concat(vehicle, F.lit(" F) SFC")))).otherwise(F.col("text")))
+    out = analysis.analysed(rows, sites, firs, ("R0", "R1", "R2", "R3", "R4"), site_words=words).where("branch > 5")
+    return out.select("row_index", "site", F.round("distance_km", 4).alias("km"), F.array_join("site_evidence", ",").alias("evidence"), "branch")
+
+
 @query(
     "catalogue_parsed",
     """select o_orderkey::varchar as payload, strftime(o_orderdate, '%Y') || '-' || lpad((o_orderkey % 1000)::varchar, 3, '0') as tag, strftime(o_orderdate, '%Y-%m-%d %H:%M') as at, o_orderkey % 3 = 0 as date_only,

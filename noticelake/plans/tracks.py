@@ -66,23 +66,24 @@ class Sites:
     nation: list[str]
     lat: np.ndarray
     lon: np.ndarray
+    auto: np.ndarray  # whether geometry may choose it; all may where the reference does not say
 
     @classmethod
     def of(cls, rows: list) -> Sites:
         rows = sorted(rows, key=lambda r: (r["ord"], r["code"]))
-        return cls([r["code"] for r in rows], [r["nation"] for r in rows], np.array([r["place_lat"] for r in rows], float), np.array([r["place_lon"] for r in rows], float))
+        return cls([r["code"] for r in rows], [r["nation"] for r in rows], np.array([r["place_lat"] for r in rows], float), np.array([r["place_lon"] for r in rows], float), np.array(["auto" not in r or r["auto"] for r in rows], bool))
 
 
 class _Chosen:
     """The site that explains the remaining notices best, kept up while notices are taken out."""
 
-    def __init__(self, lat: np.ndarray, lon: np.ndarray, nations: list[set[str]], sites: Sites):
-        wanted = set().union(*nations)
-        own = [s for s, n in enumerate(sites.nation) if n in wanted]
+    def __init__(self, lat: np.ndarray, lon: np.ndarray, nations: list[set[str]], hints: list[set[str]], sites: Sites):
+        wanted, said = set().union(*nations), set().union(*hints)
+        auto = np.flatnonzero(sites.auto)
         # a set of nations without a site leaves all sites in question
-        if len({n for n in sites.nation} & wanted) < len(wanted):
-            own = list(range(len(sites.code)))
-        self.sites, self.own, self.nations = sites, np.array(own, int), nations
+        every = len({sites.nation[s] for s in auto} & wanted) < len(wanted)
+        own = {s for s in auto if every or sites.nation[s] in wanted} | {s for s, c in enumerate(sites.code) if c in said}
+        self.sites, self.own, self.nations, self.hints = sites, np.array(sorted(own), int), nations, hints
         y, x = sites.lat[self.own], sites.lon[self.own]
         self.km = distances(y, x, lat[:, None], lon[:, None]).reshape(len(lat), -1)
         self.course = courses(y, x, lat[:, None], lon[:, None]).reshape(len(lat), -1)
@@ -90,7 +91,7 @@ class _Chosen:
         self.odd = self.near & (self.course >= WEST[0]) & (self.course <= WEST[1])
         self.live = np.ones(len(lat), bool)
         self.pairs = [self._pair(s) for s in range(len(self.own))]
-        self.of_nation: dict[frozenset, np.ndarray] = {}
+        self.known: dict[tuple[frozenset, frozenset], np.ndarray] = {}
 
     def _pair(self, s: int, without: int = -1) -> tuple[float, int, int]:
         rows = np.flatnonzero(self.live & self.near[:, s])
@@ -102,21 +103,24 @@ class _Chosen:
         self.live[i] = False
         self.pairs = [self._pair(s) if i in p[1:] else p for s, p in enumerate(self.pairs)]
 
-    def _allowed(self, names: frozenset) -> np.ndarray:
-        """Sites of the nations, or all if these have none."""
-        if names not in self.of_nation:
-            fits = np.array([self.sites.nation[s] in names for s in self.own], bool)
-            self.of_nation[names] = fits if fits.any() else np.ones(len(self.own), bool)
-        return self.of_nation[names]
+    def _allowed(self, names: frozenset, said: frozenset) -> np.ndarray:
+        """Sites of the nations, or all if these have none; of these the ones that the texts name, or else whatever they name."""
+        if (names, said) not in self.known:
+            auto = self.sites.auto[self.own]
+            fits = auto & np.array([self.sites.nation[s] in names for s in self.own], bool)
+            fits = fits if fits.any() else auto
+            named = np.array([self.sites.code[s] in said for s in self.own], bool)
+            self.known[names, said] = next((x for x in (fits & named, named) if x.any()), fits)
+        return self.known[names, said]
 
     def _names(self, counts: dict[str, int], n: int) -> frozenset:
         """What all have in common, or else what any has."""
         return frozenset(k for k, c in counts.items() if c == n) or frozenset(k for k, c in counts.items() if c)
 
-    def _counts(self) -> dict[str, int]:
+    def _counts(self, of: list[set[str]]) -> dict[str, int]:
         counts: dict[str, int] = {}
         for i in np.flatnonzero(self.live):
-            for k in self.nations[i]:
+            for k in of[i]:
                 counts[k] = counts.get(k, 0) + 1
         return counts
 
@@ -125,7 +129,7 @@ class _Chosen:
         n = int(self.live.sum())
         spreads = np.array([p[0] for p in self.pairs])
         score = 100 * spreads + self.km[self.live].sum(0) / n
-        score[self.odd[self.live].any(0) | ~self._allowed(self._names(self._counts(), n))] = np.inf
+        score[self.odd[self.live].any(0) | ~self._allowed(self._names(self._counts(self.nations), n), frozenset(self._counts(self.hints)))] = np.inf
         s = int(score.argmin()) if len(score) else 0
         return (float(spreads[s]), int(self.own[s])) if len(score) and np.isfinite(score[s]) else None
 
@@ -140,10 +144,11 @@ class _Chosen:
                 spreads[place[i], s] = self._pair(s, i)[0]
         score = 100 * spreads + (self.km[rows].sum(0) - self.km[rows]) / (n - 1)
         score[self.odd[rows].sum(0) - self.odd[rows] > 0] = np.inf
-        counts = self._counts()
+        counts, said = self._counts(self.nations), self._counts(self.hints)
         for k, i in enumerate(rows):
             left = {name: c - (name in self.nations[i]) for name, c in counts.items()}
-            score[k, ~self._allowed(self._names(left, n - 1))] = np.inf
+            still = frozenset(code for code, c in said.items() if c > (code in self.hints[i]))
+            score[k, ~self._allowed(self._names(left, n - 1), still)] = np.inf
         if not score.size:
             return None
         chosen = score.argmin(1)
@@ -221,7 +226,7 @@ def parts(members: list[dict], sites: Sites, targets: frozenset[str]) -> list[tu
     if n == 1:
         return [([0], None, None)]
     column = lambda c: np.array([m[c] for m in members], float)  # noqa: E731  a null is not a number
-    site = _Chosen(column("lat"), column("lon"), [set(m["nations"]) for m in members], sites)
+    site = _Chosen(column("lat"), column("lon"), [set(m["nations"]) for m in members], [set(m["site_hints"] or ()) for m in members], sites)
     spots = [(p["lat"], p["lon"], i) for i, m in enumerate(members) for p in m["points"]]
     radius = column("radius_km")
     owner = np.array([s[2] for s in spots], int)
@@ -236,7 +241,7 @@ def parts(members: list[dict], sites: Sites, targets: frozenset[str]) -> list[tu
         if found and found[0] <= SPREAD_DEG or derived:
             if derived and (not found or derived[3] + MARGIN_DEG < found[0]):
                 lat, lon, mean, _, i = derived
-                left = site._names(site._counts(), len(rest))
+                left = site._names(site._counts(site.nations), len(rest))
                 named = (members[i]["fir_country"], members[i]["nation"], next(iter(left)) if len(left) == 1 else None)
                 nation = next((x for x in named if x in targets), None)
                 if nation:
@@ -270,11 +275,14 @@ def tracks(clustered: DataFrame, sites: DataFrame, targets: tuple[str, ...] | No
     """``SCHEMA``: each row's part of its cluster, with the site code of a part of several notices, or its start at sea.
 
     clustered: (row_index, cluster, valid_from, lat, lon, nations, points, radius_km,
-    fir_country, nation), where ``points`` are the centres of a notice's zones; sites: (code,
-    place_lat, place_lon, ord, nation), of checked size; targets: the nations that a start at
+    fir_country, nation), where ``points`` are the centres of a notice's zones, with site_hints
+    where texts name sites; sites: (code, place_lat, place_lon, ord, nation), of checked size,
+    with auto where geometry may not choose all; targets: the nations that a start at
     sea may have, those of the sites if none are given. Only clusters of several rows are gathered.
     """
     rows = joins.reference_rows(sites)
+    if "site_hints" not in clustered.columns:
+        clustered = clustered.withColumn("site_hints", F.array().cast("array<string>"))
     known = clustered.sparkSession.sparkContext.broadcast((Sites.of(rows), frozenset(targets if targets is not None else (r["nation"] for r in rows))))
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -169,3 +169,13 @@ def test_rows_are_subsumed_within_a_launch_alone(spark):
     assert {r.id for r in joins.without_subsumed(frame).collect()} == {2, 3, 5, 6}
     pairs = {tuple(r) for r in joins.same_launch(frame.where("id < 5"), frame.where("id >= 5")).collect()}
     assert pairs == {(1, 5), (2, 5), (2, 7), (4, 5)}
+
+
+def test_named_sites(spark):
+    rows = [(1, "space x  starship ftl-14"), (2, "FALCON 9 STARLINK MISSION FROM VANDENBERG SFB"), (3, "SOYUZ FROM PLESETSK\nCOSMODROME"), (4, "A TEMPORARY DANGER AREA ESTABLISHED"), (5, None), (6, "BOCA\nCHICA " * 5000)]
+    named = spark.createDataFrame(rows, "i int, t string").select("i", text.named_sites(F.col("t")).alias("s"), text.named_sites(F.col("t"), {}).alias("none")).collect()
+    found = {r.i: (r.s.codes, r.s.evidence) for r in named}
+    assert found == {
+        1: (["KBRO"], ["STARSHIP"]), 2: (["KXMR", "KTTS", "KVBG", "KCOI"], ["FALCON 9", "STARLINK", "VANDENBERG"]), 3: (["GIK-1"], ["PLESETSK"]),
+        4: ([], []), 5: ([], []), 6: (["KBRO"], ["BOCA CHICA"])}
+    assert all(r.none.codes == [] == r.none.evidence for r in named)

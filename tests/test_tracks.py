@@ -25,8 +25,11 @@ def spread(angles):
 def plain_site(members, sites):
     sets = [set(m["nations"]) for m in members]
     names = set.intersection(*sets) or set.union(*sets)
+    said = {c for m in members for c in m["site_hints"]}
+    auto = [x for x in sites if x[5]]
+    fits = [x for x in auto if x[4] in names] or auto
     best = None
-    for s in [x for x in sites if x[4] in names] or sites:
+    for s in [x for x in fits if x[0] in said] or [x for x in sites if x[0] in said] or fits:
         seen = [(km((s[1], s[2]), (m["lat"], m["lon"])), course((s[1], s[2]), (m["lat"], m["lon"]))) for m in members]
         if any(d <= 8000 and 225 <= a <= 325 for d, a in seen):
             continue
@@ -74,15 +77,15 @@ def plain_parts(members, sites, targets):
     return [*plain_parts(members[:out] + members[out + 1 :], sites, targets), ([members[out]["row_index"]], None, None)]
 
 
-SITES = [("S1", 0.0, 0.0, 1, "A"), ("S2", 30.0, 40.0, 2, "A"), ("S3", -20.0, 10.0, 3, "B"), ("S4", 5.0, 100.0, 4, "C")]
+SITES = [("S1", 0.0, 0.0, 1, "A", True), ("S2", 30.0, 40.0, 2, "A", True), ("S3", -20.0, 10.0, 3, "B", True), ("S4", 5.0, 100.0, 4, "C", True), ("S5", 5.0, 100.02, 5, "C", False)]
 
 
 def known(sites):
-    return tracks.Sites.of([dict(zip(("code", "place_lat", "place_lon", "ord", "nation"), s, strict=True)) for s in sites])
+    return tracks.Sites.of([dict(zip(("code", "place_lat", "place_lon", "ord", "nation", "auto"), s, strict=True)) for s in sites])
 
 
-def member(row, lat, lon, nations, points=None, radius=None, country=None, nation=None):
-    return {"row_index": row, "lat": lat, "lon": lon, "nations": nations, "points": points or [{"lat": lat, "lon": lon}], "radius_km": radius, "fir_country": country, "nation": nation}
+def member(row, lat, lon, nations, points=None, radius=None, country=None, nation=None, hints=()):
+    return {"site_hints": list(hints), "row_index": row, "lat": lat, "lon": lon, "nations": nations, "points": points or [{"lat": lat, "lon": lon}], "radius_km": radius, "fir_country": country, "nation": nation}
 
 
 def random_cluster(seed):
@@ -94,7 +97,7 @@ def random_cluster(seed):
         angle = math.radians(lean + rng.choice((rng.uniform(-4, 4), rng.uniform(-4, 4), rng.uniform(-180, 180))))
         lat, lon = base[0] + far * math.cos(angle), base[1] + far * math.sin(angle)
         points = [{"lat": lat + i * 3.0, "lon": lon} for i in range(rng.choice((1, 1, 2)))]
-        out.append(member(row, lat, lon, rng.sample("ABCD", rng.choice((1, 1, 2))), points, rng.choice((None, 20.0, 90.0)), rng.choice("ABX"), rng.choice(("A", None))))
+        out.append(member(row, lat, lon, rng.sample("ABCD", rng.choice((1, 1, 2))), points, rng.choice((None, 20.0, 90.0)), rng.choice("ABX"), rng.choice(("A", None)), rng.sample(("S1", "S2", "S3", "S4", "S5", "none"), rng.choice((0, 0, 0, 1, 2)))))
     return out
 
 
