@@ -100,7 +100,7 @@ def colocated_sites(spark, sf_dir):
 def _windows(spark, sf_dir, name, hours):
     e = table(spark, sf_dir, "events").withColumn("at", F.col("ts").cast("timestamp"))
     length = (F.col("event_id") % hours + 1).cast("int")
-    return e.select("event_id", (F.col("user_id") % 50).alias("part"), "at", F.timestamp_seconds(F.unix_timestamp("at") + length * 3600).alias("until"))
+    return e.select("event_id", (F.col("user_id") % 50).alias("part"), "at", F.timestamp_micros(F.unix_micros("at") + length * 3_600_000_000).alias("until"))
 
 
 @query(
