@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from noticelake.operators import aggregates, cluster, joins, merge
@@ -398,6 +399,11 @@ def attribution_decisions(spark, sf_dir):
     return rows.select("l_orderkey", "l_linenumber", attribution.decided(inputs).alias("d")).select("l_orderkey", "l_linenumber", "d.branch", "d.status")
 
 
+def nearest_second(time: Column) -> Column:
+    """Whole seconds since 1970, halves to the even one; ``unix_timestamp`` would cut the fraction off."""
+    return F.rint(F.unix_micros(time) / 1e6).cast("long")
+
+
 @query(
     "time_cluster",
     """with recursive e as (select event_id, user_id % 20 as part, epoch(ts)::bigint as t, row_number() over (partition by user_id % 20 order by ts, event_id) as r from events),
@@ -407,7 +413,7 @@ c as (select part, r, event_id, t, t as first, t as last, 1 as n from e where r
 select event_id, part, n as cluster from c""",
 )
 def time_cluster(spark, sf_dir):
-    rows = table(spark, sf_dir, "events").select("event_id", (F.col("user_id") % 20).alias("part"), F.unix_timestamp(F.col("ts").cast("timestamp")).alias("t"))
+    rows = table(spark, sf_dir, "events").select("event_id", (F.col("user_id") % 20).alias("part"), nearest_second(F.col("ts").cast("timestamp")).alias("t"))
     return cluster.gap_and_span(rows, "part", "t", "event_id", gap=1800, span=5400).select("event_id", "part", "cluster")
 
 
