@@ -28,7 +28,7 @@ def stream_day_bundle(spark, sf_dir):
 
 
 def stream_session_cap(spark, sf_dir):
-    rows = _events(spark, sf_dir).select("event_id", (F.col("user_id") % 20).alias("part"), F.unix_timestamp("at").alias("t"))
+    rows = _events(spark, sf_dir).select("event_id", (F.col("user_id") % 20).alias("part"), frame_queries.nearest_second(F.col("at")).alias("t"))
     return incremental.run_available(incremental.cluster_stream(rows, "part", "t", "event_id"))
 
 
