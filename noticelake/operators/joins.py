@@ -147,18 +147,25 @@ def without_subsumed(rows: DataFrame) -> DataFrame:
     """Rows (id, ids array, day, nation, ...) whose id set is not a proper part of the set of another row of the same launch.
 
     Rows belong to one launch if they are at most a day apart and do not name different
-    nations; an unknown day or nation fits any. A row meets only those that have its rarest id.
+    nations; an unknown day or nation fits any. Rows of equal sets, day and nation are judged
+    once. A set meets only those that have its rarest id, dated ones on their days.
     """
-    each = rows.select("id", F.array_distinct("ids").alias("s"), "day", "nation")
-    elements = each.select("id", "s", "day", "nation", F.explode("s").alias("e"))
+    each = rows.select("id", F.sort_array(F.array_distinct("ids")).alias("s"), "day", "nation")
+    sets = each.select("s", "day", "nation").distinct()
+    elements = sets.withColumn("e", F.explode("s"))
     counts = elements.groupBy("e").agg(F.count("*").alias("n"))
-    rarest = elements.select("id", "e").join(counts, "e").groupBy("id").agg(F.min_by("e", F.struct("n", "e")).alias("e"))
-    small = each.join(rarest, "id")
-    large = elements.select(F.col("s").alias("s2"), F.col("day").alias("day2"), F.col("nation").alias("nation2"), "e")
-    near = F.coalesce(F.abs(F.datediff("day", "day2")) <= 1, F.lit(True))
+    small = elements.join(counts, "e").groupBy("s", "day", "nation").agg(F.min_by("e", F.struct("n", "e")).alias("e"))
+    large = elements.select(*(F.col(c).alias(f"{c}2") for c in ("s", "day", "nation", "e")))
     agree = F.coalesce(F.col("nation") == F.col("nation2"), F.lit(True))
     part = (F.size("s") < F.size("s2")) & (F.size(F.array_intersect("s", "s2")) == F.size("s"))
-    return rows.join(small.join(large, "e").where(near & agree & part).select("id").distinct(), "id", "left_anti")
+    meets = (F.col("e") == F.col("e2")) & agree & part
+    dated, undated = large.where("day2 is not null"), large.where("day2 is null")
+    around = small.where("day is not null").withColumn("near", F.explode(F.sequence(F.date_sub("day", 1), F.date_add("day", 1))))
+    found = around.join(dated, (F.col("near") == F.col("day2")) & meets, "left_semi").drop("near")
+    found = found.unionByName(small.join(undated, meets, "left_semi")).unionByName(small.where("day is null").join(dated, meets, "left_semi"))
+    held = found.select(*(F.col(c).alias(f"held_{c}") for c in ("s", "day", "nation"))).distinct()
+    same = (F.col("s") == F.col("held_s")) & F.col("day").eqNullSafe(F.col("held_day")) & F.col("nation").eqNullSafe(F.col("held_nation"))
+    return rows.join(each.join(held, same, "left_semi").select("id"), "id", "left_anti")
 
 
 def sharing_ids(rows: DataFrame) -> DataFrame:
