@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,11 +33,16 @@ def _cells(lat: Column, lon: Column, degrees: int) -> tuple[Column, Column]:
     return F.floor((lat + 90) / degrees).cast("int"), F.floor((F.pmod(lon + 180, F.lit(360.0))) / degrees).cast("int")
 
 
+def _beside(rows: DataFrame, places: DataFrame, *columns: str) -> DataFrame:
+    """``rows``, each with a whole checked reference as the array ``places``: a row's choice among them needs neither sort nor shuffle."""
+    listed = checked_reference(places).agg(F.collect_list(F.struct(*columns)).alias("places"))
+    return rows.join(F.broadcast(listed), F.lit(True))
+
+
 def nearest_within(rows: DataFrame, key: str, places: DataFrame, cap_km: float) -> DataFrame:
     """rows with the code and distance of the nearest place, null beyond ``cap_km``; ties go to the place with the lower ord.
 
-    rows: (key, lat, lon, ...); places: (code, place_lat, place_lon, ord), a checked reference.
-    The nearest is kept by a partial aggregate, so no more than a row for each key moves.
+    rows: (key, lat, lon, ...), a row for each key; places: (code, place_lat, place_lon, ord), a checked reference.
     """
     best = nearest_any(rows, key, places)
     near = F.col("distance_km") <= cap_km
@@ -43,31 +50,39 @@ def nearest_within(rows: DataFrame, key: str, places: DataFrame, cap_km: float)
 
 
 def nearest_any(rows: DataFrame, key: str, places: DataFrame) -> DataFrame:
-    """(key, code, distance_km) of the nearest place, however far."""
-    pairs = rows.select(key, "lat", "lon").join(checked_reference(places), F.lit(True))
-    distance = haversine_km(F.col("lat"), F.col("lon"), F.col("place_lat"), F.col("place_lon"))
-    best = pairs.groupBy(key).agg(F.min(F.struct(distance.alias("distance_km"), "ord", "code")).alias("best"))
-    return best.select(key, "best.code", "best.distance_km")
+    """(key, code, distance_km) of the nearest place, however far; a row for each key."""
+    pairs = _beside(rows.select(key, "lat", "lon"), places, "place_lat", "place_lon", "ord", "code")
+    measured = lambda p: F.struct(haversine_km(F.col("lat"), F.col("lon"), p["place_lat"], p["place_lon"]).alias("distance_km"), p["ord"].alias("ord"), p["code"].alias("code"))
+    best = F.filter(F.array(F.array_min(F.transform("places", measured))), lambda m: m.isNotNull())
+    return pairs.select(key, F.explode(best).alias("best")).select(key, "best.code", "best.distance_km")
 
 
 def nearest_by_direction(
-    rows: DataFrame, key: str, sites: DataFrame, near_km: float = 8000.0, west: tuple[float, float] = (225.0, 325.0), rank: Column | None = None, carried: tuple[str, ...] = ()
+    rows: DataFrame, key: str, sites: DataFrame, near_km: float = 8000.0, west: tuple[float, float] = (225.0, 325.0), rank: Callable[[Column], Column] | None = None, carried: tuple[str, ...] = (), ranked: tuple[str, ...] = ()
 ) -> DataFrame:
     """The nearest site from which the course is plausible, or the nearest at all if none is.
 
     A course is implausible for a target within ``near_km`` at an azimuth in ``west``. Order:
     distance, azimuth, ord. ``passed_over`` tells that a nearer site was left out. With a
-    ``rank`` over both tables only sites of a row's lowest rank count, and those without a
+    ``rank`` of a site (a struct with the columns ``ranked`` too) only sites of a row's lowest rank count, and those without a
     rank never; ``carried`` are more columns of the chosen site to return, with ``odd`` for
-    an implausible course.
+    an implausible course. rows have a row for each key.
     """
-    pairs = rows.join(checked_reference(sites), F.lit(True))
-    distance = haversine_km(F.col("place_lat"), F.col("place_lon"), F.col("lat"), F.col("lon"))
-    azimuth = bearing_deg(F.col("place_lat"), F.col("place_lon"), F.col("lat"), F.col("lon"))
-    rank = F.lit(0) if rank is None else rank
-    judged = pairs.where(rank.isNotNull()).select(key, rank.alias("rank"), "code", "ord", *carried, distance.alias("distance_km"), azimuth.alias("azimuth")).withColumn("odd", (F.col("distance_km") <= near_km) & F.col("azimuth").between(*west))
-    order = F.struct("rank", "odd", "distance_km", "azimuth", "ord", "code", *carried)
-    best = judged.groupBy(key).agg(F.min(order).alias("best"), F.min(F.struct("rank", "distance_km")).alias("nearest"))
+    pairs = _beside(rows, sites, *dict.fromkeys(("place_lat", "place_lon", "ord", "code", *carried, *ranked)))
+    rank = rank or (lambda p: F.lit(0))
+
+    def measured(p: Column) -> Column:
+        at = (p["place_lat"], p["place_lon"], F.col("lat"), F.col("lon"))
+        return F.struct(rank(p).alias("rank"), haversine_km(*at).alias("distance_km"), bearing_deg(*at).alias("azimuth"), *(p[c].alias(c) for c in ("ord", "code", *carried)))
+
+    def judged(m: Column) -> Column:
+        odd = (m["distance_km"] <= near_km) & m["azimuth"].between(*west)
+        return F.struct(m["rank"].alias("rank"), odd.alias("odd"), *(m[c].alias(c) for c in ("distance_km", "azimuth", "ord", "code", *carried)))
+
+    counted = F.transform(F.filter("places", lambda p: rank(p).isNotNull()), measured)
+    nearest = lambda x: F.array_min(F.transform(x, lambda m: F.struct(m["rank"].alias("rank"), m["distance_km"].alias("distance_km"))))
+    both = F.transform(F.array(counted), lambda x: F.struct(F.array_min(F.transform(x, judged)).alias("best"), nearest(x).alias("nearest")))
+    best = pairs.select(key, F.explode(F.filter(both, lambda x: x["best"].isNotNull())).alias("x")).select(key, "x.best", "x.nearest")
     more = [F.col(f"best.{c}") for c in (*carried, "odd")] if carried else []
     return best.select(key, "best.code", "best.distance_km", "best.azimuth", (F.col("best.distance_km") > F.col("nearest.distance_km")).alias("passed_over"), *more)
 

@@ -164,10 +164,13 @@ def analysed(
     have_sites = choice.where("auto").agg(F.collect_set("nation").alias("n")).scalar()
     where = rows.where(F.col("lat").isNotNull()).select("row_index", "lat", "lon", "nations", F.col("said.codes").alias("said"))
     where = where.withColumn("bound", F.coalesce(F.arrays_overlap("nations", have_sites), F.lit(False)))
-    fits = F.col("auto") & (~F.col("bound") | F.coalesce(F.array_contains("nations", F.col("nation")), F.lit(False)))
-    named = F.array_contains("said", F.col("code"))
-    rank = F.when(named & fits, 0).when(named, 1).when(fits, 2)
-    chosen = joins.nearest_by_direction(where, "row_index", choice, rank=rank, carried=("nation", "place_lat"))
+
+    def rank(site: Column) -> Column:
+        fits = site["auto"] & (~F.col("bound") | F.coalesce(F.array_contains("nations", site["nation"]), F.lit(False)))
+        named = F.array_contains("said", site["code"])
+        return F.when(named & fits, 0).when(named, 1).when(fits, 2)
+
+    chosen = joins.nearest_by_direction(where, "row_index", choice, rank=rank, carried=("nation", "place_lat"), ranked=("auto",))
     chosen = chosen.select("row_index", F.col("code").alias("site"), F.col("nation").alias("site_nation"), "place_lat", "distance_km", "azimuth", "odd")
     placed = rows.join(chosen, "row_index", "left")
     inputs = attribution.Inputs(
