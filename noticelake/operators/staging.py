@@ -8,7 +8,12 @@ from noticelake.streaming.incremental import shared_folder
 
 
 def written(rows: DataFrame) -> DataFrame:
-    """``rows`` as a Parquet table in the shared folder: worked out once, and what is read twice is the same twice."""
+    """``rows`` as a Parquet table in the shared folder: worked out once, and what is read twice is the same twice.
+
+    Joins with the table shuffle: Spark takes the size of its files for that of its rows, but
+    encoded columns are many times smaller than their rows, so a table of millions of rows
+    would be gathered in the driver to be broadcast.
+    """
     folder = shared_folder(rows.sparkSession)
     rows.write.parquet(folder)
-    return rows.sparkSession.read.schema(rows.schema).parquet(folder)
+    return rows.sparkSession.read.schema(rows.schema).parquet(folder).hint("merge")
