@@ -23,6 +23,12 @@ SPREAD_DEG = 15.0
 FAR_KM = 8000.0
 WEST = (225.0, 325.0)
 
+#: Notices, and points of zones, up to which all pairs of a cluster are worked out at once; larger clusters take them row by row.
+PAIRED = 64
+
+#: Rows of a batch that a task hands back.
+_BATCH = 4096
+
 #: Fixed values of a start at sea: radius of the platform's circle, km to the nearest site, km to a zone that counts as a target, degrees by which its track must be narrower.
 CIRCLE_KM = 60.0
 SITE_KM = 150.0
@@ -90,9 +96,18 @@ class _Chosen:
         self.near = self.km <= FAR_KM
         self.odd = self.near & (self.course >= WEST[0]) & (self.course <= WEST[1])
         self.live = np.ones(len(lat), bool)
-        self.pairs = [self._pair(s) for s in range(len(self.own))]
+        self.pairs = self._all_pairs() if 1 < len(lat) <= PAIRED and len(self.own) else [self._pair(s) for s in range(len(self.own))]
         self.known: dict[tuple[frozenset, frozenset], np.ndarray] = {}
 
+    def _all_pairs(self) -> list[tuple[float, int, int]]:
+        """``_pair`` of every site, from the angles between all notices."""
+        a, b = np.triu_indices(len(self.live), 1)
+        gap = np.abs(self.course[a] - self.course[b])
+        gap = np.where(self.near[a] & self.near[b], np.minimum(gap, 360 - gap), -1.0)
+        most = gap.argmax(0)
+        spread = gap.max(0)
+        return [(x, int(a[k]), int(b[k])) if x >= 0 else (0.0, -1, -1) for x, k in zip(spread.tolist(), most.tolist(), strict=True)]
+
     def _pair(self, s: int, without: int = -1) -> tuple[float, int, int]:
         rows = np.flatnonzero(self.live & self.near[:, s])
         rows = rows[rows != without]
@@ -164,18 +179,26 @@ class _AtSea:
         self.lat, self.lon, self.owner, self.circle, self.sites = lat, lon, owner, circle, sites
         self.live = np.ones(len(lat), bool)
         self.targets, self.east, self.north = np.zeros(len(lat), int), np.zeros(len(lat)), np.zeros(len(lat))
+        self.all = self._seen(slice(None)) if len(lat) <= PAIRED else None
         for x in range(len(lat)):
             self._count(x, 1)
         # two points that an origin sees more than a track apart; -1 where none is known
         self.apart = np.full((len(lat), 2), -1)
 
+    def _seen(self, x) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Points x seen from every origin: whether they are targets, their course, its sine and cosine where they are."""
+        y0, x0 = self.lat[:, None], self.lon[:, None]
+        far = distances(y0, x0, self.lat[x], self.lon[x]) >= TARGET_KM
+        course = courses(y0, x0, self.lat[x], self.lon[x])
+        angle = np.radians(course)
+        return far, course, far * np.sin(angle), far * np.cos(angle)
+
     def _count(self, x: int, sign: int) -> None:
         """A point as a target of every origin, added or taken away."""
-        far = distances(self.lat, self.lon, self.lat[x], self.lon[x]) >= TARGET_KM
-        angle = np.radians(courses(self.lat, self.lon, self.lat[x], self.lon[x]))
+        far, _, east, north = (v[:, x] for v in self.all) if self.all else (v[:, 0] for v in self._seen([x]))
         self.targets += sign * far
-        self.east += sign * far * np.sin(angle)
-        self.north += sign * far * np.cos(angle)
+        self.east += sign * east
+        self.north += sign * north
 
     def remove(self, member: int) -> None:
         for x in np.flatnonzero(self.owner == member):
@@ -185,8 +208,12 @@ class _AtSea:
 
     def _spread(self, o: int) -> float | None:
         """The angle that an origin's targets span if it is that of a track."""
-        at = np.flatnonzero(self.live & (distances(self.lat[o], self.lon[o], self.lat, self.lon) >= TARGET_KM))
-        angles = courses(self.lat[o], self.lon[o], self.lat[at], self.lon[at])
+        if self.all:
+            at = np.flatnonzero(self.live & self.all[0][o])
+            angles = self.all[1][o, at]
+        else:
+            at = np.flatnonzero(self.live & (distances(self.lat[o], self.lon[o], self.lat, self.lon) >= TARGET_KM))
+            angles = courses(self.lat[o], self.lon[o], self.lat[at], self.lon[at])
         lean = (angles - angles[0] + 180) % 360 - 180
         low, high = int(lean.argmin()), int(lean.argmax())
         far = int(np.abs(lean).argmax())
@@ -286,11 +313,16 @@ def tracks(clustered: DataFrame, sites: DataFrame, targets: tuple[str, ...] | No
     known = clustered.sparkSession.sparkContext.broadcast((Sites.of(rows), frozenset(targets if targets is not None else (r["nation"] for r in rows))))
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        batch = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _ARROW.types, strict=True)], schema=_ARROW)
+        out: list[tuple] = []
         for cluster in _clusters(batches):
-            out = []
             for k, (part, code, at) in enumerate(parts(cluster, *known.value)):
                 out += [(cluster[i]["row_index"], cluster[i]["cluster"], k, code, *(at or (None,) * 4)) for i in part]
-            yield pa.RecordBatch.from_pylist([dict(zip(_ARROW.names, r, strict=True)) for r in out], _ARROW)
+            if len(out) >= _BATCH:
+                yield batch(out)
+                out = []
+        if out:
+            yield batch(out)
 
     several = clustered.groupBy("cluster").agg(F.count("*").alias("n")).where("n > 1")
     alone = clustered.join(several, "cluster", "left_anti").select("row_index", "cluster", F.lit(0).alias("part"), *(F.lit(None).cast(kind).alias(c) for c, kind in (x.split() for x in SCHEMA.split(", ")[3:])))
