@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from noticelake.streaming.incremental import shared_folder
 
@@ -17,3 +18,14 @@ def written(rows: DataFrame) -> DataFrame:
     folder = shared_folder(rows.sparkSession)
     rows.write.parquet(folder)
     return rows.sparkSession.read.schema(rows.schema).parquet(folder).hint("merge")
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """``rows`` dealt evenly over all cores, for work that costs much a row: a small file of many rows is read by few tasks."""
+    spark = rows.sparkSession
+    return rows.repartition(max(3 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
+def worked_out(rows: DataFrame, name: str, value: Column) -> DataFrame:
+    """``rows`` with a column more that is worked out once: filters on it are not moved before ``spread`` with a copy of it."""
+    return rows.select("*", F.explode(F.array(value)).alias(name))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from noticelake.functions import coords, geo, text, timeparse
 from noticelake.operators import joins
 from noticelake.operators.sites import with_choice
+from noticelake.operators.staging import spread, worked_out
 from noticelake.operators.staging import written as staged
 from noticelake.plans import attribution
 
@@ -34,10 +35,11 @@ def airspace_codes(*texts: Column) -> Column:
 def parsed(notices: DataFrame) -> DataFrame:
     """Notices that have a trigger, with what their text says: items, times, zones, kind, score and level."""
     c = F.col
-    rows = notices.select(*NOTICE_COLUMNS, text.normalised(F.coalesce("text", F.lit(""))).alias("plain")).withColumn("items", text.items(c("plain")))
+    rows = worked_out(spread(notices.select(*NOTICE_COLUMNS)), "plain", text.normalised(F.coalesce("text", F.lit(""))))
+    rows = worked_out(rows, "items", text.items(c("plain")))
     item = lambda k: F.get(F.map_values(F.map_filter("items", lambda key, _: key == k)), F.lit(0))
     q, low, high = F.coalesce("qline", item("Q")), item("F"), item("G")
-    rows = rows.withColumn("triggers", text.triggers(c("plain"), low, high, F.coalesce(q, F.lit("")))).where(F.size("triggers") > 0)
+    rows = worked_out(rows, "triggers", text.triggers(c("plain"), low, high, F.coalesce(q, F.lit("")))).where(F.size("triggers") > 0)
     sea = timeparse.navarea_period(c("plain"))
     start = F.coalesce(timeparse.notice_time(c("valid_from")), timeparse.notice_time(item("B")), sea["valid_from"])
     end = F.coalesce(timeparse.notice_time(c("valid_to")), timeparse.notice_time(item("C")), sea["valid_to"])
