@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from noticelake.functions import text
 from noticelake.functions.text import normalised_name
 from noticelake.functions.timeparse import notice_time
+from noticelake.operators.staging import spread, worked_out
 
 #: Normalised header names by role. Fixed values.
 ROLE_HINTS = {
@@ -141,15 +142,17 @@ def pasted_notices(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
     by ``usable``: false, with nulls. What stands before the first notice is talk and gives no row;
     nor does a null or empty text.
     """
-    parts = texts.select(id_col, F.posexplode(text.at_boundaries(F.col(text_col))).alias("pos", "part"))
+    parts = spread(texts.select(id_col, text_col)).select(id_col, F.posexplode(text.at_boundaries(F.col(text_col))).alias("pos", "part"))
     begins = parts.select(id_col, "pos", "part", F.upper(F.regexp_extract("part", r"(?i)^\(?([A-Z]?\d{3,4}/\d{2})\b", 1)).alias("head"))
     begins = begins.where((F.col("head") != "") | F.upper("part").rlike("^(?:!|NAVAREA)"))
-    cut = begins.withColumn("block", text.cut_block(F.col("part"))).withColumn("items", text.items(F.col("block")))
+    cut = worked_out(begins, "block", text.cut_block(F.col("part")))
+    cut = worked_out(cut, "items", text.items(F.col("block")))
     start = F.split(F.col("items")["B"], " ")[0]
     body = F.coalesce(F.col("items")["E"], F.col("items")["Q"]).isNotNull()
     usable = (F.col("head") != "") & body & text.once(start, notice_time).isNotNull()
-    shown = lambda c: F.when(usable, c)
-    return cut.select(id_col, "pos", shown(F.col("head")).alias("notice_id"), shown(start).alias("start"), shown(F.col("block")).alias("text"), usable.alias("usable"))
+    judged = worked_out(cut, "usable", usable)
+    shown = lambda c: F.when(F.col("usable"), c)
+    return judged.select(id_col, "pos", shown(F.col("head")).alias("notice_id"), shown(start).alias("start"), shown(F.col("block")).alias("text"), "usable")
 
 
 def corpus_rows(notices: DataFrame, id_col: str) -> DataFrame:

@@ -24,3 +24,15 @@ def test_notices_are_parsed_by_several_tasks(spark):
     n, plan = tasks(rows)
     assert n > 1 and rows.count() == 400
     assert "regexp" not in below_deal(plan).lower()
+
+
+def test_pasted_texts_are_cut_by_several_tasks(spark):
+    """Texts are cut after they are dealt out, and a choice among the notices works nothing out again."""
+    from noticelake.sources import tables
+
+    posts = spark.range(0, 400, 1, 1).select("id", F.format_string("Hello\nA%04d/25 NOTAMN B) 2509210130 E) ROCKET\nA0001/25 B) WIE E) NO TIME", "id").alias("post"))
+    rows = tables.corpus_rows(tables.pasted_notices(posts, "id", "post"), "id")
+    n, plan = tasks(rows)
+    assert n > 1 and rows.count() == 400
+    assert "regexp" not in below_deal(plan).lower()
+    assert plan.count("aggregate(") == 1, "items are worked out once"
