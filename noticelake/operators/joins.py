@@ -141,21 +141,35 @@ def matches_in_window(windows: DataFrame, instants: DataFrame, slack_minutes: in
     return days.join(instants.withColumn("day", F.to_date("at")), ["part", "day"]).where("at between lo and hi").select("window_id", "instant_id")
 
 
+def _variants(rows: DataFrame) -> DataFrame:
+    """(id, own, all): each different row of an id as the struct ``own``, with the rows of its id where it has several, else null."""
+    each = rows.groupBy("id").agg(F.collect_set(F.struct("day", "nation", F.array_distinct("ids").alias("s"))).alias("all"))
+    return each.select("id", F.explode("all").alias("own"), F.when(F.size("all") > 1, F.col("all")).alias("all"))
+
+
 def same_launch(left: DataFrame, right: DataFrame) -> DataFrame:
     """Pairs (left_id, right_id) that share a notice id, are at most a day apart (an unknown date is near) and do not name different nations.
 
-    Both: (id, ids array, day date, nation). Equal pairs over several shared ids count once.
+    Both: (id, ids array, day date, nation). A pair that meets several times is given at its first meeting, which the
+    two rows tell by themselves: at their least shared id, and where an id has several rows, at the least two that fit.
+    So no table of all pairs is kept to tell which are known.
     """
-    a = left.select(F.col("id").alias("left_id"), "day", "nation", F.explode(F.array_distinct("ids")).alias("shared"))
-    b = right.select(F.col("id").alias("right_id"), F.col("day").alias("day2"), F.col("nation").alias("nation2"), F.explode(F.array_distinct("ids")).alias("shared"))
-    agree = F.coalesce(F.col("nation") == F.col("nation2"), F.lit(True))
+    named = lambda rows, n: _variants(rows).select(F.col("id").alias(f"id{n}"), F.col("own").alias(f"v{n}"), F.col("all").alias(f"all{n}"), F.col("own.day").alias(f"day{n}"), F.explode("own.s").alias("shared"))
+    a, b = named(left, 1), named(right, 2)
+    alike = lambda v, w: F.coalesce(v["nation"] == w["nation"], F.lit(True))
+    near = lambda v, w: F.coalesce(F.abs(F.datediff(v["day"], w["day"])) <= 1, F.lit(True))
+    v, w = F.col("v1"), F.col("v2")
+    fits = lambda x, y: alike(x, y) & near(x, y) & F.coalesce(F.arrays_overlap(x["s"], y["s"]), F.lit(False))
+    before = lambda x, y: (F.struct(x, y) < F.struct(v, w)) & fits(x, y)
+    known = F.exists(F.coalesce("all1", F.array(v)), lambda x: F.exists(F.coalesce("all2", F.array(w)), lambda y: before(x, y)))
+    first = (F.col("shared") == F.array_min(F.array_intersect("v1.s", "v2.s"))) & ((F.col("all1").isNull() & F.col("all2").isNull()) | ~known)
     # dated rows meet on the day, so that a frequent id costs no more than its rows of three days
-    around = a.where("day is not null").withColumn("day2", F.explode(F.sequence(F.date_sub("day", 1), F.date_add("day", 1))))
+    around = a.where("day1 is not null").withColumn("day2", F.explode(F.sequence(F.date_sub("day1", 1), F.date_add("day1", 1))))
     pairs = around.join(b, ["shared", "day2"])
-    undated = a.where("day is null").join(b, "shared")
-    other = a.where("day is not null").join(b.where("day2 is null"), "shared")
-    out = [x.where(agree).select("left_id", "right_id") for x in (pairs, undated, other)]
-    return out[0].unionByName(out[1]).unionByName(out[2]).distinct()
+    undated = a.where("day1 is null").join(b, "shared")
+    other = a.where("day1 is not null").join(b.where("day2 is null"), "shared")
+    out = [x.where(alike(v, w) & first).select(F.col("id1").alias("left_id"), F.col("id2").alias("right_id")) for x in (pairs, undated, other)]
+    return out[0].unionByName(out[1]).unionByName(out[2])
 
 
 def without_subsumed(rows: DataFrame) -> DataFrame:

@@ -36,3 +36,23 @@ def test_pasted_texts_are_cut_by_several_tasks(spark):
     assert n > 1 and rows.count() == 400
     assert "regexp" not in below_deal(plan).lower()
     assert plan.count("aggregate(") == 1, "items are worked out once"
+
+
+def test_pairs_of_launches_are_given_once(spark):
+    """Against brute force, with unknown days and nations, repeated ids and nulls among them; no table of all pairs is kept."""
+    import random
+    from datetime import date, timedelta
+
+    from noticelake.operators import joins
+
+    rnd = random.Random(5)
+    row = lambda i: (i, [rnd.choice([*"abcdef", "a", None]) for _ in range(rnd.randrange(5))], rnd.choice([None, *(date(2024, 1, 1) + timedelta(d) for d in range(6))]), rnd.choice([None, "X", "Y"]))
+    sides = [[row(rnd.randrange(60)) for _ in range(90)] for _ in range(2)]
+    sides = [s + s[:9] for s in sides]
+    same = lambda a, b: set(a[1]) & set(b[1]) - {None} and (a[2] is None or b[2] is None or abs((a[2] - b[2]).days) <= 1) and (a[3] is None or b[3] is None or a[3] == b[3])
+    truth = {(a[0], b[0]) for a in sides[0] for b in sides[1] if same(a, b)}
+    pairs = joins.same_launch(*(spark.createDataFrame(s, "id long, ids array<string>, day date, nation string") for s in sides))
+    found = [tuple(r) for r in pairs.collect()]
+    assert len(found) == len(truth) > 500 and set(found) == truth
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [left_id" not in plan
