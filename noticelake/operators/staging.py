@@ -20,10 +20,10 @@ def written(rows: DataFrame) -> DataFrame:
     return rows.sparkSession.read.schema(rows.schema).parquet(folder).hint("merge")
 
 
-def spread(rows: DataFrame) -> DataFrame:
-    """``rows`` dealt evenly over all cores, for work that costs much a row: a small file of many rows is read by few tasks."""
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """``rows`` dealt over all cores, evenly or by keys, for work that costs much a row: a small file of many rows is read by few tasks."""
     spark = rows.sparkSession
-    return rows.repartition(max(3 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    return rows.repartition(max(3 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), *keys)
 
 
 def worked_out(rows: DataFrame, name: str, value: Column) -> DataFrame:

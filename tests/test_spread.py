@@ -1,5 +1,6 @@
 """Work that costs much a row is dealt over the cores, however few tasks read the table."""
 
+import pytest
 from pyspark.sql import functions as F
 
 
@@ -56,3 +57,14 @@ def test_pairs_of_launches_are_given_once(spark):
     assert len(found) == len(truth) > 500 and set(found) == truth
     plan = pairs._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate [left_id" not in plan
+
+
+@pytest.mark.parametrize("name", ["coord_compact_prefix", "coord_compact_suffix"])
+def test_coordinates_are_read_by_several_tasks(spark, tmp_path, name):
+    from noticelake import registry
+
+    spark.range(0, 400, 1, 1).select(F.col("id").alias("c_custkey")).write.parquet(f"{tmp_path}/customer.parquet")
+    rows = registry.queries()[name](spark, str(tmp_path))
+    n, plan = tasks(rows)
+    assert n > 1 and rows.count() == 400
+    assert "regexp" not in below_deal(plan).lower()
