@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from noticelake.functions.geo import angular_spread, bearing_deg, haversine_km
+from noticelake.operators.staging import spread
 
 #: Rows up to which a reference table counts as small enough to meet every row.
 REFERENCE_ROWS = 10_000
@@ -91,9 +92,10 @@ def common_site(zones: DataFrame, group: str, sites: DataFrame, near_km: float =
     """For each group of zone points (group, lat, lon) the site that explains all: least 100 * spread of azimuths + mean distance.
 
     A site is out if one zone is implausible from it; a group without a site has no row. The
-    spread is the smallest arc that holds all azimuths, from sorted neighbours.
+    spread is the smallest arc that holds all azimuths, from sorted neighbours. Points are dealt out by their group
+    first, so that pairs of points and sites stay in their task.
     """
-    pairs = zones.select(group, "lat", "lon").join(checked_reference(sites), F.lit(True))
+    pairs = spread(zones.select(group, "lat", "lon"), group).join(checked_reference(sites), F.lit(True))
     distance = haversine_km(F.col("place_lat"), F.col("place_lon"), F.col("lat"), F.col("lon"))
     azimuth = bearing_deg(F.col("place_lat"), F.col("place_lon"), F.col("lat"), F.col("lon"))
     each = pairs.select(group, "code", "ord", distance.alias("d"), azimuth.alias("a"))
@@ -101,8 +103,8 @@ def common_site(zones: DataFrame, group: str, sites: DataFrame, near_km: float =
     scored = each.groupBy(group, "code", "ord").agg(
         F.max(odd).alias("out"), F.avg("d").alias("mean_km"), F.sort_array(F.collect_set(F.when(F.col("d") <= near_km, F.col("a")))).alias("angles")
     ).where("not out")
-    spread = angular_spread(F.col("angles"))
-    best = scored.select(group, F.struct((100 * spread + F.col("mean_km")).alias("score"), "ord", "code", spread.alias("spread"), "mean_km").alias("s")).groupBy(group).agg(F.min("s").alias("s"))
+    width = angular_spread(F.col("angles"))
+    best = scored.select(group, F.struct((100 * width + F.col("mean_km")).alias("score"), "ord", "code", width.alias("spread"), "mean_km").alias("s")).groupBy(group).agg(F.min("s").alias("s"))
     return best.select(group, "s.code", "s.score", "s.spread", "s.mean_km")
 
 

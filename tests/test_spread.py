@@ -68,3 +68,15 @@ def test_coordinates_are_read_by_several_tasks(spark, tmp_path, name):
     n, plan = tasks(rows)
     assert n > 1 and rows.count() == 400
     assert "regexp" not in below_deal(plan).lower()
+
+
+def test_pairs_of_points_and_sites_stay_in_their_task(spark):
+    """Points alone are dealt out, by their group."""
+    from noticelake.operators import joins
+
+    points = spark.range(0, 400, 1, 1).select(F.floor(F.col("id") / 4).alias("g"), (F.col("id") % 50).cast("double").alias("lat"), F.lit(20.0).alias("lon"))
+    sites = spark.createDataFrame([("A", 0.0, 20.0, 1), ("B", 1.0, 150.0, 2)], "code string, place_lat double, place_lon double, ord long")
+    best = joins.common_site(points, "g", sites)
+    assert best.count() == 100
+    plan = best._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning") == 1 and "hashpartitioning(g" in plan
