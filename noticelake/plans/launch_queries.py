@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from noticelake.operators.staging import written
+from noticelake.operators.staging import spread, written
 from noticelake.plans import launches
 from noticelake.plans.scalar_queries import table
 
@@ -25,7 +25,7 @@ def _events(spark, sf_dir):
     """
     k = F.col("c_custkey")
     i = F.col("i")
-    rows = table(spark, sf_dir, "customer").withColumn("i", F.explode(F.when(k % 4 == 0, F.array(*map(F.lit, (0, 1, 2)))).otherwise(F.array(F.lit(0), F.lit(1)))))
+    rows = spread(table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")).withColumn("i", F.explode(F.when(k % 4 == 0, F.array(*map(F.lit, (0, 1, 2)))).otherwise(F.array(F.lit(0), F.lit(1)))))
     long = k % 7 == 3
     step = F.when(long, 60).when(k % 5 == 0, 45).otherwise(10)
     start = F.timestamp_seconds(k * 86400 * 2 + i * step * 60)
@@ -79,7 +79,7 @@ def _sea_events(spark, sf_dir):
     k % 6 it is shifted (0), short (1), valid at other hours (2), over midnight (3), of another nation (4) or plain (5).
     """
     k, i = F.col("c_custkey"), F.col("i")
-    rows = table(spark, sf_dir, "customer").withColumn("i", F.explode(F.array(*map(F.lit, range(4)))))
+    rows = spread(table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")).withColumn("i", F.explode(F.array(*map(F.lit, range(4)))))
     home = (F.col("c_nationkey") * 10 - 120).cast("double")
     start = F.timestamp_seconds(k * 172800 + i * 600)
     case = k % 6

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -80,6 +81,12 @@ class Sites:
         return cls([r["code"] for r in rows], [r["nation"] for r in rows], np.array([r["place_lat"] for r in rows], float), np.array([r["place_lon"] for r in rows], float), np.array(["auto" not in r or r["auto"] for r in rows], bool))
 
 
+@cache
+def _pairs_of(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of ``n`` notices, at most ``PAIRED``."""
+    return np.triu_indices(n, 1)
+
+
 class _Chosen:
     """The site that explains the remaining notices best, kept up while notices are taken out."""
 
@@ -101,7 +108,7 @@ class _Chosen:
 
     def _all_pairs(self) -> list[tuple[float, int, int]]:
         """``_pair`` of every site, from the angles between all notices."""
-        a, b = np.triu_indices(len(self.live), 1)
+        a, b = _pairs_of(len(self.live))
         gap = np.abs(self.course[a] - self.course[b])
         gap = np.where(self.near[a] & self.near[b], np.minimum(gap, 360 - gap), -1.0)
         most = gap.argmax(0)

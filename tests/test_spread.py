@@ -80,3 +80,12 @@ def test_pairs_of_points_and_sites_stay_in_their_task(spark):
     assert best.count() == 100
     plan = best._jdf.queryExecution().executedPlan().toString()
     assert plan.count("hashpartitioning") == 1 and "hashpartitioning(g" in plan
+
+
+def test_events_of_launches_are_built_by_several_tasks(spark, tmp_path):
+    from noticelake.plans import launch_queries
+
+    spark.range(0, 100, 1, 1).select(F.col("id").alias("c_custkey"), (F.col("id") % 25).cast("int").alias("c_nationkey")).write.parquet(f"{tmp_path}/customer.parquet")
+    for events, rows in ((launch_queries._sea_events, 400), (launch_queries._events, 225)):
+        found = events(spark, str(tmp_path))
+        assert tasks(found)[0] > 1 and found.count() == rows
