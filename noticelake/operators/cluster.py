@@ -2,34 +2,38 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 
 def gap_and_span(rows: DataFrame, part: str, time: str, order: str, gap: int, span: int) -> DataFrame:
     """Rows with a cluster number within each part: a row joins the cluster before it if it is at most ``gap`` after the last row and ``span`` after the first.
 
-    A gap of more than ``gap`` always starts a cluster, so rows are first cut into islands;
-    an island is folded in order. Null times are in no cluster.
+    Rows without a time or a part are in no cluster. A part is folded in one task as a stream
+    that keeps the first and last time of a cluster, however many rows follow without a gap.
     """
-    w = Window.partitionBy(part).orderBy(time, order)
-    timed = rows.where(F.col(time).isNotNull()).withColumn("_new", (F.coalesce(F.col(time) - F.lag(time).over(w) > gap, F.lit(True))).cast("int"))
-    islands = timed.withColumn("_island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    packed = islands.groupBy(part, "_island").agg(F.sort_array(F.collect_list(F.struct(F.col(time).alias("t"), F.col(order).alias("o")))).alias("rows"))
-
-    def step(state, r):
-        starts = (F.size(state["out"]) == 0) | (r["t"] - state["first"] > span)
-        n = state["n"] + F.when(starts, 1).otherwise(0)
-        return F.struct(F.when(starts, r["t"]).otherwise(state["first"]).alias("first"), n.alias("n"), F.concat(state["out"], F.array(n)).alias("out"))
-
-    empty = F.struct(F.lit(0).cast("long").alias("first"), F.lit(0).alias("n"), F.array().cast("array<int>").alias("out"))
-    numbered = packed.withColumn("_within", F.aggregate("rows", empty, step, lambda s: s["out"]))
-    before = Window.partitionBy(part).orderBy("_island").rowsBetween(Window.unboundedPreceding, -1)
-    counted = numbered.withColumn("_before", F.coalesce(F.sum(F.array_max("_within")).over(before), F.lit(0)))
-    each = counted.select(part, "_before", F.explode(F.arrays_zip("rows", "_within")).alias("z"))
-    named = each.select(part, F.col("z.rows.o").alias(order), (F.col("_before") + F.col("z._within")).cast("int").alias("cluster"))
-    return rows.join(named, [part, order])
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, first, last, n = None, 0, 0, 0
+        for batch in batches:
+            clusters = []
+            for p, t in zip(batch.column(part).to_pylist(), batch.column(time).to_pylist(), strict=True):
+                if p != of:
+                    of, first, n = p, t, 1
+                elif t - last > gap or t - first > span:
+                    first, n = t, n + 1
+                last = t
+                clusters.append(n)
+            yield batch.append_column("cluster", pa.array(clusters, pa.int32()))
+
+    known = rows.where(F.col(part).isNotNull() & F.col(time).isNotNull())
+    ranked = known.repartition(part).sortWithinPartitions(part, time, order)
+    return ranked.mapInArrow(fold, StructType([*known.schema.fields, StructField("cluster", IntegerType())]))
 
 
 def _spread(azimuths: list[float]) -> float:
