@@ -15,6 +15,11 @@ ISO_FORMATS = ("yyyy-MM-dd'T'HH:mm[:ss][.SSSSSS][XXX]", "yyyy-MM-dd", "d.M.yyyy"
 MONTHS = "JAN FEB MAR APR MAY JUN JUL AUG SEP OCT NOV DEC".split()
 
 
+def stamped(t: Column, form: str) -> Column:
+    """``date_format`` with the year's digits alone: Java writes a sign before years beyond 9999."""
+    return F.translate(F.date_format(t, form), "+", "")
+
+
 def notice_time(value: Column) -> Column:
     """Timestamp of a validity field; null for an open or unreadable one.
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from noticelake.functions import timeparse
 from noticelake.operators import merge
 from noticelake.operators.staging import written
 from noticelake.plans import days, launch_queries
@@ -27,14 +28,14 @@ def _results(spark, sf_dir):
 
 def day_candidates(spark, sf_dir):
     out, _, _ = _results(spark, sf_dir)
-    return out.select("key", F.date_format("day", "yyyy-MM-dd").alias("day"), "nation", F.col("row.Weltraumbahnhof").alias("site"), F.array_join("ids", ",").alias("ids"))
+    return out.select("key", timeparse.stamped(F.col("day"), "yyyy-MM-dd").alias("day"), "nation", F.col("row.Weltraumbahnhof").alias("site"), F.array_join("ids", ",").alias("ids"))
 
 
 def day_review(spark, sf_dir):
     _, review, counts = _results(spark, sf_dir)
     listed = review.groupBy("day").agg(F.count("*").alias("n"), F.min("row_index").alias("first"))
     both = listed.join(counts, "day", "full_outer")
-    return both.select(F.date_format("day", "yyyy-MM-dd").alias("day"), F.coalesce("n", F.lit(0)).alias("n"), "first", F.coalesce("excluded", F.lit(0)).alias("excluded"))
+    return both.select(timeparse.stamped(F.col("day"), "yyyy-MM-dd").alias("day"), F.coalesce("n", F.lit(0)).alias("n"), "first", F.coalesce("excluded", F.lit(0)).alias("excluded"))
 
 
 def days_reevaluated(spark, sf_dir):
@@ -45,7 +46,7 @@ def days_reevaluated(spark, sf_dir):
     state, _ = days.reevaluate(events.where(~late), bundles.where(~late), sites)
     state, again = days.reevaluate(events, bundles, sites, state)
     per_day = state.candidates.groupBy("day").agg(F.count("*").alias("n"))
-    return again.join(per_day, "day", "left").select(F.date_format("day", "yyyy-MM-dd").alias("day"), F.coalesce("n", F.lit(0)).alias("n"))
+    return again.join(per_day, "day", "left").select(timeparse.stamped(F.col("day"), "yyyy-MM-dd").alias("day"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def import_candidates(spark, sf_dir):

@@ -304,7 +304,7 @@ def archive_rows(found: Grouped) -> DataFrame:
     rows = found.launches.where(F.col("site").isNotNull()).join(listed, "label")
     values = {
         "NOTAM": F.array_join(F.transform("m", lambda m: m["id"]), ", "),
-        "Startdatum": F.coalesce(F.date_format("window_from", "dd.MM.yyyy"), blank),
+        "Startdatum": F.coalesce(timeparse.stamped(F.col("window_from"), "dd.MM.yyyy"), blank),
         "Startzeit": F.coalesce(F.date_format("window_from", "HH:mm"), blank),
         "Nation": F.coalesce("nation", blank),
         "Weltraumbahnhof": F.col("site"),
@@ -315,7 +315,7 @@ def archive_rows(found: Grouped) -> DataFrame:
         "Azimuth": F.when(F.col("azimuth").isNotNull(), number(F.col("azimuth"), "%.1f")).otherwise(blank),
         "Dropzones": F.array_join(F.array_distinct(F.flatten(F.transform("m", lambda m: m["zones"]))), "; "),
     }
-    key = merge.archive_key(F.date_format("window_from", "dd.MM.yyyy"), F.transform("m", lambda m: m["id"]))
+    key = merge.archive_key(timeparse.stamped(F.col("window_from"), "dd.MM.yyyy"), F.transform("m", lambda m: m["id"]))
     return rows.select(key.alias("key"), F.col("label"), *(values[c].alias(c) for c in ARCHIVE_COLUMNS))
 
 

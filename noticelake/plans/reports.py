@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from noticelake.functions import coords, geo, text
+from noticelake.functions import coords, geo, text, timeparse
 
 NONE = "-"
 BY_HAND = "by hand"
@@ -38,7 +38,7 @@ def marked_id(name: Column, by_hand: Column) -> Column:
 
 def window_text(start: Column, end: Column) -> Column:
     """``from - to``, one side alone with its word, ``-`` without both. Fixed form."""
-    stamp = lambda t: F.date_format(t, "dd.MM.yyyy HH:mm'Z'")
+    stamp = lambda t: timeparse.stamped(t, "dd.MM.yyyy HH:mm'Z'")
     return F.coalesce(F.concat(stamp(start), F.lit(" - "), stamp(end)), F.concat(F.lit("ab "), stamp(start)), F.concat(F.lit("bis "), stamp(end)), F.lit(NONE))
 
 

@@ -334,5 +334,6 @@ def tracks(clustered: DataFrame, sites: DataFrame, targets: tuple[str, ...] | No
     several = clustered.groupBy("cluster").agg(F.count("*").alias("n")).where("n > 1")
     alone = clustered.join(several, "cluster", "left_anti").select("row_index", "cluster", F.lit(0).alias("part"), *(F.lit(None).cast(kind).alias(c) for c, kind in (x.split() for x in SCHEMA.split(", ")[3:])))
     met = clustered.join(several.select("cluster"), "cluster")
-    together = met.repartition("cluster").sortWithinPartitions("cluster", "valid_from", "row_index")
+    # the time gives the order alone: years beyond 9999 are no times in Python
+    together = met.repartition("cluster").sortWithinPartitions("cluster", "valid_from", "row_index").drop("valid_from")
     return together.mapInArrow(split, SCHEMA).unionByName(alone)

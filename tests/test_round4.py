@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from test_round3 import against_sql
 
 
@@ -31,3 +32,15 @@ def test_angles_that_cancel_out_at_any_angle(spark, tmp_path):
     lineitem = "select p.range as l_orderkey, (p.range + t.range * 1800 * 973) as l_partkey from range(1800) p, range(2) t"
     rows, truth = against_sql(spark, tmp_path, "circular_mean", lineitem=lineitem)
     assert rows == truth and len(rows) == 1800
+
+
+@pytest.mark.parametrize(
+    "name",
+    ["days_reevaluated", "import_candidates", "launch_report", "event_report", "day_review", "day_candidates", "past_rows_hidden", "launches_settled", "launches_past", "archive_from_launches", "sea_launches"],
+)
+def test_launches_beyond_the_year_9999(spark, tmp_path, name):
+    """A launch every other day: of five million customers the last ones launch after the year 31000, which is no year in Python."""
+    customer = "select (k + far * 5399900)::bigint as c_custkey, (k % 25)::int as c_nationkey from range(40) t(k), range(2) f(far)"
+    nation = "select k::int as n_nationkey, 'NATION_' || k as n_name, 0 as n_regionkey from range(25) t(k)"
+    rows, truth = against_sql(spark, tmp_path, name, customer=customer, nation=nation)
+    assert rows == truth and len(rows) > 20
