@@ -8,11 +8,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from noticelake.functions.geo import angular_spread, bearing_deg, haversine_km
-from noticelake.operators.staging import spread
+from noticelake.operators.staging import spread, written
 
 #: Rows up to which a reference table counts as small enough to meet every row.
 REFERENCE_ROWS = 10_000
 
+#: Ids of a set up to which any three of them are a key; there are 2,024 threes of 24.
+TRIPLES = 24
+
 
 def checked_reference(reference: DataFrame) -> DataFrame:
     """A reference table that every row is compared with; its size is checked, since the work grows with it."""
@@ -174,26 +177,43 @@ def same_launch(left: DataFrame, right: DataFrame) -> DataFrame:
     return out[0].unionByName(out[1]).unionByName(out[2])
 
 
+def _keys(s: Column, wide: bool) -> Column:
+    """What a sorted set answers to: single elements for sets of one or two, three elements together for larger ones; beyond ``TRIPLES`` single ones for these too."""
+    after = lambda x, i: F.slice(x, i + 2, F.size(x))
+    single = lambda kind: F.transform(s, lambda x: F.struct(F.lit(kind).alias("kind"), F.array(x).alias("of")))
+    of_three = F.transform(s, lambda x, i: F.flatten(F.transform(after(s, i), lambda y, j: F.transform(after(after(s, i), j), lambda z: F.struct(F.lit(3).alias("kind"), F.array(x, y, z).alias("of"))))))
+    few = F.size(s) <= TRIPLES
+    return F.concat(single(1), F.flatten(F.when(few, of_three).otherwise(F.array(single(2)))) if wide else F.flatten(of_three))
+
+
 def without_subsumed(rows: DataFrame) -> DataFrame:
     """Rows (id, ids array, day, nation, ...) whose id set is not a proper part of the set of another row of the same launch.
 
     Rows belong to one launch if they are at most a day apart and do not name different
     nations; an unknown day or nation fits any. Rows of equal sets, day and nation are judged
-    once. A set meets only those that have its rarest id, dated ones on their days.
+    once. A set meets only those that have its rarest id, or its three rarest together where it has as many, dated ones on
+    their days. Of what meets, a mask of hashed ids tells most pairs apart before their sets are compared.
     """
     each = rows.select("id", F.sort_array(F.array_distinct("ids")).alias("s"), "day", "nation")
-    sets = each.select("s", "day", "nation").distinct()
-    elements = sets.withColumn("e", F.explode("s"))
+    mask = F.aggregate("s", F.lit(0).cast("long"), lambda m, x: m.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(x), F.lit(64)).cast("int"))))
+    sets = written(each.select("s", "day", "nation").distinct().select("*", mask.alias("mask"), F.array_compact("s").alias("known"), F.monotonically_increasing_id().alias("sid")))
+    wide, undated = (not sets.where(x).isEmpty() for x in (F.size("known") > TRIPLES, F.col("day").isNull()))
+    elements = sets.select("sid", F.explode("known").alias("e"))
     counts = elements.groupBy("e").agg(F.count("*").alias("n"))
-    small = elements.join(counts, "e").groupBy("s", "day", "nation").agg(F.min_by("e", F.struct("n", "e")).alias("e"))
-    large = elements.select(*(F.col(c).alias(f"{c}2") for c in ("s", "day", "nation", "e")))
+    ranked = elements.join(counts, "e").groupBy("sid").agg(F.slice(F.sort_array(F.collect_list(F.struct("n", "e"))), 1, 3).alias("rare"))
+    key = lambda kind, of: F.struct(F.lit(kind).alias("kind"), of.alias("of"))
+    first, three = F.array(F.col("rare")[0]["e"]), F.sort_array(F.transform("rare", lambda x: x["e"]))
+    keys = F.when(F.size("rare") < 3, F.array(key(1, first))).otherwise(F.array(key(3, three), *([key(2, first)] if wide else [])))
+    small = sets.join(ranked, "sid").select("s", "day", "nation", "mask", F.explode(keys).alias("e"))
+    large = sets.where(F.size("s") > 1).select(*(F.col(c).alias(f"{c}2") for c in ("s", "day", "nation", "mask")), F.explode(_keys(F.col("known"), wide)).alias("e2"))
     agree = F.coalesce(F.col("nation") == F.col("nation2"), F.lit(True))
-    part = (F.size("s") < F.size("s2")) & (F.size(F.array_intersect("s", "s2")) == F.size("s"))
+    part = (F.col("mask").bitwiseAND(F.col("mask2")) == F.col("mask")) & (F.size("s") < F.size("s2")) & (F.size(F.array_intersect("s", "s2")) == F.size("s"))
     meets = (F.col("e") == F.col("e2")) & agree & part
-    dated, undated = large.where("day2 is not null"), large.where("day2 is null")
+    dated = large.where("day2 is not null")
     around = small.where("day is not null").withColumn("near", F.explode(F.sequence(F.date_sub("day", 1), F.date_add("day", 1))))
     found = around.join(dated, (F.col("near") == F.col("day2")) & meets, "left_semi").drop("near")
-    found = found.unionByName(small.join(undated, meets, "left_semi")).unionByName(small.where("day is null").join(dated, meets, "left_semi"))
+    if undated:
+        found = found.unionByName(small.join(large.where("day2 is null"), meets, "left_semi")).unionByName(small.where("day is null").join(dated, meets, "left_semi"))
     held = found.select(*(F.col(c).alias(f"held_{c}") for c in ("s", "day", "nation"))).distinct()
     same = (F.col("s") == F.col("held_s")) & F.col("day").eqNullSafe(F.col("held_day")) & F.col("nation").eqNullSafe(F.col("held_nation"))
     return rows.join(each.join(held, same, "left_semi").select("id"), "id", "left_anti")

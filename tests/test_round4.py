@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 from test_round3 import against_sql
 
 
@@ -44,3 +45,25 @@ def test_launches_beyond_the_year_9999(spark, tmp_path, name):
     nation = "select k::int as n_nationkey, 'NATION_' || k as n_name, 0 as n_regionkey from range(25) t(k)"
     rows, truth = against_sql(spark, tmp_path, name, customer=customer, nation=nation)
     assert rows == truth and len(rows) > 20
+
+
+def test_sets_meet_on_three_ids_together(spark):
+    """Against brute force, with sets of up to 40 ids, unknown days and nations and unknown ids."""
+    from datetime import date, timedelta
+
+    from noticelake.operators import joins
+
+    rnd = random.Random(8)
+    pick = lambda: rnd.sample([*range(6), None], rnd.randrange(7)) if rnd.random() < 0.9 else rnd.sample(range(45), rnd.choice([23, 24, 25, 40]))
+    rows = [(i, pick(), rnd.choice([None, *(date(2024, 1, 1) + timedelta(d) for d in range(12))]), rnd.choice([None, "X", "Y"])) for i in range(250)]
+    same = lambda a, b: (a[2] is None or b[2] is None or abs((a[2] - b[2]).days) <= 1) and (a[3] is None or b[3] is None or a[3] == b[3])
+    for some in (rows, [r for r in rows if r[2] and len(r[1]) < 24]):
+        truth = {a[0] for a in some if not any(set(a[1]) - {None} and set(a[1]) < set(b[1]) and same(a, b) for b in some)}
+        kept = joins.without_subsumed(spark.createDataFrame(some, "id long, ids array<int>, day date, nation string"))
+        assert {r.id for r in kept.collect()} == truth and len(truth) < len(some)
+    # all share two ids on one day, and none is part of another
+    day = date(2024, 1, 1)
+    dense = spark.createDataFrame([(i, [0, 1, 10 + i, 5000 + i], day, "X") for i in range(300)], "id long, ids array<int>, day date, nation string")
+    assert joins.without_subsumed(dense).count() == 300
+    keys = lambda n: len(spark.range(1).select(F.sequence(F.lit(1), F.lit(n)).alias("s")).select(F.explode(joins._keys(F.col("s"), True)).alias("k")).collect())
+    assert [keys(n) for n in (1, 2, 3, 4, 24, 25)] == [1, 2, 4, 8, 24 + 2024, 50]
