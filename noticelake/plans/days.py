@@ -51,7 +51,8 @@ def day_results(
     rows = events.withColumn("hidden", own)
     if hidden is not None:
         rows = rows.join(hidden.select("key").distinct().withColumn("by_hand", F.lit(True)), "key", "left").withColumn("hidden", F.col("hidden") | F.coalesce("by_hand", F.lit(False))).drop("by_hand")
-    rows = rows.join(days.select("row_index", "day").distinct(), "row_index").withColumn("notice", F.col("row_index"))
+    # a notice's geometry is worked out before it is repeated for its days
+    rows = launches.with_geometry(rows).join(days.select("row_index", "day").distinct(), "row_index").withColumn("notice", F.col("row_index"))
     rows = written(rows.withColumn("row_index", F.unix_date("day").cast("long") * _STEP + F.col("row_index")))
     found = launches.grouped(rows, sites, targets, by="day")
     advance = written(launches.advance_notices(rows, found, by="day"))
@@ -85,7 +86,8 @@ def day_results(
     left = settled.where(~F.col("hidden")).join(taken, "row_index", "left_anti").join(homeless, "row_index", "left").withColumn("homeless", F.coalesce("homeless", F.lit(False)))
     left = left.where((F.col("status") != "OK") | F.col("homeless"))
     elsewhere = F.coalesce(F.coalesce("nation", "fir_country") == F.lit(excluded), F.lit(False)) if excluded else F.lit(False)
-    left = written(left.where(today("valid_from")).withColumn("elsewhere", elsewhere))
+    left = left.where(today("valid_from")).withColumn("elsewhere", elsewhere)
+    left = written(left.select("day", "key", "id", "notice", "branch", "homeless", "elsewhere"))
     review = left.where(~F.col("elsewhere")).select("day", "key", "id", F.col("notice").alias("row_index"), "branch", F.when(F.col("homeless"), NO_SITE).alias("reason"))
     one = lambda df, excluded_, hidden_: df.groupBy("day").agg(F.count("*").alias("n")).select("day", (F.col("n") * excluded_).alias("excluded"), (F.col("n") * hidden_).alias("hidden"))
     counts = one(starts.where(F.col("other") & today("window_from")), 1, 0).unionByName(one(left.where("elsewhere"), 1, 0)).unionByName(one(rows.where(F.col("hidden") & today("valid_from")), 0, 1))

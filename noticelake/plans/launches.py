@@ -120,6 +120,11 @@ def zone_points() -> Column:
     return F.when(F.coalesce(F.size(zones), F.lit(0)) > 0, F.transform(zones, geo.centroid)).otherwise(whole)
 
 
+def with_geometry(events: DataFrame) -> DataFrame:
+    """``events`` with the points of what can be grouped and the shapes of zones, for rows that are repeated later: what ``grouped`` and ``advance_notices`` find here they do not work out again."""
+    return events.withColumn("points", F.when(groupable(), zone_points())).withColumn("shapes", _shapes(F.col("zones")))
+
+
 def grouped(events: DataFrame, sites: DataFrame, targets: tuple[str, ...] | None = None, by: str | None = None) -> Grouped:
     """Launches, numbered in time, with their window, site, course, orbit, range and best level, and their notices.
 
@@ -129,7 +134,7 @@ def grouped(events: DataFrame, sites: DataFrame, targets: tuple[str, ...] | None
     several get its nation and site, and distance, course, orbit and reliability from there. With ``by``, a date column, each
     day's notices are grouped by themselves; row_index must then tell a notice's days apart. Without events there are none.
     """
-    rows = staged(events.where(groupable()).withColumn("points", zone_points()))
+    rows = staged(events.where(groupable()).withColumn("points", F.col("points") if "points" in events.columns else zone_points()))
     clustered = staged(rows.join(time_clusters(rows, by), "row_index").select("row_index", "cluster", "valid_from", "lat", "lon", "nations", "points", "radius_km", "fir_country", "nation", *(c for c in ("site_hints",) if c in rows.columns)))
     chosen = staged(tracks(clustered, with_choice(sites), targets)).withColumnRenamed("code", "group_site")
     places = sites.select(F.col("code").alias("group_site"), "place_lat", "place_lon", F.col("nation").alias("site_nation"))
@@ -137,10 +142,12 @@ def grouped(events: DataFrame, sites: DataFrame, targets: tuple[str, ...] | None
     at_sea = F.col("sea_lat").isNotNull()
     in_group = F.col("group_site").isNotNull() | at_sea
     y, x = F.coalesce("sea_lat", "place_lat"), F.coalesce("sea_lon", "place_lon")
-    km, course = geo.haversine_km(y, x, F.col("lat"), F.col("lon")), geo.bearing_deg(y, x, F.col("lat"), F.col("lon"))
+    # a column each, so that what stands in several others is worked out once
+    known = known.withColumn("new_km", geo.haversine_km(y, x, F.col("lat"), F.col("lon"))).withColumn("new_course", geo.bearing_deg(y, x, F.col("lat"), F.col("lon")))
     # the notice of the platform itself has no course of its own
-    course = F.when(at_sea & (km < TARGET_KM), F.col("sea_azimuth")).otherwise(course)
-    slope = geo.inclination_deg(y, course)
+    known = known.withColumn("new_course", F.when(at_sea & (F.col("new_km") < TARGET_KM), F.col("sea_azimuth")).otherwise(F.col("new_course")))
+    known = known.withColumn("new_slope", geo.inclination_deg(y, F.col("new_course")))
+    km, course, slope = F.col("new_km"), F.col("new_course"), F.col("new_slope")
     given = lambda new, own: F.when(in_group, new).otherwise(F.col(own))
     members = known.select(
         *(c for c in rows.columns if c not in ("nation", "site", "distance_km", "azimuth", "inclination", "orbit", "reliability")),
@@ -249,12 +256,13 @@ def advance_notices(events: DataFrame, found: Grouped, by: str | None = None) ->
     open_ = open_.where(hours >= ADVANCE_HOURS).join(taken, "row_index", "left_anti")
     week = lambda t: F.floor(F.unix_seconds(t) / (7 * 86400))
     day = F.unix_date(by) if by else F.lit(0)
+    zone_shapes = lambda rows: F.col("shapes") if "shapes" in rows.columns else _shapes(F.col("zones"))
     notices = open_.select(
-        "row_index", day.alias("d"), "valid_from", "valid_to", hours.alias("hours"), timeparse.daily_windows(F.coalesce("daily", F.lit(""))).alias("daily"), _shapes(F.col("zones")).alias("shapes"), "nations",
+        "row_index", day.alias("d"), "valid_from", "valid_to", hours.alias("hours"), timeparse.daily_windows(F.coalesce("daily", F.lit(""))).alias("daily"), zone_shapes(open_).alias("shapes"), "nations",
         F.explode(F.sequence(week(F.col("valid_from")), week(F.col("valid_to")))).alias("week"),
     )
     notices = notices.select("*", F.explode(F.concat("nations", F.array(F.lit(None).cast("string")))).alias("of")).drop("nations")
-    shapes = found.members.select("label", F.explode(_shapes(F.col("zones"))).alias("shape")).groupBy("label").agg(F.collect_set("shape").alias("theirs"))
+    shapes = found.members.select("label", F.explode(zone_shapes(found.members)).alias("shape")).groupBy("label").agg(F.collect_set("shape").alias("theirs"))
     starts = found.launches.where(F.col("site").isNotNull() & F.col("window_from").isNotNull())
     days = found.members.select("label", day.alias("d")).distinct()
     starts = starts.join(days, "label").select("label", "d", "nation", "window_from", F.coalesce("window_to", "window_from").alias("until"), week(F.col("window_from")).alias("week")).join(shapes, "label")

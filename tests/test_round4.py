@@ -67,3 +67,18 @@ def test_sets_meet_on_three_ids_together(spark):
     assert joins.without_subsumed(dense).count() == 300
     keys = lambda n: len(spark.range(1).select(F.sequence(F.lit(1), F.lit(n)).alias("s")).select(F.explode(joins._keys(F.col("s"), True)).alias("k")).collect())
     assert [keys(n) for n in (1, 2, 3, 4, 24, 25)] == [1, 2, 4, 8, 24 + 2024, 50]
+
+
+def test_geometry_is_worked_out_once_a_notice(spark, tmp_path):
+    """A notice's row for each of its days brings its points and the shapes of its zones along: days cost no centroid more."""
+    from noticelake.plans import launch_queries, launches
+
+    spark.range(0, 8, 1, 1).select(F.col("id").alias("c_custkey"), (F.col("id") % 25).cast("int").alias("c_nationkey")).write.parquet(f"{tmp_path}/customer.parquet")
+    spark.range(0, 25, 1, 1).select(F.col("id").cast("int").alias("n_nationkey")).write.parquet(f"{tmp_path}/nation.parquet")
+    plain = launch_queries._sea_events(spark, str(tmp_path))
+    events, sites = launches.with_geometry(plain), launch_queries._sea_sites(spark, str(tmp_path))
+    found, theirs = launches.grouped(events, sites), launches.grouped(plain, sites)
+    advance = launches.advance_notices(events.drop("zones").withColumn("zones", F.array(F.array(F.struct(F.lit(0.0).alias("lat"), F.lit(0.0).alias("lon"))))), found)
+    rows = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    assert rows(found.launches) == rows(theirs.launches)
+    assert rows(advance) == rows(launches.advance_notices(plain, theirs)) != []
